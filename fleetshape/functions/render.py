@@ -183,10 +183,10 @@ def constraint_drop(name: Column) -> tuple[Column, Column]:
     return F.lit("ALTER TABLE "), F.concat(F.lit(" DROP CONSTRAINT "), quote(name), F.lit(";"))
 
 
-def alter_column(table: Column, row: Row) -> Column:
+def alter_column(table: Column, row: Row, type_sql: Column) -> Column:
     """ALTER COLUMN to the type, collation and nullability of `row`."""
     return F.concat(F.lit("ALTER TABLE "), table, F.lit(" ALTER COLUMN "), quote(row("name")), F.lit(" "),
-                    column_type(row), collate_clause(row), null_clause(row), F.lit(";"))
+                    type_sql, collate_clause(row), null_clause(row), F.lit(";"))
 
 
 def add_column_stmt(table: Column, row: Row) -> Column:

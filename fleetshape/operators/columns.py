@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from fleetshape.functions import messages, render
 from fleetshape.functions.render import Row, column_type, fields
-from fleetshape.functions.text import is_blank, same_ci, same_text
+from fleetshape.functions.text import is_blank, normalize_text, same_ci
 from fleetshape.model import COLUMN_FIELDS, table_key
 from fleetshape.operators.matching import match_sides, tag_sides
 
@@ -38,34 +38,33 @@ def match_columns(src: DataFrame, tgt: DataFrame, tables: DataFrame) -> DataFram
     return match_sides(rows, ["pair_id", "obj_key", "col_key"])
 
 
-def identity_differs(s: Row, t: Row) -> Column:
-    return (
-        (s("is_identity") != t("is_identity"))
-        | ~same_ci(s("identity_seed"), t("identity_seed"))
-        | ~same_ci(s("identity_increment"), t("identity_increment"))
-    )
+# The comparison is staged: derived text once per side, then flags, then - for differing
+# columns only - statements. Each stage is a projection Catalyst keeps apart, so no type or
+# definition is spelled out more than once in generated code.
 
+_COMPARED = {
+    "d_type": "upper(s_type) <> upper(t_type)",
+    "d_collation": "not (upper(s.collation_name) <=> upper(t.collation_name))",
+    "d_null": "s.is_nullable <> t.is_nullable",
+    "d_identity": "s.is_identity <> t.is_identity or not (upper(s.identity_seed) <=> upper(t.identity_seed)) "
+                  "or not (upper(s.identity_increment) <=> upper(t.identity_increment))",
+    "d_computed": "s.is_computed <> t.is_computed or s_computed <> t_computed or s.is_persisted <> t.is_persisted",
+    "d_row_guid": "s.is_row_guid <> t.is_row_guid",
+    "d_default": "s_default <> t_default",
+}
 
-def storage_differs(s: Row, t: Row) -> Column:
-    """Type, collation or nullability: what ALTER COLUMN can change."""
-    return (
-        ~same_ci(column_type(s), column_type(t))
-        | ~same_ci(s("collation_name"), t("collation_name"))
-        | (s("is_nullable") != t("is_nullable"))
-    )
 
-
-def columns_equal(s: Row, t: Row) -> Column:
-    """All eleven facets agree."""
-    return (
-        ~storage_differs(s, t)
-        & ~identity_differs(s, t)
-        & (s("is_computed") == t("is_computed"))
-        & same_text(s("computed_definition"), t("computed_definition"))
-        & (s("is_persisted") == t("is_persisted"))
-        & (s("is_row_guid") == t("is_row_guid"))
-        & same_text(s("default_definition"), t("default_definition"))
-    )
+def compare_facets(matched: DataFrame) -> DataFrame:
+    """`outcome` of every matched column, with one flag per group of the eleven facets."""
+    derived = matched.withColumns({
+        "s_type": column_type(_s), "t_type": column_type(_t),
+        "s_default": normalize_text(_s("default_definition")), "t_default": normalize_text(_t("default_definition")),
+        "s_computed": normalize_text(_s("computed_definition")), "t_computed": normalize_text(_t("computed_definition")),
+    })
+    differs = " or ".join(_COMPARED)
+    outcome = f"case when t is null then 'added' when s is null then 'target_only' when {differs} then 'changed' else 'same' end"
+    return derived.withColumns({name: F.expr(text) for name, text in _COMPARED.items()}).withColumn(
+        "outcome", F.expr(outcome))
 
 
 def is_narrowing(s: Row, t: Row) -> Column:
@@ -84,71 +83,73 @@ def needs_backfill(row: Row) -> Column:
     )
 
 
-def _warning_count(*conditions: Column) -> Column:
-    return sum((F.when(c, 1).otherwise(0) for c in conditions), F.lit(0))
-
-
-def _step(when: Column, phase: int, sub: int, action: str, stmt: Column) -> Column:
-    return F.when(when, F.struct(
-        F.lit(phase).alias("phase"), F.lit(sub).alias("sub"), F.lit(action).alias("action"), stmt.alias("stmt")))
+def step_array(steps: list[tuple[str, int, int, str, str]]) -> Column:
+    """Array of the steps whose condition holds; each is (condition, phase, sub, action, statement column)."""
+    cases = [f"case when {when} then named_struct('phase', {phase}, 'sub', {sub}, 'action', '{action}', 'stmt', {stmt}) end"
+             for when, phase, sub, action, stmt in steps]
+    return F.expr(f"array_compact(array({', '.join(cases)}))")
+
+
+_WARNINGS = ["w_backfill", "w_identity", "w_not_null", "w_narrows", "only"]
+
+_STEPS = [
+    ("w_backfill", PHASE_WARNING, 0, "warn_add_not_null", "m_backfill"),
+    ("added", PHASE_ADD, 0, "add_column", "add_stmt"),
+    ("w_identity", PHASE_WARNING, 0, "warn_identity", "m_identity"),
+    ("recompute and t.is_computed and named_default", PHASE_ALTER, 0, "drop_default", "drop_default_stmt"),
+    ("recompute", PHASE_ALTER, 1, "drop_computed", "drop_stmt"),
+    ("recompute", PHASE_ALTER, 2, "add_computed", "add_stmt"),
+    ("alters", PHASE_ALTER, 3, "alter_column", "alter_stmt"),
+    ("w_not_null", PHASE_WARNING, 1, "warn_not_null", "m_not_null"),
+    ("w_narrows", PHASE_WARNING, 2, "warn_narrowing", "m_narrows"),
+    ("redefault and named_default", PHASE_ALTER, 4, "drop_default", "drop_default_stmt"),
+    ("redefault and s_default <> ''", PHASE_ALTER, 5, "add_default", "add_default_stmt"),
+    ("only and not include_drops", PHASE_WARNING, 3, "warn_column_kept", "m_kept"),
+    ("only and include_drops and named_default", PHASE_DROP, 0, "drop_default", "drop_default_stmt"),
+    ("only and include_drops", PHASE_DROP, 1, "drop_column", "drop_stmt"),
+    ("only and include_drops", PHASE_WARNING, 3, "warn_column_dropped", "m_dropped"),
+    # A difference no statement can express (row-guid or identity alone) still counts as a change.
+    ("changed and not recompute and not alters and not redefault", PHASE_ALTER, 9, "none", "cast(null as string)"),
+]
 
 
 def diff_columns(matched: DataFrame) -> DataFrame:
-    """Differing columns, one row each: outcome, change count, `rewritten` and the steps they cause."""
-    both = F.col("s").isNotNull() & F.col("t").isNotNull()
-    outcome = (
-        F.when(F.col("t").isNull(), "added").when(F.col("s").isNull(), "target_only")
-        .when(columns_equal(_s, _t), "same").otherwise("changed")
-    )
-    changed = F.col("outcome") == "changed"
-    flagged = (
-        matched.withColumn("outcome", outcome).where(F.col("outcome") != "same")
-        .withColumn("recompute", F.coalesce(both & (_s("is_computed") | _t("is_computed")), F.lit(False)))
-        .withColumn("alters", changed & ~F.col("recompute") & storage_differs(_s, _t))
-        .withColumn("redefault", changed & ~F.col("recompute")
-                    & ~same_text(_s("default_definition"), _t("default_definition")))
-    )
-    table, name = F.col("table_ident"), F.coalesce(_s("name"), _t("name"))
-    added, only = F.col("outcome") == "added", F.col("outcome") == "target_only"
-    drops, recompute = F.col("include_drops"), F.col("recompute")
-    type_changed = ~same_ci(column_type(_s), column_type(_t))
-
-    def drop_default() -> Column:
-        return render.around(render.constraint_drop(_t("default_name")), table)
-
-    named_default = ~is_blank(_t("default_name"))
-    backfill, identity = added & needs_backfill(_s), changed & identity_differs(_s, _t)
-    to_not_null = F.col("alters") & _t("is_nullable") & ~_s("is_nullable")
-    narrowing = F.col("alters") & type_changed & is_narrowing(_s, _t)
-    steps = [
-        _step(backfill, PHASE_WARNING, 0, "warn_add_not_null", messages.add_not_null(name)),
-        _step(added, PHASE_ADD, 0, "add_column", render.add_column_stmt(table, _s)),
-        _step(identity, PHASE_WARNING, 0, "warn_identity", messages.identity_differs(name)),
-        _step(recompute & _t("is_computed") & named_default, PHASE_ALTER, 0, "drop_default", drop_default()),
-        _step(recompute, PHASE_ALTER, 1, "drop_computed", render.drop_column_stmt(table, name)),
-        _step(recompute, PHASE_ALTER, 2, "add_computed", render.add_column_stmt(table, _s)),
-        _step(F.col("alters"), PHASE_ALTER, 3, "alter_column", render.alter_column(table, _s)),
-        _step(to_not_null, PHASE_WARNING, 1, "warn_not_null", messages.becomes_not_null(name)),
-        _step(narrowing, PHASE_WARNING, 2, "warn_narrowing",
-              messages.narrows(name, column_type(_t), column_type(_s))),
-        _step(F.col("redefault") & named_default, PHASE_ALTER, 4, "drop_default", drop_default()),
-        _step(F.col("redefault") & ~is_blank(_s("default_definition")), PHASE_ALTER, 5, "add_default",
-              render.add_default_stmt(table, _s)),
-        _step(only & ~drops, PHASE_WARNING, 3, "warn_column_kept", messages.column_kept(name)),
-        _step(only & drops & named_default, PHASE_DROP, 0, "drop_default", drop_default()),
-        _step(only & drops, PHASE_DROP, 1, "drop_column", render.drop_column_stmt(table, name)),
-        _step(only & drops, PHASE_WARNING, 3, "warn_column_dropped", messages.column_dropped(name)),
-        # A difference no statement can express (row-guid or identity alone) still counts as a change.
-        _step(changed & ~recompute & ~F.col("alters") & ~F.col("redefault"), PHASE_ALTER, 9, "none",
-              F.lit(None).cast("string")),
-    ]
-    return flagged.select(
+    """Differing columns, one row each: outcome, change and warning counts, `rewritten`, and their steps."""
+    table = F.col("table_ident")
+    flagged = compare_facets(matched).where("outcome <> 'same'").withColumns({
+        "name": F.coalesce(_s("name"), _t("name")),
+        "added": F.expr("outcome = 'added'"), "only": F.expr("outcome = 'target_only'"),
+        "changed": F.expr("outcome = 'changed'"),
+        "recompute": F.expr("outcome = 'changed' and (s.is_computed or t.is_computed)"),
+        "named_default": ~is_blank(_t("default_name")),
+    }).withColumns({
+        "alters": F.expr("changed and not recompute and (d_type or d_collation or d_null)"),
+        "redefault": F.expr("changed and not recompute and d_default"),
+    }).withColumns({
+        "w_backfill": F.col("added") & needs_backfill(_s),
+        "w_identity": F.expr("changed and d_identity"),
+        "w_not_null": F.expr("alters and t.is_nullable and not s.is_nullable"),
+        "w_narrows": F.expr("alters and d_type") & is_narrowing(_s, _t),
+    })
+    worded = flagged.withColumns({
+        "add_stmt": render.add_column_stmt(table, _s),
+        "drop_stmt": render.drop_column_stmt(table, F.col("name")),
+        "alter_stmt": render.alter_column(table, _s, F.col("s_type")),
+        "drop_default_stmt": render.around(render.constraint_drop(_t("default_name")), table),
+        "add_default_stmt": render.add_default_stmt(table, _s),
+        "m_backfill": messages.add_not_null(F.col("name")), "m_identity": messages.identity_differs(F.col("name")),
+        "m_not_null": messages.becomes_not_null(F.col("name")),
+        "m_narrows": messages.narrows(F.col("name"), F.col("t_type"), F.col("s_type")),
+        "m_kept": messages.column_kept(F.col("name")), "m_dropped": messages.column_dropped(F.col("name")),
+    })
+    warned = " + ".join(f"if({w}, 1, 0)" for w in _WARNINGS)
+    return worded.select(
         "pair_id", "obj_key", "col_key", "table_ident", "outcome", "s", "t", F.lit(0).alias("kind_rank"),
-        (1 - F.col("is_source")).alias("side"), "ordinal", name.alias("name"),
-        (F.col("recompute") | F.col("alters")).alias("rewritten"),
-        F.when(only & ~drops, 0).otherwise(1).alias("changes"),
-        _warning_count(backfill, identity, to_not_null, narrowing, only).alias("warnings"),
-        F.array_compact(F.array(*steps)).alias("steps"),
+        (1 - F.col("is_source")).alias("side"), "ordinal", "name",
+        F.expr("coalesce(recompute or alters, false)").alias("rewritten"),
+        F.expr("case when only and not include_drops then 0 else 1 end").alias("changes"),
+        F.expr(warned).alias("warnings"),
+        step_array(_STEPS).alias("steps"),
     )
 
 

@@ -15,7 +15,7 @@ from fleetshape.functions import messages, render
 from fleetshape.functions.render import Row, fields
 from fleetshape.functions.text import normalize_text
 from fleetshape.model import table_key
-from fleetshape.operators.columns import PHASE_POST, PHASE_PRE, PHASE_WARNING, _step
+from fleetshape.operators.columns import PHASE_POST, PHASE_PRE, PHASE_WARNING, step_array
 from fleetshape.operators.matching import match_sides, tag_sides, union_all
 
 # Order in which the kinds are compared inside a table.
@@ -144,6 +144,16 @@ def match_constraints(src: DataFrame, tgt: DataFrame, tables: DataFrame) -> Data
     return match_sides(rows, ["pair_id", "obj_key", "kind_rank", "match_key"])
 
 
+_STEPS = [
+    ("outcome = 'target_only' and not include_drops", PHASE_WARNING, 4, "warn_item_kept", "m_kept"),
+    ("outcome = 'changed' or (outcome = 'target_only' and include_drops)", PHASE_PRE, 0, "drop_item", "drop_target"),
+    ("moved", PHASE_PRE, 0, "take_down", "drop_target"),
+    ("outcome in ('added', 'changed')", PHASE_POST, 0, "add_item", "add_source"),
+    ("moved and outcome = 'same'", PHASE_POST, 0, "restore", "add_source"),
+    ("moved and outcome = 'target_only'", PHASE_POST, 0, "restore", "add_target"),
+]
+
+
 def diff_constraints(matched: DataFrame) -> DataFrame:
     """Differing items and items that must step aside for a rewritten column, with their steps.
 
@@ -152,38 +162,30 @@ def diff_constraints(matched: DataFrame) -> DataFrame:
     target-only one is put back the way the target had it.
     """
     s, t = fields("s"), fields("t")
-    label = F.create_map(*[F.lit(x) for pair in KIND_LABELS.items() for x in pair])[F.col("kind_rank")]
-    outcome = (
-        F.when(F.col("t").isNull(), "added").when(F.col("s").isNull(), "target_only")
-        .when(s("facets") == t("facets"), "same").otherwise("changed")
-    )
-    in_the_way = F.coalesce(F.arrays_overlap(t("touches"), F.col("rewritten_cols")), F.lit(False))
-    drops, table = F.col("include_drops"), F.col("table_ident")
-    flagged = (
-        matched.withColumn("outcome", outcome)
-        .withColumn("moved", in_the_way & ((F.col("outcome") == "same") | ((F.col("outcome") == "target_only") & ~drops)))
-        .where((F.col("outcome") != "same") | F.col("moved"))
-    )
-    only, changed = F.col("outcome") == "target_only", F.col("outcome") == "changed"
-    add_s = render.around((s("add_head"), s("add_tail")), table)
-    add_t = render.around((t("add_head"), t("add_tail")), table)
-    drop_t = render.around((t("drop_head"), t("drop_tail")), table)
-    moved = F.col("moved")
-    steps = [
-        _step(only & ~drops, PHASE_WARNING, 4, "warn_item_kept", messages.item_kept(label, t("name"))),
-        _step(changed, PHASE_PRE, 0, "drop_item", drop_t),
-        _step(only & drops, PHASE_PRE, 0, "drop_item", drop_t),
-        _step(moved, PHASE_PRE, 0, "take_down", drop_t),
-        _step((F.col("outcome") == "added") | changed, PHASE_POST, 0, "add_item", add_s),
-        _step(moved & ~only, PHASE_POST, 0, "restore", add_s),
-        _step(moved & only, PHASE_POST, 0, "restore", add_t),
-    ]
-    return flagged.select(
+    label = F.element_at(F.array(*[F.lit(text) for text in KIND_LABELS.values()]), F.col("kind_rank"))
+    outcome = ("case when t is null then 'added' when s is null then 'target_only' "
+               "when s.facets = t.facets then 'same' else 'changed' end")
+    flagged = matched.withColumns({
+        "outcome": F.expr(outcome),
+        "in_the_way": F.coalesce(F.arrays_overlap(t("touches"), F.col("rewritten_cols")), F.lit(False)),
+    }).withColumn(
+        "moved", F.expr("in_the_way and (outcome = 'same' or (outcome = 'target_only' and not include_drops))")
+    ).where("outcome <> 'same' or moved")
+    table = F.col("table_ident")
+    worded = flagged.withColumns({
+        "name": F.coalesce(s("name"), t("name")),
+        "add_source": render.around((s("add_head"), s("add_tail")), table),
+        "add_target": render.around((t("add_head"), t("add_tail")), table),
+        "drop_target": render.around((t("drop_head"), t("drop_tail")), table),
+        "m_kept": messages.item_kept(label, t("name")),
+    })
+    return worded.select(
         "pair_id", "obj_key", "kind_rank", "match_key", "outcome", "moved", (1 - F.col("is_source")).alias("side"),
-        "ordinal", F.coalesce(s("name"), t("name")).alias("name"),
-        F.when((F.col("outcome") == "same") | (only & ~drops), 0).otherwise(1).alias("changes"),
-        F.when(only & ~drops, 1).otherwise(0).alias("warnings"),
-        F.array_compact(F.array(*steps)).alias("steps"),
+        "ordinal", "name",
+        F.expr("case when outcome = 'same' or (outcome = 'target_only' and not include_drops) then 0 else 1 end")
+        .alias("changes"),
+        F.expr("case when outcome = 'target_only' and not include_drops then 1 else 0 end").alias("warnings"),
+        step_array(_STEPS).alias("steps"),
     )
 
 

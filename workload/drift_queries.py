@@ -29,7 +29,7 @@ def _long(*names: str) -> list:
 # ---- scalar expressions
 
 
-@query("q_normalize_text", Q.oracle(f"select doc_id, md5({Q.norm('text')}) as digest from documents"))
+@query("q_normalize_text", Q.oracle(f"select doc_id, md5({Q.norm("replace(text, 'ß', 'SS')")}) as digest from documents"))
 def q_normalize_text(spark, sf):
     docs = fleet.cte(spark, sf, "documents")
     return docs.select("doc_id", F.md5(text.normalize_text(F.col("text"))).alias("digest"))

@@ -164,7 +164,108 @@ tgt_fks as (
 """
 
 
-FLEET_CTES = ",\n".join(block.strip() for block in (OBJECTS, COLUMNS, CONSTRAINTS))
+# Raw catalog views, derived from the blocks above (source side). snapshot_id = pair_id.
+_TYPES = [  # user_type_id, system_type_id, schema_id, name, user defined, table type, assembly type, max_length
+    (1, 1, 5, "int", False, False, False, 4), (2, 2, 5, "bigint", False, False, False, 8),
+    (3, 3, 5, "varchar", False, False, False, 8000), (4, 4, 5, "nvarchar", False, False, False, 8000),
+    (5, 5, 5, "decimal", False, False, False, 17), (6, 6, 5, "datetime2", False, False, False, 8),
+    (100, 3, 1, "PhoneNumber", True, False, False, 25), (101, 1, 3, "Unused", True, False, False, 4),
+    (102, 1, 1, "Rows", True, True, False, -1), (103, 1, 1, "Clr", True, False, True, -1),
+]
+
+
+def _type_rows() -> str:
+    return " union all\n  ".join(
+        f"select c_custkey as snapshot_id, {u} as user_type_id, {b} as system_type_id, {sc} as schema_id, '{n}' as name, "
+        f"{ud} as is_user_defined, {tt} as is_table_type, {at} as is_assembly_type, {ml} as max_length, 0 as prec, 0 as scale, "
+        f"{u} <> 100 as is_nullable, cast(null as varchar(50)) as collation_name from customer".lower()
+        .replace(n.lower() + "'", n + "'")
+        for u, b, sc, n, ud, tt, at, ml in _TYPES)
+
+
+def _schema_rows() -> str:
+    return " union all\n  ".join(
+        f"select c_custkey as snapshot_id, {i} as schema_id, '{n}' as name from customer"
+        for i, n in enumerate(["dbo", "Sales", "app", "hr", "sys"], 1))
+
+
+CATALOG = f"""
+sys_schemas as (
+  {_schema_rows()}),
+sys_types as (
+  {_type_rows()}),
+sys_tables as (
+  select pair_id as snapshot_id, object_id, case schema_name when 'dbo' then 1 when 'Sales' then 2 when 'app' then 3 else 4 end as schema_id,
+    table_name as name, object_id % 101 = 0 as is_ms_shipped, case object_id % 53 when 0 then 1 when 1 then 2 else 0 end as temporal_type
+  from tables_base),
+sys_columns as (
+  select pair_id as snapshot_id, object_id, column_id, name,
+    case when type_name = 'varchar' and max_length = 60 then 100 else case type_name when 'int' then 1 when 'bigint' then 2 when 'varchar' then 3
+      when 'nvarchar' then 4 when 'decimal' then 5 else 6 end end as user_type_id,
+    max_length, prec, scale, is_nullable, is_identity, computed_definition is not null as is_computed, collation_name,
+    is_row_guid as is_rowguidcol, case when default_definition is null then 0 else object_id * 10 + column_id end as default_object_id
+  from src_columns),
+sys_computed_columns as (
+  select pair_id as snapshot_id, object_id, column_id, computed_definition as definition, column_id = 2 as is_persisted
+  from src_columns where computed_definition is not null),
+sys_default_constraints as (
+  select pair_id as snapshot_id, object_id * 10 + column_id as object_id, default_name as name, default_definition as definition,
+    default_is_system_named as is_system_named
+  from src_columns where default_definition is not null),
+sys_identity_columns as (
+  select pair_id as snapshot_id, object_id, column_id, 1 as seed_value, 1 as increment_value from src_columns where is_identity),
+sys_indexes as (
+  select pair_id as snapshot_id, object_id, 1 as index_id, name, 1 as type, 'CLUSTERED' as type_desc, true as is_unique,
+    cast(null as varchar(50)) as filter_definition, false as is_disabled, false as is_hypothetical, true as is_primary_key,
+    false as is_unique_constraint
+  from src_keys
+  union all
+  select pair_id, object_id, cast(substr(key_column, 5) as int), name, case when object_id % 59 = 0 then 6 else 2 end,
+    case when object_id % 59 = 0 then 'NONCLUSTERED COLUMNSTORE' else type_desc end, is_unique, filter_definition,
+    object_id % 31 = 0, object_id % 61 = 0, false, false
+  from src_indexes
+  union all
+  select pair_id, object_id, 0, null, 0, 'HEAP', false, null, false, false, false, false from tables_base where object_id % 7 = 0),
+sys_index_columns as (
+  select pair_id as snapshot_id, object_id, 1 as index_id, key_ordinal as index_column_id, key_ordinal as column_id, key_ordinal,
+    is_descending as is_descending_key, false as is_included_column
+  from src_key_columns
+  union all
+  select pair_id, object_id, cast(substr(key_column, 5) as int), 1, cast(substr(key_column, 5) as int), 1, is_descending, false from src_indexes
+  union all
+  select pair_id, object_id, cast(substr(key_column, 5) as int), 2, cast(substr(included_column, 5) as int), 0, false, true
+  from src_indexes where included_column is not null),
+sys_key_constraints as (
+  select pair_id as snapshot_id, object_id as parent_object_id, name, type_code as type, 1 as unique_index_id, is_system_named from src_keys),
+sys_foreign_keys as (
+  select pair_id as snapshot_id, object_id * 1000000 + referenced_object_id as object_id, object_id as parent_object_id, referenced_object_id, name,
+    delete_action as delete_referential_action_desc, update_action as update_referential_action_desc, false as is_not_for_replication,
+    is_not_trusted, object_id % 23 = 0 as is_disabled, is_system_named
+  from src_fks),
+sys_foreign_key_columns as (
+  select pair_id as snapshot_id, object_id * 1000000 + referenced_object_id as constraint_object_id, 1 as constraint_column_id,
+    object_id as parent_object_id, 1 as parent_column_id, referenced_object_id, 1 as referenced_column_id
+  from src_fks),
+sys_check_constraints as (
+  select pair_id as snapshot_id, object_id as parent_object_id, name, definition, is_not_trusted, object_id % 29 = 0 as is_disabled, is_system_named
+  from src_checks),
+sys_objects as (
+  select pair_id as snapshot_id, object_id, case schema_name when 'dbo' then 1 when 'Sales' then 2 when 'app' then 3 else 4 end as schema_id,
+    table_name as name, 'U ' as type, object_id % 101 = 0 as is_ms_shipped
+  from tables_base
+  union all
+  select pair_id, 1000000000 + cast(substr(obj_name, 5) as bigint), 1, obj_name, case obj_type when 'View' then 'V ' when 'StoredProcedure' then 'P '
+      else case cast(substr(obj_name, 5) as bigint) % 2 when 0 then 'FN' else 'IF' end end, cast(substr(obj_name, 5) as bigint) % 43 = 0
+  from src_modules),
+sys_sql_modules as (
+  select pair_id as snapshot_id, 1000000000 + cast(substr(obj_name, 5) as bigint) as object_id, '  ' || definition || '  ' as definition from src_modules),
+sys_sql_expression_dependencies as (
+  select pair_id as snapshot_id, 1000000000 + cast(substr(obj_name, 5) as bigint) as referencing_id,
+    case when cast(substr(obj_name, 5) as bigint) % 5 = 0 then null else 1000000000 + cast(substr(obj_name, 5) as bigint) - 150 end as referenced_id
+  from src_modules)
+"""
+
+FLEET_CTES = ",\n".join(block.strip() for block in (OBJECTS, COLUMNS, CONSTRAINTS, CATALOG))
 
 
 def fleet_sql(body: str, extra: str = "") -> str:

@@ -171,3 +171,13 @@ def side(spark: SparkSession, sf_dir: str, side_name: str, names: tuple[str, ...
 def fleet_diff(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = tuple(RELATIONS)) -> FleetDiff:
     """The comparison of the fixture fleet over the named relations."""
     return FleetDiff(pairs(spark, sf_dir), side(spark, sf_dir, "src", names), side(spark, sf_dir, "tgt", names))
+
+
+def catalog_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One raw catalog view of the source side, read from a dump like the relations above."""
+    dumps = _dumps.setdefault((id(spark), sf_dir), {})
+    if name not in dumps:
+        path = scratch_path(spark, name)
+        cte(spark, sf_dir, name).write.parquet(path)
+        dumps[name] = spark.read.parquet(path)
+    return dumps[name]
