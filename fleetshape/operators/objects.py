@@ -60,6 +60,11 @@ def _keyed(objects: DataFrame) -> DataFrame:
     )
 
 
+def keyed(objects: DataFrame) -> DataFrame:
+    """Scope and key of each object."""
+    return objects.select("pair_id", obj_key(F.col("obj_type"), F.col("schema_name"), F.col("obj_name")).alias("obj_key"))
+
+
 def match_objects(src_objects: DataFrame, tgt_objects: DataFrame) -> DataFrame:
     """Objects of both sides joined on `(pair_id, obj_key)`. Definitions stay behind; digests travel."""
     s = _keyed(src_objects).withColumnsRenamed({"row": "s", "obj_type": "s_type"})

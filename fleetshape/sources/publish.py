@@ -1,0 +1,75 @@
+"""All-or-nothing publish of many tables: stage, verify, then flip one manifest."""
+
+from __future__ import annotations
+
+import json
+import uuid
+
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+
+
+class PublishError(RuntimeError):
+    """A staged table does not hold what was to be written; nothing was published."""
+
+
+def _filesystem(spark: SparkSession, path: str):
+    jvm = spark._jvm
+    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
+
+
+def _versions(spark: SparkSession, root: str) -> list[int]:
+    fs, path = _filesystem(spark, root)
+    folder = path(f"{root}/manifests")
+    if not fs.exists(folder):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(folder)]
+    return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and n[0].isdigit())
+
+
+def current_manifest(spark: SparkSession, root: str) -> dict:
+    """The newest manifest, or an empty one."""
+    versions = _versions(spark, root)
+    if not versions:
+        return {"version": 0, "tables": {}}
+    text = spark.read.text(f"{root}/manifests/{versions[-1]:010d}.json", wholetext=True).first()[0]
+    return json.loads(text)
+
+
+def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], expected_rows: dict[str, int] | None = None) -> dict:
+    """Write all `tables` aside and make them current together.
+
+    Every table is written to a run folder and counted there against the rows its job produced
+    (or `expected_rows`). Only then does a new manifest appear, by one rename that fails if
+    another publish took the version. Until that rename readers see the old tables; a
+    failure leaves them in place.
+    """
+    root = root.rstrip("/")
+    base = current_manifest(spark, root)
+    run = f"{root}/runs/{uuid.uuid4().hex}"
+    entries = dict(base["tables"])
+    for name, df in tables.items():
+        path = f"{run}/{name}"
+        written = Observation(f"publish-{name}")
+        df.observe(written, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+        staged = spark.read.parquet(path).count()
+        wanted = (expected_rows or {}).get(name, written.get["rows"])
+        if staged != wanted:
+            raise PublishError(f"{name}: {staged} rows staged, {wanted} expected")
+        entries[name] = {"path": path, "rows": staged}
+    manifest = {"version": base["version"] + 1, "tables": entries}
+    fs, path = _filesystem(spark, root)
+    draft, final = path(f"{run}/manifest.json"), path(f"{root}/manifests/{manifest['version']:010d}.json")
+    out = fs.create(draft, False)
+    out.write(bytearray(json.dumps(manifest), "utf-8"))
+    out.close()
+    fs.mkdirs(path(f"{root}/manifests"))
+    if fs.exists(final) or not fs.rename(draft, final):
+        raise PublishError(f"version {manifest['version']} was published by someone else")
+    return manifest
+
+
+def read_published(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """The current version of a published table."""
+    return spark.read.parquet(current_manifest(spark, root.rstrip("/"))["tables"][name]["path"])

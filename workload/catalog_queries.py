@@ -9,19 +9,27 @@ from fleetshape.operators import assemble as A
 from fleetshape.plans.prerequisites import used_schemas
 from workload import fleet
 from workload import oracle_sql as Q
-from workload.fixture_sql import cte_bodies
 from workload.registry import query
 
-VIEWS = [name for name in cte_bodies() if name.startswith("sys_")]
-
 _TABLES = """
 o_tables as (
   select t.snapshot_id, t.object_id, s.name as schema_name, t.name as table_name, t.temporal_type
   from sys_tables t join sys_schemas s on s.snapshot_id = t.snapshot_id and s.schema_id = t.schema_id where not t.is_ms_shipped)"""
 
 
+class _Views(dict):
+    """Catalog views by name, each dumped when an operator first asks for it."""
+
+    def __init__(self, spark, sf):
+        self.load = lambda name: fleet.catalog_view(spark, sf, name)
+
+    def __missing__(self, name):
+        self[name] = self.load(name)
+        return self[name]
+
+
 def catalog(spark, sf) -> A.Catalog:
-    return {name: fleet.catalog_view(spark, sf, name) for name in VIEWS}
+    return _Views(spark, sf)
 
 
 @query("q_user_tables", Q.oracle("select snapshot_id, object_id, schema_name, table_name from o_tables", _TABLES))
