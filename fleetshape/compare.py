@@ -59,15 +59,20 @@ class FleetDiff:
     def constraint_diff(self) -> DataFrame:
         return self._diff_constraints(text=True)
 
+    @cached_property
+    def constraint_changes(self) -> DataFrame:
+        """The same without statement text, for counting and classification."""
+        return self._diff_constraints(text=False)
+
     @cached_property
     def table_counts(self) -> DataFrame:
-        return K.table_counts(self.table_summary, self._diff_constraints(text=False) if self.has_constraints else None)
+        return K.table_counts(self.table_summary, self.constraint_changes if self.has_constraints else None)
 
     @cached_property
     def steps(self) -> DataFrame:
         """Every step and warning inside compared tables, one row each."""
-        diffs = [self.column_diff] + ([self.constraint_diff] if self.has_constraints else [])
-        return union_all([C.steps_of(d) for d in diffs])
+        own = C.column_steps(self.column_diff)
+        return union_all([own, K.constraint_steps(self.constraint_diff)]) if self.has_constraints else own
 
     @cached_property
     def actions(self) -> DataFrame:

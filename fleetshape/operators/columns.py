@@ -8,6 +8,9 @@ the per-table counts and the set of rewritten columns.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,39 +86,76 @@ def needs_backfill(row: Row) -> Column:
     )
 
 
-def step_array(steps: list[tuple[str, int, int, str, str]]) -> Column:
-    """Array of the steps whose condition holds; each is (condition, phase, sub, action, statement column)."""
-    cases = [f"case when {when} then named_struct('phase', {phase}, 'sub', {sub}, 'action', '{action}', 'stmt', {stmt}) end"
-             for when, phase, sub, action, stmt in steps]
-    return F.expr(f"array_compact(array({', '.join(cases)}))")
+@dataclass(frozen=True)
+class Step:
+    """A kind of step: the condition that calls for it, its place in the table's plan, and its text."""
+
+    when: str
+    phase: int
+    sub: int
+    action: str
+    text: Callable[[], Column]
+
+
+def step_numbers(kinds: list[Step]) -> Column:
+    """Array of the numbers of the kinds whose condition holds."""
+    return F.expr("array_compact(array({}))".format(", ".join(f"case when {k.when} then {i} end" for i, k in enumerate(kinds))))
+
+
+def expand_steps(diffed: DataFrame, kinds: list[Step]) -> DataFrame:
+    """One row per step. Text is written behind the expansion: a filter on `action` leaves only its own to render."""
+    step = F.col("step")
+
+    def looked_up(values: list) -> Column:
+        return F.element_at(F.array(*[F.lit(v) for v in values]), step + 1)
+
+    stmt = F.when(step == 0, kinds[0].text())
+    for i, kind in enumerate(kinds[1:], 1):
+        stmt = stmt.when(step == i, kind.text())
+    return diffed.withColumn("step", F.explode("steps")).select(
+        *STEP_COLUMNS, looked_up([k.phase for k in kinds]).alias("phase"), looked_up([k.sub for k in kinds]).alias("sub"),
+        looked_up([k.action for k in kinds]).alias("action"), stmt.alias("stmt"))
 
 
 _WARNINGS = ["w_backfill", "w_identity", "w_not_null", "w_narrows", "only"]
 
-_STEPS = [
-    ("w_backfill", PHASE_WARNING, 0, "warn_add_not_null", "m_backfill"),
-    ("added", PHASE_ADD, 0, "add_column", "add_stmt"),
-    ("w_identity", PHASE_WARNING, 0, "warn_identity", "m_identity"),
-    ("recompute and t.is_computed and named_default", PHASE_ALTER, 0, "drop_default", "drop_default_stmt"),
-    ("recompute", PHASE_ALTER, 1, "drop_computed", "drop_stmt"),
-    ("recompute", PHASE_ALTER, 2, "add_computed", "add_stmt"),
-    ("alters", PHASE_ALTER, 3, "alter_column", "alter_stmt"),
-    ("w_not_null", PHASE_WARNING, 1, "warn_not_null", "m_not_null"),
-    ("w_narrows", PHASE_WARNING, 2, "warn_narrowing", "m_narrows"),
-    ("redefault and named_default", PHASE_ALTER, 4, "drop_default", "drop_default_stmt"),
-    ("redefault and s_default <> ''", PHASE_ALTER, 5, "add_default", "add_default_stmt"),
-    ("only and not include_drops", PHASE_WARNING, 3, "warn_column_kept", "m_kept"),
-    ("only and include_drops and named_default", PHASE_DROP, 0, "drop_default", "drop_default_stmt"),
-    ("only and include_drops", PHASE_DROP, 1, "drop_column", "drop_stmt"),
-    ("only and include_drops", PHASE_WARNING, 3, "warn_column_dropped", "m_dropped"),
+def _table() -> Column:
+    return F.col("table_ident")
+
+
+def _name() -> Column:
+    return F.col("name")
+
+
+def _drop_default() -> Column:
+    return render.around(render.constraint_drop(_t("default_name")), _table())
+
+
+STEPS = [
+    Step("w_backfill", PHASE_WARNING, 0, "warn_add_not_null", lambda: messages.add_not_null(_name())),
+    Step("added", PHASE_ADD, 0, "add_column", lambda: render.add_column_stmt(_table(), _s)),
+    Step("w_identity", PHASE_WARNING, 0, "warn_identity", lambda: messages.identity_differs(_name())),
+    Step("recompute and t.is_computed and named_default", PHASE_ALTER, 0, "drop_default", _drop_default),
+    Step("recompute", PHASE_ALTER, 1, "drop_computed", lambda: render.drop_column_stmt(_table(), _name())),
+    Step("recompute", PHASE_ALTER, 2, "add_computed", lambda: render.add_column_stmt(_table(), _s)),
+    Step("alters", PHASE_ALTER, 3, "alter_column", lambda: render.alter_column(_table(), _s, F.col("s_type"))),
+    Step("w_not_null", PHASE_WARNING, 1, "warn_not_null", lambda: messages.becomes_not_null(_name())),
+    Step("w_narrows", PHASE_WARNING, 2, "warn_narrowing",
+         lambda: messages.narrows(_name(), F.col("t_type"), F.col("s_type"))),
+    Step("redefault and named_default", PHASE_ALTER, 4, "drop_default", _drop_default),
+    Step("redefault and s_default <> ''", PHASE_ALTER, 5, "add_default", lambda: render.add_default_stmt(_table(), _s)),
+    Step("only and not include_drops", PHASE_WARNING, 3, "warn_column_kept", lambda: messages.column_kept(_name())),
+    Step("only and include_drops and named_default", PHASE_DROP, 0, "drop_default", _drop_default),
+    Step("only and include_drops", PHASE_DROP, 1, "drop_column", lambda: render.drop_column_stmt(_table(), _name())),
+    Step("only and include_drops", PHASE_WARNING, 3, "warn_column_dropped", lambda: messages.column_dropped(_name())),
     # A difference no statement can express (row-guid or identity alone) still counts as a change.
-    ("changed and not recompute and not alters and not redefault", PHASE_ALTER, 9, "none", "cast(null as string)"),
+    Step("changed and not recompute and not alters and not redefault", PHASE_ALTER, 9, "none",
+         lambda: F.lit(None).cast("string")),
 ]
 
 
 def diff_columns(matched: DataFrame) -> DataFrame:
-    """Differing columns, one row each: outcome, change and warning counts, `rewritten`, and their steps."""
-    table = F.col("table_ident")
+    """Differing columns, one row each: outcome, change and warning counts, `rewritten`, and the numbers of their steps."""
     flagged = compare_facets(matched).where("outcome <> 'same'").withColumns({
         "name": F.coalesce(_s("name"), _t("name")),
         "added": F.expr("outcome = 'added'"), "only": F.expr("outcome = 'target_only'"),
@@ -131,31 +171,20 @@ def diff_columns(matched: DataFrame) -> DataFrame:
         "w_not_null": F.expr("alters and t.is_nullable and not s.is_nullable"),
         "w_narrows": F.expr("alters and d_type") & is_narrowing(_s, _t),
     })
-    worded = flagged.withColumns({
-        "add_stmt": render.add_column_stmt(table, _s),
-        "drop_stmt": render.drop_column_stmt(table, F.col("name")),
-        "alter_stmt": render.alter_column(table, _s, F.col("s_type")),
-        "drop_default_stmt": render.around(render.constraint_drop(_t("default_name")), table),
-        "add_default_stmt": render.add_default_stmt(table, _s),
-        "m_backfill": messages.add_not_null(F.col("name")), "m_identity": messages.identity_differs(F.col("name")),
-        "m_not_null": messages.becomes_not_null(F.col("name")),
-        "m_narrows": messages.narrows(F.col("name"), F.col("t_type"), F.col("s_type")),
-        "m_kept": messages.column_kept(F.col("name")), "m_dropped": messages.column_dropped(F.col("name")),
-    })
     warned = " + ".join(f"if({w}, 1, 0)" for w in _WARNINGS)
-    return worded.select(
-        "pair_id", "obj_key", "col_key", "table_ident", "outcome", "s", "t", F.lit(0).alias("kind_rank"),
-        (1 - F.col("is_source")).alias("side"), "ordinal", "name",
+    return flagged.select(
+        "pair_id", "obj_key", "col_key", "table_ident", "outcome", "s", "t", "s_type", "t_type",
+        F.lit(0).alias("kind_rank"), (1 - F.col("is_source")).alias("side"), "ordinal", "name",
         F.expr("coalesce(recompute or alters, false)").alias("rewritten"),
         F.expr("case when only and not include_drops then 0 else 1 end").alias("changes"),
         F.expr(warned).alias("warnings"),
-        step_array(_STEPS).alias("steps"),
+        step_numbers(STEPS).alias("steps"),
     )
 
 
-def steps_of(diffed: DataFrame) -> DataFrame:
-    """One row per step of a column or constraint comparison."""
-    return diffed.select(*STEP_COLUMNS, F.inline("steps"))
+def column_steps(diffed: DataFrame) -> DataFrame:
+    """One row per column step or warning."""
+    return expand_steps(diffed, STEPS)
 
 
 def rewritten_columns(diffed: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from fleetshape.functions import messages, render
 from fleetshape.functions.render import Row, fields
 from fleetshape.functions.text import normalize_text
 from fleetshape.model import table_key
-from fleetshape.operators.columns import PHASE_POST, PHASE_PRE, PHASE_WARNING, step_array
+from fleetshape.operators.columns import PHASE_POST, PHASE_PRE, PHASE_WARNING, Step, expand_steps, step_numbers
 from fleetshape.operators.matching import match_sides, tag_sides, union_all
 
 # Order in which the kinds are compared inside a table.
@@ -51,36 +51,36 @@ def index_match_key(row: Row) -> Column:
     return F.upper(row("name"))
 
 
-def _text(c: Column) -> Column:
+def _as_text(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
 def _column_facets(row: Row) -> Column:
     """Three entries per column, so that no separator inside a name can blur two lists."""
     return F.flatten(F.transform(row("columns"), lambda c: F.array(
-        F.upper(c["name"]), _text(c["is_descending"]), _text(c["is_included"]))))
+        F.upper(c["name"]), _as_text(c["is_descending"]), _as_text(c["is_included"]))))
 
 
 def key_facets(row: Row) -> Column:
-    return F.concat(F.array(_text(row("type_code")), _text(render.is_clustered(row("index_type_desc")))),
+    return F.concat(F.array(_as_text(row("type_code")), _as_text(render.is_clustered(row("index_type_desc")))),
                     _column_facets(row))
 
 
 def check_facets(row: Row) -> Column:
-    return F.array(normalize_text(row("definition")), _text(row("is_not_trusted")))
+    return F.array(normalize_text(row("definition")), _as_text(row("is_not_trusted")))
 
 
 def fk_facets(row: Row) -> Column:
     """Referenced table, actions (exact), replication flag, ordered pairs; trust and disabled do not count."""
     return F.concat(
-        F.array(F.upper(row("referenced_schema")), F.upper(row("referenced_table")), _text(row("delete_action")),
-                _text(row("update_action")), _text(row("is_not_for_replication"))),
+        F.array(F.upper(row("referenced_schema")), F.upper(row("referenced_table")), _as_text(row("delete_action")),
+                _as_text(row("update_action")), _as_text(row("is_not_for_replication"))),
         F.transform(_fk_pairs(row), lambda p: F.upper(p)))
 
 
 def index_facets(row: Row) -> Column:
     return F.concat(
-        F.array(_text(row("is_unique")), F.upper(row("type_desc")), normalize_text(row("filter_definition"))),
+        F.array(_as_text(row("is_unique")), F.upper(row("type_desc")), normalize_text(row("filter_definition"))),
         _column_facets(row))
 
 
@@ -144,13 +144,22 @@ def match_constraints(src: DataFrame, tgt: DataFrame, tables: DataFrame) -> Data
     return match_sides(rows, ["pair_id", "obj_key", "kind_rank", "match_key"])
 
 
-_STEPS = [
-    ("outcome = 'target_only' and not include_drops", PHASE_WARNING, 4, "warn_item_kept", "m_kept"),
-    ("outcome = 'changed' or (outcome = 'target_only' and include_drops)", PHASE_PRE, 0, "drop_item", "drop_target"),
-    ("moved", PHASE_PRE, 0, "take_down", "drop_target"),
-    ("outcome in ('added', 'changed')", PHASE_POST, 0, "add_item", "add_source"),
-    ("moved and outcome = 'same'", PHASE_POST, 0, "restore", "add_source"),
-    ("moved and outcome = 'target_only'", PHASE_POST, 0, "restore", "add_target"),
+def _text(side: str, part: str) -> Callable[[], Column]:
+    return lambda: F.concat(F.col(f"{side}.{part}_head"), F.col("table_ident"), F.col(f"{side}.{part}_tail"))
+
+
+def _kept() -> Column:
+    label = F.element_at(F.array(*[F.lit(text) for text in KIND_LABELS.values()]), F.col("kind_rank"))
+    return messages.item_kept(label, F.col("name"))
+
+
+STEPS = [
+    Step("outcome = 'target_only' and not include_drops", PHASE_WARNING, 4, "warn_item_kept", _kept),
+    Step("outcome = 'changed' or (outcome = 'target_only' and include_drops)", PHASE_PRE, 0, "drop_item", _text("t", "drop")),
+    Step("moved", PHASE_PRE, 0, "take_down", _text("t", "drop")),
+    Step("outcome in ('added', 'changed')", PHASE_POST, 0, "add_item", _text("s", "add")),
+    Step("moved and outcome = 'same'", PHASE_POST, 0, "restore", _text("s", "add")),
+    Step("moved and outcome = 'target_only'", PHASE_POST, 0, "restore", _text("t", "add")),
 ]
 
 
@@ -162,7 +171,6 @@ def diff_constraints(matched: DataFrame) -> DataFrame:
     target-only one is put back the way the target had it.
     """
     s, t = fields("s"), fields("t")
-    label = F.element_at(F.array(*[F.lit(text) for text in KIND_LABELS.values()]), F.col("kind_rank"))
     outcome = ("case when t is null then 'added' when s is null then 'target_only' "
                "when s.facets = t.facets then 'same' else 'changed' end")
     flagged = matched.withColumns({
@@ -171,24 +179,21 @@ def diff_constraints(matched: DataFrame) -> DataFrame:
     }).withColumn(
         "moved", F.expr("in_the_way and (outcome = 'same' or (outcome = 'target_only' and not include_drops))")
     ).where("outcome <> 'same' or moved")
-    table = F.col("table_ident")
-    worded = flagged.withColumns({
-        "name": F.coalesce(s("name"), t("name")),
-        "add_source": render.around((s("add_head"), s("add_tail")), table),
-        "add_target": render.around((t("add_head"), t("add_tail")), table),
-        "drop_target": render.around((t("drop_head"), t("drop_tail")), table),
-        "m_kept": messages.item_kept(label, t("name")),
-    })
-    return worded.select(
-        "pair_id", "obj_key", "kind_rank", "match_key", "outcome", "moved", (1 - F.col("is_source")).alias("side"),
-        "ordinal", "name",
+    return flagged.select(
+        "pair_id", "obj_key", "kind_rank", "match_key", "table_ident", "outcome", "moved", "s", "t",
+        (1 - F.col("is_source")).alias("side"), "ordinal", F.coalesce(s("name"), t("name")).alias("name"),
         F.expr("case when outcome = 'same' or (outcome = 'target_only' and not include_drops) then 0 else 1 end")
         .alias("changes"),
         F.expr("case when outcome = 'target_only' and not include_drops then 1 else 0 end").alias("warnings"),
-        step_array(_STEPS).alias("steps"),
+        step_numbers(STEPS).alias("steps"),
     )
 
 
+def constraint_steps(diffed: DataFrame) -> DataFrame:
+    """One row per constraint or index step or warning."""
+    return expand_steps(diffed, STEPS)
+
+
 def table_counts(summary: DataFrame, diffed: DataFrame | None = None) -> DataFrame:
     """Changes and warnings per (pair, table): those of its columns plus those of its items."""
     if diffed is None:

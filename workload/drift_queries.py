@@ -246,7 +246,7 @@ def _column_action(name: str, actions: tuple[str, ...]) -> None:
     @query(name, sql)
     def run(spark, sf):
         diff = fleet.fleet_diff(spark, sf, COLUMNS_ONLY).column_diff
-        return C.steps_of(diff).where(F.col("action").isin(*actions)).select(*STEP_FIELDS)
+        return C.column_steps(diff).where(F.col("action").isin(*actions)).select(*STEP_FIELDS)
 
 
 for _name, _actions in COLUMN_ACTIONS.items():
@@ -258,7 +258,7 @@ for _name, _actions in COLUMN_ACTIONS.items():
     f"{Q.COLUMN_MATCH},{Q.COLUMN_STEPS}"))
 def q_default_changes(spark, sf):
     diff = fleet.fleet_diff(spark, sf, COLUMNS_ONLY).column_diff
-    return C.steps_of(diff).where("phase = 2 and action in ('drop_default', 'add_default')").select(*STEP_FIELDS)
+    return C.column_steps(diff).where("phase = 2 and action in ('drop_default', 'add_default')").select(*STEP_FIELDS)
 
 
 # ---- constraints and indexes
@@ -300,7 +300,7 @@ _ITEM_ORACLE = f"{Q.COLUMN_MATCH},{Q.ITEM_MATCH}"
 @query("q_constraint_actions", Q.oracle(
     "select pair_id, obj_key, cast(kind_rank as bigint) as kind_rank, name, action, stmt from o_item_steps", _ITEM_ORACLE))
 def q_constraint_actions(spark, sf):
-    steps = C.steps_of(fleet.fleet_diff(spark, sf).constraint_diff)
+    steps = K.constraint_steps(fleet.fleet_diff(spark, sf).constraint_diff)
     return steps.select(*STEP_FIELDS, *_long("kind_rank"))
 
 
@@ -310,7 +310,7 @@ def _kind_changes(name: str, rank: int) -> None:
 
     @query(name, sql)
     def run(spark, sf):
-        diff = fleet.fleet_diff(spark, sf).constraint_diff
+        diff = fleet.fleet_diff(spark, sf).constraint_changes
         return diff.where((F.col("kind_rank") == rank) & (F.col("outcome") != "same")).select(
             "pair_id", "obj_key", "match_key", "name", "outcome")
 
@@ -322,5 +322,5 @@ for _rank, _kind in {1: "key", 2: "check", 3: "fk", 4: "index"}.items():
 @query("q_dependants_restored", Q.oracle(
     "select pair_id, obj_key, name, action, stmt from o_item_steps where action in ('take_down', 'restore')", _ITEM_ORACLE))
 def q_dependants_restored(spark, sf):
-    steps = C.steps_of(fleet.fleet_diff(spark, sf).constraint_diff)
+    steps = K.constraint_steps(fleet.fleet_diff(spark, sf).constraint_diff)
     return steps.where("action in ('take_down', 'restore')").select(*STEP_FIELDS)
