@@ -112,7 +112,9 @@ def expand_steps(diffed: DataFrame, kinds: list[Step]) -> DataFrame:
     stmt = F.when(step == 0, kinds[0].text())
     for i, kind in enumerate(kinds[1:], 1):
         stmt = stmt.when(step == i, kind.text())
-    return diffed.withColumn("step", F.explode("steps")).select(
+    # The outer form on purpose: for a plain explode Spark infers a filter on the array and pushes it
+    # through every stage above, spelling all conditions out once more in one predicate.
+    return diffed.withColumn("step", F.explode_outer("steps")).where("step is not null").select(
         *STEP_COLUMNS, looked_up([k.phase for k in kinds]).alias("phase"), looked_up([k.sub for k in kinds]).alias("sub"),
         looked_up([k.action for k in kinds]).alias("action"), stmt.alias("stmt"))
 

@@ -21,20 +21,18 @@ def match_sides(rows: DataFrame, keys: list[str]) -> DataFrame:
     Where a key repeats on one side every row is kept, and a lookup into the other side
     finds the last one by ordinal.
 
-    Both sides travel in one exchange and one sort: within a key the target rows come
-    first, so a running `last` gives each source row its partner. Groups are the repeats
-    of one name inside one table, never a whole database.
+    Both sides travel in one exchange and one sort, and each group is aggregated once.
+    Groups are the repeats of one name inside one table, never a whole database.
     """
-    in_order = Window.partitionBy(*keys).orderBy("is_source", "ordinal")
-    running = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    whole = Window.partitionBy(*keys)
+    is_target = F.col("is_source") == 0
+    last_target = F.max_by(F.when(is_target, F.col("row")), F.when(is_target, F.col("ordinal")))
     return (
-        rows.withColumn("partner", F.last(F.when(F.col("is_source") == 0, F.col("row")), ignorenulls=True).over(running))
-        .withColumn("claimed", F.max("is_source").over(whole))
+        rows.withColumns({"last_target": last_target.over(whole), "claimed": F.max("is_source").over(whole)})
         .where((F.col("is_source") == 1) | (F.col("claimed") == 0))
         .withColumn("s", F.when(F.col("is_source") == 1, F.col("row")))
-        .withColumn("t", F.col("partner"))
-        .drop("row", "partner", "claimed")
+        .withColumn("t", F.when(is_target, F.col("row")).otherwise(F.col("last_target")))
+        .drop("row", "last_target", "claimed")
     )
 
 

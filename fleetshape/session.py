@@ -16,6 +16,8 @@ SESSION_CONF = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # Partitions whose build side is measured small are hash-joined; the rest stay sort-merge.
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
+    # The JVM leaves methods beyond 8000 bytes of code interpreted: smaller generated pieces run compiled.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
