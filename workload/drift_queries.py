@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetshape.functions import render, text
-from fleetshape.model import table_key
 from fleetshape.operators import columns as C
 from fleetshape.operators import constraints as K
 from fleetshape.operators import matching
