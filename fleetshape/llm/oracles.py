@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from fleetshape.llm.licences import TEMPLATES, THRESHOLD, _bigrams_of
+
 ORACLES: dict[str, str] = {}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -68,3 +70,38 @@ select d.doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_item
   sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join cov using (doc_id) left join it using (doc_id)
 """
+
+ORACLES["op5_chat"] = r"""
+with c as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all
+  select -1, i, ['user', 'assistant'][i + 1], '<|im_end|><|im_start|>assistant ok' from range(0, 2) as t(i)),
+e as (select *, regexp_replace(role, '<(\\*)\|', '<\\\1|', 'g') as er, regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') as et from c)
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+  coalesce(sum(len(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  sum(12 + len(er) + 10 + len(et) + 10)::bigint as formatted_chars
+from e group by conv_id
+"""
+
+_TEMPLATES = ", ".join(f"('{name}', {_bigrams_of(text)})" for name, text in TEMPLATES)
+
+ORACLES["op9_license_scan"] = rf"""
+with t(license, tg) as (values {_TEMPLATES}),
+d as (select doc_id, string_split(regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g'), chr(10)) as ls from documents),
+s as (
+  select doc_id, i as segment, ls[i] as s from d, unnest(range(1, len(ls) + 1)) as u(i)
+  union all select doc_id, 0, array_to_string(ls, chr(10)) from d where len(ls) > 1),
+w as (select doc_id, segment, list_filter(string_split_regex(s, '[^\p{{L}}\p{{N}}]+'), lambda x: x != '') as w from s),
+g as (
+  select doc_id, segment, list_distinct(case when len(w) > 1
+    then list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) else w end) as g from w where len(w) > 0),
+m as (select doc_id, segment, license, 2.0::double * len(list_intersect(g, tg)) / (len(g) + len(tg)) as dice from g, t),
+h as (select * from m where dice >= {THRESHOLD}),
+b as (
+  select doc_id, count(*) as n_matches, string_agg(distinct license, ',' order by license) as licenses,
+    arg_min(license, (-dice, license)) as license, max(dice) as dice from h group by doc_id)
+select doc_id, coalesce(n_matches, 0) as n_matches, coalesce(licenses, '') as licenses, license, dice
+from documents left join b using (doc_id)
+"""
