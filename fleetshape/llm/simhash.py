@@ -86,7 +86,8 @@ def links(distinct: DataFrame) -> DataFrame:
     met = stored(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
                  .where("n > 1"), "keys")
     pairs = met.where("n = 2").select("a", "b").distinct().where(F.expr(f"bit_count(a ^ b) <= {DISTANCE}"))
-    crowded = keys.join(met.where("n > 2").select("key"), "key").select("fp").distinct()
+    # Crowded keys grow with the input: a sort-merge join at every size.
+    crowded = keys.join(met.where("n > 2").select("key").hint("merge"), "key").select("fp").distinct()
     near = _neighbours(crowded).withColumn("a", F.min("fp").over(W.partitionBy("near")))
     stars = near.where("a != fp").select("a", F.col("fp").alias("b"))
     return pairs.union(stars)
