@@ -1,4 +1,4 @@
-"""Warning and notice lines, together in one place. They name the option columns of `pairs`."""
+"""Warnings and notices as lines: a level, a code, and what it is about."""
 
 from __future__ import annotations
 
@@ -16,52 +16,52 @@ def _line(template: str, *parts: Column) -> Column:
 
 
 def add_not_null(name: Column) -> Column:
-    return _line("-- WARNING: new column [{}] is NOT NULL without a default; ADD fails if the table has rows.", name)
+    return _line("-- warning add_not_null [{}]", name)
 
 
 def identity_differs(name: Column) -> Column:
-    return _line("-- WARNING: column [{}] identity property differs; only a table rebuild can change it.", name)
+    return _line("-- warning identity [{}]", name)
 
 
 def becomes_not_null(name: Column) -> Column:
-    return _line("-- WARNING: column [{}] becomes NOT NULL; ALTER fails if it holds NULLs.", name)
+    return _line("-- warning not_null [{}]", name)
 
 
 def narrows(name: Column, before: Column, after: Column) -> Column:
-    return _line("-- WARNING: column [{}] type narrows ({} -> {}); check for truncation.", name, before, after)
+    return _line("-- warning narrower [{}] {} -> {}", name, before, after)
 
 
 def column_kept(name: Column) -> Column:
-    return _line("-- WARNING: column [{}] exists only on target and was not dropped (include_drops is off).", name)
+    return _line("-- warning column_kept [{}]", name)
 
 
 def column_dropped(name: Column) -> Column:
-    return _line("-- WARNING: dropping column [{}] on target deletes its data for good.", name)
+    return _line("-- warning column_lost [{}]", name)
 
 
 def item_kept(label: Column, name: Column) -> Column:
-    return _line("-- WARNING: {} [{}] exists only on target and was not dropped (include_drops is off).", label, name)
+    return _line("-- warning item_kept {} [{}]", label, name)
 
 
 def table_skipped(ident: Column) -> Column:
-    return _line("-- WARNING: table changed and was skipped: {} (allow_rebuild is off).", ident)
+    return _line("-- warning table_skipped {}", ident)
 
 
 def table_kept(ident: Column) -> Column:
-    return _line("-- WARNING: table exists only on target and was not dropped: {} (include_table_drops is off).", ident)
+    return _line("-- warning table_kept {}", ident)
 
 
-ADD_ONLY_NOTICE = "-- INFO: include_drops ignored because add_only is set."
-CYCLE_NOTICE = "-- WARNING: dependency cycle detected; the remaining objects follow in fallback order."
+ADD_ONLY_NOTICE = "-- info add_only_keeps_all"
+CYCLE_NOTICE = "-- warning dependency_cycle"
 
 
 def history_skipped(ident: Column) -> Column:
-    return _line("skipped {}: temporal history table (managed by SQL Server)", ident)
+    return _line("skipped {}: history_table", ident)
 
 
 def versioned(ident: Column) -> Column:
-    return _line("{} is system-versioned; the SYSTEM_VERSIONING clause is not scripted", ident)
+    return _line("{}: versioned_table", ident)
 
 
 def index_skipped(name: Column, ident: Column, type_desc: Column) -> Column:
-    return _line("skipped index [{}] on {}: unsupported index type {}", name, ident, type_desc)
+    return _line("skipped index [{}] on {}: index_kind {}", name, ident, type_desc)

@@ -41,7 +41,7 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The checkpoint folder the cluster names; a temporary one only where it names none."""
+    """The checkpoint folder the cluster names; in local mode, and there only, a temporary one where it names none."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if root:
@@ -51,6 +51,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     existing = context.getCheckpointDir()
     if existing:
         return existing
+    if not context.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     root = tempfile.mkdtemp(prefix="fleetshape-")
     context.setCheckpointDir(root)
     return root

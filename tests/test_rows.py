@@ -1,4 +1,4 @@
-"""Row-level work, documents, audit and publish."""
+"""Row-level work, documents and audit."""
 
 import pytest
 from builders import check, col, fk, index, module, nvarchar, pk, side, table
@@ -10,7 +10,7 @@ from fleetshape.operators.assemble import table_deps, with_definitions
 from fleetshape.plans.ordering import numbered
 from fleetshape.plans.prerequisites import used_schemas
 from fleetshape.session import scratch_path
-from fleetshape.sources import audit, publish, snapshots
+from fleetshape.sources import audit, snapshots
 
 
 def test_numbering_survives_a_key_shared_by_most_rows(spark):
@@ -140,13 +140,3 @@ def test_audit_keeps_real_runs(spark, tmp_path):
         audit.append_audit(runs.where(F.col("id") % 2 == n % 2), str(tmp_path / "log"))
     log = spark.read.parquet(str(tmp_path / "log"))
     assert {r.id: r.outcome for r in log.collect()} == {1: "applied", 2: "rolled-back", 3: "failed"}
-
-
-def test_publish_is_all_or_nothing(spark, tmp_path):
-    root = str(tmp_path / "pub")
-    publish.publish(spark, root, {"a": spark.range(3), "b": spark.range(4)})
-    with pytest.raises(publish.PublishError):
-        publish.publish(spark, root, {"a": spark.range(10), "b": spark.range(10)}, expected_rows={"b": 11})
-    assert publish.read_published(spark, root, "a").count() == 3
-    publish.publish(spark, root, {"a": spark.range(5)})
-    assert (publish.read_published(spark, root, "a").count(), publish.read_published(spark, root, "b").count()) == (5, 4)

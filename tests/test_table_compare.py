@@ -93,13 +93,13 @@ def test_counts(result, name, changes, warnings):
 
 @pytest.mark.parametrize("name, fragment", [
     ("add_column", "ALTER TABLE [dbo].[T] ADD [Email] nvarchar(256)"),
-    ("add_not_null", "NOT NULL without a default"),
+    ("add_not_null", "warning add_not_null ["),
     ("add_with_default", "CONSTRAINT [DF_On] DEFAULT ((1))"),
     ("widen", "ALTER COLUMN [Name] nvarchar(200) COLLATE SQL_Latin1_General_CP1_CI_AS NULL;"),
-    ("narrow", "type narrows (nvarchar(200) -> nvarchar(50))"),
+    ("narrow", "warning narrower [Name] nvarchar(200) -> nvarchar(50)"),
     ("narrow_from_max", "nvarchar(MAX) -> nvarchar(50)"),
-    ("to_not_null", "becomes NOT NULL"),
-    ("target_only_kept", "exists only on target"),
+    ("to_not_null", "warning not_null ["),
+    ("target_only_kept", "warning column_kept ["),
     ("target_only_dropped", "DROP COLUMN [Legacy]"),
     ("new_index", "CREATE UNIQUE NONCLUSTERED INDEX [UX_Email] ON [dbo].[T] ([Email] ASC);"),
     ("pk_clustering", "ADD CONSTRAINT [PK_Region] PRIMARY KEY NONCLUSTERED ([Code] ASC);"),

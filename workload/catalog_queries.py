@@ -38,11 +38,11 @@ def q_user_tables(spark, sf):
 
 
 @query("q_extract_notices", Q.oracle("""
-  select snapshot_id, case when temporal_type = 1 then 'skipped [' || schema_name || '].[' || table_name || ']: temporal history table (managed by SQL Server)'
-    else '[' || schema_name || '].[' || table_name || '] is system-versioned; the SYSTEM_VERSIONING clause is not scripted' end as notice
+  select snapshot_id, case when temporal_type = 1 then 'skipped [' || schema_name || '].[' || table_name || ']: history_table'
+    else '[' || schema_name || '].[' || table_name || ']: versioned_table' end as notice
   from o_tables where temporal_type in (1, 2)
   union all
-  select i.snapshot_id, 'skipped index [' || i.name || '] on [' || t.schema_name || '].[' || t.table_name || ']: unsupported index type ' || i.type_desc
+  select i.snapshot_id, 'skipped index [' || i.name || '] on [' || t.schema_name || '].[' || t.table_name || ']: index_kind ' || i.type_desc
   from sys_indexes i join o_tables t on t.snapshot_id = i.snapshot_id and t.object_id = i.object_id
   where not i.is_hypothetical and i.name is not null and not i.is_primary_key and not i.is_unique_constraint and i.type not in (1, 2)""", _TABLES))
 def q_extract_notices(spark, sf):

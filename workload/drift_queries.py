@@ -134,7 +134,7 @@ def q_drift_add_only(spark, sf):
 
 
 @query("q_legacy_skip", Q.oracle(
-    """select pair_id, obj_key, '-- WARNING: table changed and was skipped: ' || identifier || ' (allow_rebuild is off).' as warning
+    """select pair_id, obj_key, '-- warning table_skipped ' || identifier as warning
        from o_act where action = 'skip_no_model'""", Q.DRIFT))
 def q_legacy_skip(spark, sf):
     return script.legacy_skips(fleet.fleet_diff(spark, sf).actions)

@@ -79,10 +79,10 @@ o_col_steps as (
   select pair_id, obj_key, 0 as kind_rank, 0 as side, ordinal, name, 1 as phase, 0 as sub, 'add_column' as action,
     'ALTER TABLE ' || ident || ' ADD ' || coldef || ';' as stmt from o_new
   union all select pair_id, obj_key, 0, 0, ordinal, name, -1, 0, 'warn_add_not_null',
-    '-- WARNING: new column [' || name || '] is NOT NULL without a default; ADD fails if the table has rows.'
+    '-- warning add_not_null [' || name || ']'
     from o_new where not is_nullable and default_definition is null and not is_identity and not is_computed
   union all select pair_id, obj_key, 0, 0, ordinal, name, -1, 0, 'warn_identity',
-    '-- WARNING: column [' || name || '] identity property differs; only a table rebuild can change it.' from o_diff where d_ident
+    '-- warning identity [' || name || ']' from o_diff where d_ident
   union all select pair_id, obj_key, 0, 0, ordinal, name, 2, 0, 'drop_default',
     'ALTER TABLE ' || ident || ' DROP CONSTRAINT [' || t_dname || '];' from o_diff where t_comp and t_dname is not null
   union all select pair_id, obj_key, 0, 0, ordinal, name, 2, 1, 'drop_computed',
@@ -92,9 +92,9 @@ o_col_steps as (
   union all select pair_id, obj_key, 0, 0, ordinal, name, 2, 3, 'alter_column',
     'ALTER TABLE ' || ident || ' ALTER COLUMN [' || name || '] ' || s_type || collate_sql || null_sql || ';' from o_diff where alters
   union all select pair_id, obj_key, 0, 0, ordinal, name, -1, 1, 'warn_not_null',
-    '-- WARNING: column [' || name || '] becomes NOT NULL; ALTER fails if it holds NULLs.' from o_diff where alters and t_null and not s_null
+    '-- warning not_null [' || name || ']' from o_diff where alters and t_null and not s_null
   union all select pair_id, obj_key, 0, 0, ordinal, name, -1, 2, 'warn_narrowing',
-    '-- WARNING: column [' || name || '] type narrows (' || t_type || ' -> ' || s_type || '); check for truncation.'
+    '-- warning narrower [' || name || '] ' || t_type || ' -> ' || s_type
     from o_diff where alters and d_type and narrower
   union all select pair_id, obj_key, 0, 0, ordinal, name, 2, 4, 'drop_default',
     'ALTER TABLE ' || ident || ' DROP CONSTRAINT [' || t_dname || '];' from o_diff where redefault and t_dname is not null
@@ -102,13 +102,13 @@ o_col_steps as (
     'ALTER TABLE ' || ident || ' ADD ' || dname_sql || 'DEFAULT ' || s_default || ' FOR [' || name || '];' from o_diff where redefault and s_default is not null
   union all select pair_id, obj_key, 0, 0, ordinal, name, 2, 9, 'none', null from o_diff where not recompute and not alters and not redefault
   union all select pair_id, obj_key, 0, 1, ordinal, name, -1, 3, 'warn_column_kept',
-    '-- WARNING: column [' || name || '] exists only on target and was not dropped (include_drops is off).' from o_only where not include_drops
+    '-- warning column_kept [' || name || ']' from o_only where not include_drops
   union all select pair_id, obj_key, 0, 1, ordinal, name, 3, 0, 'drop_default',
     'ALTER TABLE ' || ident || ' DROP CONSTRAINT [' || default_name || '];' from o_only where include_drops and default_name is not null
   union all select pair_id, obj_key, 0, 1, ordinal, name, 3, 1, 'drop_column',
     'ALTER TABLE ' || ident || ' DROP COLUMN [' || name || '];' from o_only where include_drops
   union all select pair_id, obj_key, 0, 1, ordinal, name, -1, 3, 'warn_column_dropped',
-    '-- WARNING: dropping column [' || name || '] on target deletes its data for good.' from o_only where include_drops),
+    '-- warning column_lost [' || name || ']' from o_only where include_drops),
 o_col_counts as (
   select pair_id, obj_key, 1 as changes, 0 as warnings from o_diff
   union all select pair_id, obj_key, 1, 0 from o_new
@@ -214,7 +214,7 @@ o_item_diff as (
   from o_item_rows),
 o_item_steps as (
   select pair_id, obj_key, kind_rank, side, ordinal, name, -1 as phase, 4 as sub, 'warn_item_kept' as action,
-    '-- WARNING: ' || label || ' [' || name || '] exists only on target and was not dropped (include_drops is off).' as stmt
+    '-- warning item_kept ' || label || ' [' || name || ']' as stmt
     from o_item_diff where outcome = 'target_only' and not include_drops
   union all select pair_id, obj_key, kind_rank, side, ordinal, name, 0, 0, 'drop_item', t_drop from o_item_diff
     where outcome = 'changed' or (outcome = 'target_only' and include_drops)

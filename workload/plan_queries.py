@@ -15,7 +15,7 @@ from fleetshape.plans import levels, prerequisites, script
 from fleetshape.plans.ordering import ordered_text, stored
 from fleetshape.plans.tables import create_table_rows
 from fleetshape.session import scratch_path
-from fleetshape.sources import audit, publish, snapshots
+from fleetshape.sources import snapshots
 from workload import catalog_queries as CQ
 from workload import fleet
 from workload import oracle_sql as Q
@@ -56,7 +56,7 @@ def q_filter_both_sides(spark, sf):
     return O.target_only(matched, fleet.pairs(spark, sf)).select("pair_id", "obj_key", "identifier", "action")
 
 
-@query("q_filter_notice")
+@query("q_filter_notice", Q.oracle(f"select pair_id, 'include={INCLUDE}, exclude={EXCLUDE}' as filter_notice from pairs"))
 def q_filter_notice(spark, sf):
     return filters.filter_notice(fleet.pairs(spark, sf).select("pair_id"), INCLUDE, EXCLUDE)
 
@@ -131,7 +131,7 @@ _DROPS = f"""
 o_drops as (
   select pair_id, 2 as section, 0 as level, case when action = 'rebuild' then 0 else 10 + {_DROP_RANK} end as type_rank, obj_key,
     case when action = 'rebuild' then 'rebuild_drop' else action end as action,
-    case when action = 'keep_table' then '-- WARNING: table exists only on target and was not dropped: ' || identifier || ' (include_table_drops is off).'
+    case when action = 'keep_table' then '-- warning table_kept ' || identifier
       else {_DROP_STMT} end as stmt
   from o_act where action in ('rebuild', 'drop', 'keep_table'))"""
 
@@ -270,17 +270,17 @@ o_plan as (
     stmt || chr(10) || 'GO' as line from o_schemas
   union all select pair_id, 1, 0, 1, upper(schema_name || '.' || name), 0, 0, 0, 0, 0, stmt || chr(10) || 'GO' from o_types
   union all select pair_id, section, level, type_rank, obj_key, 0, 0, 0, 0, 0, stmt || chr(10) || 'GO' from o_drops
-  union all select pair_id, 3, 0, 0, obj_key, 0, 0, 0, 0, 0, '-- WARNING: table changed and was skipped: ' || identifier || ' (allow_rebuild is off).' || chr(10) || 'GO'
+  union all select pair_id, 3, 0, 0, obj_key, 0, 0, 0, 0, 0, '-- warning table_skipped ' || identifier || chr(10) || 'GO'
     from o_act where action = 'skip_no_model'
-  union all select pair_id, 3, 1, 0, '', 0, 0, 0, 0, 0, '-- INFO: include_drops ignored because add_only is set.' || chr(10) || 'GO'
+  union all select pair_id, 3, 1, 0, '', 0, 0, 0, 0, 0, '-- info add_only_keeps_all' || chr(10) || 'GO'
     from pairs where include_drops and add_only
   union all select p.pair_id, 4, coalesce(v.l, 1000000000), {_CREATE_RANK.replace('obj_type', 'p.obj_type')}, p.obj_key, 0, 0, 0, 0, 0,
     case when p.action = 'recreate' then 'CREATE OR ALTER' || substr(regexp_replace(s.definition, '\\s+$', ''), 7) else regexp_replace(s.definition, '\\s+$', '') end
       || chr(10) || 'GO'
     from o_pending p join o_src_obj s on s.pair_id = p.pair_id and s.obj_key = p.obj_key left join o_level v on v.pair_id = p.pair_id and v.n = p.obj_key
   union all select distinct pair_id, 4, 999999999, 0, '', 0, 0, 0, 0, 0,
-    '-- WARNING: dependency cycle detected; the remaining objects follow in fallback order.' || chr(10) || 'GO' from o_blocked
-  union all select pair_id, 5, 0, 0, obj_key, -2, 0, 0, 0, 0, '-- ALTER [' || schema_name || '].[' || obj_name || '] (column-level sync)' from o_act where action = 'alter'
+    '-- warning dependency_cycle' || chr(10) || 'GO' from o_blocked
+  union all select pair_id, 5, 0, 0, obj_key, -2, 0, 0, 0, 0, '-- ALTER [' || schema_name || '].[' || obj_name || ']' from o_act where action = 'alter'
   union all select s.pair_id, 5, 0, 0, s.obj_key, s.phase, s.kind_rank, s.side, s.ordinal, s.sub, case when s.phase >= 0 then s.stmt || chr(10) || 'GO' else s.stmt end
     from o_steps s join o_act a on a.pair_id = s.pair_id and a.obj_key = s.obj_key and a.action = 'alter' where s.stmt is not null
   union all select a.pair_id, 5, 0, 0, a.obj_key, 9, 0, 0, 0, 0, 'GO' from o_act a where a.action = 'alter' and not exists (
@@ -288,7 +288,7 @@ o_plan as (
 o_lines as (
   select * from o_plan
   union all select distinct pair_id, least(section, 3), -1, 0, '', 0, 0, 0, 0, 0,
-    case least(section, 3) when 1 then '-- Prerequisites (schemas and user-defined types)' when 2 then '-- Drops' else '-- Creates/Alters' end || chr(10) || 'GO' from o_plan
+    case least(section, 3) when 1 then '-- 1 needed first' when 2 then '-- 2 removals' else '-- 3 changes' end || chr(10) || 'GO' from o_plan
   union all select pair_id, 0, 0, 0, '', 0, 0, 0, 0, 0, '-- Source: [src_' || pair_id || ']' || chr(10) || '-- Target: [tgt_' || pair_id || ']' || chr(10) || chr(10)
     || 'SET ANSI_NULLS ON;' || chr(13) || chr(10) || 'SET QUOTED_IDENTIFIER ON;' || chr(10) || 'GO' from pairs)"""
 
@@ -309,7 +309,7 @@ def q_diff_script(spark, sf):
   select pair_id, md5(string_agg(line, chr(10) order by section, r, k1, k2)) as digest, cast(count(*) as bigint) as n from (
     select pair_id, 0 as section, 0 as r, '' as k1, '' as k2, '-- Snapshot database: [src_' || pair_id || ']' || chr(10) || chr(10) || 'SET ANSI_NULLS ON;' || chr(13)
       || chr(10) || 'SET QUOTED_IDENTIFIER ON;' || chr(10) || 'GO' as line from pairs
-    union all select distinct pair_id, 1, 0, '', '', '-- Prerequisites (schemas and user-defined types)' || chr(10) || 'GO' from o_script_schemas
+    union all select distinct pair_id, 1, 0, '', '', '-- 1 needed first' || chr(10) || 'GO' from o_script_schemas
     union all select pair_id, 2, 0, upper(schema_name), '', 'IF SCHEMA_ID(N''' || schema_name || ''') IS NULL' || chr(10) || '    EXEC(N''CREATE SCHEMA [' || schema_name || ']'');'
       || chr(10) || 'GO' from o_script_schemas
     union all select pair_id, 3, {_CREATE_RANK}, upper(schema_name), upper(obj_name), '-- ' || obj_type || ' [' || schema_name || '].[' || obj_name || ']' || chr(10) || 'GO'
@@ -388,7 +388,7 @@ def q_create_or_alter(spark, sf):
     return fleet.cte(spark, sf, "documents").select("doc_id", F.md5(to_create_or_alter(definition)).alias("digest"))
 
 
-# ---- documents, audit, publish
+# ---- documents
 
 
 @query("q_snapshot_roundtrip", Q.oracle("""
@@ -420,26 +420,3 @@ def q_snapshot_roundtrip(spark, sf):
     for relation, name in (("objects", "n_objects"), ("columns", "n_columns"), ("checks", "n_checks"), ("keys", "n_keys")):
         out = out.join(counted(relation, name), "snapshot_id", "left").withColumn(name, F.coalesce(name, F.lit(0).cast("bigint")))
     return out
-
-
-@query("q_audit_log")
-def q_audit_log(spark, sf):
-    """One audit row per script, appended in two runs and read back; dry runs leave none."""
-    path = scratch_path(spark, "audit")
-    runs = corpus.batch_counts(scripts(spark, sf)).withColumns({
-        "started_at": F.timestamp_seconds(F.col("script_id") * 3600), "dry_run": F.col("script_id") % 7 == 0,
-        "transactional": F.col("script_id") % 2 == 0})
-    runs = runs.withColumn("outcome", audit.audit_outcome(F.col("script_id") % 3 != 0, F.col("transactional")))
-    audit.append_audit(runs.where("script_id % 2 = 0"), path)
-    audit.append_audit(runs.where("script_id % 2 = 1"), path)
-    return spark.read.parquet(path).groupBy("outcome").agg(F.count("*").alias("n"), F.sum("batches").alias("batches"))
-
-
-@query("q_publish")
-def q_publish(spark, sf):
-    """Two tables staged, verified and made current together."""
-    root = scratch_path(spark, "published")
-    tables = {"orders": fleet.cte(spark, sf, "orders"), "customer": fleet.cte(spark, sf, "customer")}
-    publish.publish(spark, root, tables)
-    counts = [publish.read_published(spark, root, n).agg(F.count("*").alias("n")).withColumn("table_name", F.lit(n)) for n in tables]
-    return counts[0].unionByName(counts[1])
