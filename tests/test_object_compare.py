@@ -131,23 +131,30 @@ def test_one_source_may_serve_many_targets(spark):
     assert sorted(r.pair_id for r in attached["columns"].collect()) == [1, 2]
 
 
-def test_both_ways_of_levelling_agree(spark):
+def test_levels_against_brute_force(spark):
     import random
 
     rnd = random.Random(5)
     nodes, edges = [], []
     for pair in range(6):
         nodes += [(pair, f"N{i}") for i in range(30)]
-        edges += [(pair, f"N{rnd.randrange(30)}", f"N{rnd.randrange(30)}") for _ in range(20 + 5 * pair)]
+        edges += [(pair, f"N{rnd.randrange(30)}", f"N{rnd.randrange(30)}") for _ in range(12 + 6 * pair)]
+    nodes += [(6, f"N{i}") for i in range(12)]
+    edges += [(6, f"N{i + 1}", f"N{i}") for i in range(11)]
     n = spark.createDataFrame(nodes, "pair_id long, obj_key string")
     e = spark.createDataFrame(edges, "pair_id long, obj_key string, dep_key string")
-    local = sorted(map(tuple, levels.create_levels(n, e).collect()), key=str)
-    joined = sorted(map(tuple, levels.create_levels(n, e, local_edges=30).collect()), key=str)
-    assert local == joined and any(r[2] is None for r in local) and any(r[2] for r in local)
-    by_key = {(p, k): lv for p, k, lv in local}
-    for p, k, d in edges:
-        if k != d and by_key[p, k] is not None:
-            assert by_key[p, d] < by_key[p, k]
+    want, placed = dict.fromkeys(nodes), True
+    while placed:
+        placed = {}
+        for pair, node in (k for k, level in want.items() if level is None):
+            needs = [want[pair, d] for p, k, d in edges if (p, k) == (pair, node) and d != node]
+            if None not in needs:
+                placed[pair, node] = max(needs, default=-1) + 1
+        want.update(placed)
+    assert {(p, k): level for p, k, level in levels.create_levels(n, e).collect()} == want
+    assert None in want.values() and 11 in want.values()
+    alone = levels.create_levels(n, e.limit(0))
+    assert {r.level for r in alone.collect()} == {0}
 
 
 def test_long_text_is_cut_into_parts_that_read_on(spark):
