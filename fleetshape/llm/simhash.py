@@ -94,14 +94,18 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def with_components(prints: DataFrame) -> DataFrame:
-    """`prints` (doc_id, fp, ...) with root, a component's least fingerprint, and component_id, its least doc_id."""
+    """`prints` (doc_id, fp, ...) with root, a component's least fingerprint, and component_id, its least doc_id.
+
+    Roots and classes are written before they are joined: a component or a class of exact copies
+    with a third of all rows is then one side of two plain shuffles, which adaptive execution splits.
+    """
     classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     reached = components(links(classes.select("fp"))).withColumnRenamed("node", "fp")
     linked = stored(reached.join(classes, "fp"), "linked")
-    roots = linked.groupBy("root").agg(F.min("least").alias("component"))
+    roots = stored(linked.groupBy("root").agg(F.min("least").alias("component")), "roots")
     named = linked.select("fp", "root").join(roots, "root")
-    by_class = classes.join(named, "fp", "left").select(
-        "fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component", "least").alias("component_id"))
+    by_class = stored(classes.join(named, "fp", "left").select(
+        "fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component", "least").alias("component_id")), "by-class")
     return prints.join(by_class, "fp")
 
 
