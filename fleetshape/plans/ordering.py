@@ -1,4 +1,4 @@
-"""Numbering and ordered text without a single-task sort."""
+"""Numbering without a single-task sort."""
 
 from __future__ import annotations
 
@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from fleetshape.session import checkpoint_root, scratch_path
 
-# Rows one aggregated text may hold; a longer list is cut into consecutive parts.
-PART_ROWS = 20_000
-
 _ROW_BITS = 33  # monotonically_increasing_id keeps the partition number above this bit
 
 
@@ -41,27 +38,13 @@ def numbered(df: DataFrame, order: list[Column | str], name: str = "position") -
     return marked.join(F.broadcast(offsets), "__part").withColumn(name, position).drop("__id", "__part", "__offset")
 
 
-def _join_parts(rows: DataFrame, keys: list[str], order: list[str], text: str, sep: str) -> DataFrame:
-    entries = F.array_sort(F.collect_list(F.struct(*order, F.col(text).alias("__text"))))
-    return rows.groupBy(*keys, "part_no").agg(
-        F.array_join(F.transform(entries, lambda e: e["__text"]), sep).alias("text"), F.count("*").alias("n"))
-
-
-def ordered_text(rows: DataFrame, keys: list[str], order: list[str], text: str, sep: str = "\n",
-                 part_rows: int = PART_ROWS) -> DataFrame:
-    """`text` of each group joined in order: `(keys, part_no, text, n)`.
+def lined(rows: DataFrame, keys: list[str], order: list[str], name: str = "line_no") -> DataFrame:
+    """Rows numbered 0, 1, 2 … within each group of `keys`, in `order`.
 
-    A group of up to `part_rows` rows is one part. A longer one is numbered across tasks and
-    cut into parts of that length, which read one after the other give the whole. Pass a
-    stored table: the sizes are looked at first.
+    The groups are numbered as one sorted table, so a group with a third of all rows spreads
+    over tasks like any other; what its rows are set off by is one number per group, written
+    first, so that Spark knows its size and can split a large group's join.
     """
-    sizes = rows.groupBy(*keys).count()
-    long_groups = sizes.where(F.col("count") > part_rows).select(*keys)
-    if long_groups.isEmpty():
-        return _join_parts(rows.withColumn("part_no", F.lit(0).cast("bigint")), keys, order, text, sep)
-    short = rows.join(long_groups, keys, "left_anti").withColumn("part_no", F.lit(0).cast("bigint"))
-    placed = numbered(rows.join(long_groups, keys, "left_semi"), [*keys, *order])
-    starts = placed.groupBy(*keys).agg(F.min("position").alias("start"))
-    cut = placed.join(starts, keys).withColumn(
-        "part_no", F.floor((F.col("position") - F.col("start")) / part_rows)).drop("position", "start")
-    return _join_parts(short.unionByName(cut), keys, order, text, sep)
+    placed = numbered(rows, [*keys, *order], "__position")
+    starts = stored(placed.groupBy(*keys).agg(F.min("__position").alias("__start")), "starts")
+    return placed.join(starts, keys).withColumn(name, F.col("__position") - F.col("__start")).drop("__position", "__start")

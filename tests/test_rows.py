@@ -115,10 +115,9 @@ def test_create_table_text(relations):
         "ALTER INDEX [IX] ON [app].[Child] DISABLE;\nGO")
 
 
-@pytest.mark.parametrize("per_document", [5_000, 1])
-def test_documents_round_trip(spark, relations, per_document):
+def test_documents_round_trip(spark, relations):
     path = scratch_path(spark, "docs")
-    snapshots.write_snapshots(relations, path, per_document)
+    snapshots.write_snapshots(relations, path)
     back = snapshots.read_snapshots(spark, path, multi_line=False)
     for name in ("snapshots", "objects", "columns", "keys", "foreign_keys", "checks", "indexes", "dependencies", "alias_types"):
         cols = back[name].columns

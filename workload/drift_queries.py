@@ -176,12 +176,12 @@ def q_drift_mode(spark, sf):
 
 
 @query("q_drift_lists", Q.oracle(
-    """select pair_id, outcome, cast(count(*) as bigint) as n, string_agg(identifier, ', ' order by
+    """select pair_id, outcome, identifier, row_number() over (partition by pair_id, outcome order by
          case when outcome = 'removed' then case obj_type when 'View' then 0 when 'StoredProcedure' then 1 when 'Function' then 2 else 3 end
-           else case obj_type when 'Table' then 0 when 'Function' then 1 when 'View' then 2 else 3 end end, obj_key) as objects
-       from o_act where outcome <> 'kept' group by 1, 2""", Q.DRIFT))
+           else case obj_type when 'Table' then 0 when 'Function' then 1 when 'View' then 2 else 3 end end, obj_key) - 1 as list_no
+       from o_act where outcome <> 'kept'""", Q.DRIFT))
 def q_drift_lists(spark, sf):
-    return script.drift_lists(fleet.fleet_diff(spark, sf).actions).select("pair_id", "outcome", "n", "objects")
+    return script.drift_lists(fleet.fleet_diff(spark, sf).actions)
 
 
 _DUPLICATED = """

@@ -12,7 +12,7 @@ from fleetshape.operators import assemble as A
 from fleetshape.operators import corpus, filters
 from fleetshape.operators import objects as O
 from fleetshape.plans import levels, prerequisites, script
-from fleetshape.plans.ordering import ordered_text, stored
+from fleetshape.plans.ordering import lined, stored
 from fleetshape.plans.tables import create_table_rows
 from fleetshape.session import scratch_path
 from fleetshape.sources import snapshots
@@ -114,12 +114,12 @@ _STMT_ORDER = "phase, kind_rank, side, ordinal, sub"
 
 
 @query("q_plan_phases", Q.oracle(
-    f"""select pair_id, obj_key, md5(string_agg(stmt, chr(10) order by {_STMT_ORDER})) as digest, cast(count(*) as bigint) as n
-        from o_steps where stmt is not null group by 1, 2""", Q.ALL_STEPS))
+    f"""select pair_id, obj_key, row_number() over (partition by pair_id, obj_key order by {_STMT_ORDER}) - 1 as line_no, stmt
+        from o_steps where stmt is not null""", Q.ALL_STEPS))
 def q_plan_phases(spark, sf):
-    steps = stored(fleet.fleet_diff(spark, sf).steps.where("stmt is not null"), "steps")
-    text = ordered_text(steps, ["pair_id", "obj_key"], ["phase", "kind_rank", "side", "ordinal", "sub"], "stmt")
-    return text.select("pair_id", "obj_key", F.md5("text").alias("digest"), "n")
+    steps = fleet.fleet_diff(spark, sf).steps.where("stmt is not null")
+    placed = lined(steps, ["pair_id", "obj_key"], ["phase", "kind_rank", "side", "ordinal", "sub"])
+    return placed.select("pair_id", "obj_key", "line_no", "stmt")
 
 
 _DROP_STMT = """'IF OBJECT_ID(N''' || identifier || ''') IS NOT NULL' || chr(10) || '    DROP ' ||
@@ -294,19 +294,18 @@ o_lines as (
 
 
 @query("q_diff_script", _recursive(Q.oracle("""
-  select pair_id, md5(string_agg(line, chr(10) order by section, level, type_rank, obj_key, phase, kind_rank, side, ordinal, sub)) as digest,
-    cast(count(*) as bigint) as n from o_lines group by 1""", f"{Q.DRIFT},{_EMITTED},{_DROPS},{_DEPS},{_PLAN}")))
+  select pair_id, row_number() over (partition by pair_id order by section, level, type_rank, obj_key, phase, kind_rank, side, ordinal, sub) - 1 as line_no,
+    line from o_lines""", f"{Q.DRIFT},{_EMITTED},{_DROPS},{_DEPS},{_PLAN}")))
 def q_diff_script(spark, sf):
     d = fleet.fleet_diff(spark, sf)
     src = {**d.src, "alias_types": alias_types(spark, sf)}
     diff = FleetDiff(d.pairs, src, d.tgt)
     plan = script.migration_plan(diff, A.table_deps(src["foreign_keys"], "pair_id"), fleet.columns(spark, sf, "src", True))
-    text = script.diff_scripts(stored(plan, "plan"), d.pairs)
-    return text.select("pair_id", F.md5("text").alias("digest"), "n")
+    return script.diff_scripts(stored(plan, "plan"), d.pairs)
 
 
 @query("q_full_script", Q.oracle(f"""
-  select pair_id, md5(string_agg(line, chr(10) order by section, r, k1, k2)) as digest, cast(count(*) as bigint) as n from (
+  select pair_id, row_number() over (partition by pair_id order by section, r, k1, k2) - 1 as line_no, line from (
     select pair_id, 0 as section, 0 as r, '' as k1, '' as k2, '-- Snapshot database: [src_' || pair_id || ']' || chr(10) || chr(10) || 'SET ANSI_NULLS ON;' || chr(13)
       || chr(10) || 'SET QUOTED_IDENTIFIER ON;' || chr(10) || 'GO' as line from pairs
     union all select distinct pair_id, 1, 0, '', '', '-- 1 needed first' || chr(10) || 'GO' from o_script_schemas
@@ -315,7 +314,7 @@ def q_diff_script(spark, sf):
     union all select pair_id, 3, {_CREATE_RANK}, upper(schema_name), upper(obj_name), '-- ' || obj_type || ' [' || schema_name || '].[' || obj_name || ']' || chr(10) || 'GO'
       || chr(10) || case when regexp_matches(definition, '(^|\\n)GO$') then definition else regexp_replace(definition, '\\s+$', '') || chr(10) || 'GO' end || chr(10)
       from o_script_objects) x
-  where pair_id in (select pair_id from pairs) group by 1""", f"""{_create_ctes('src')},
+  where pair_id in (select pair_id from pairs)""", f"""{_create_ctes('src')},
 o_script_objects as (
   select t.pair_id, 'Table' as obj_type, t.schema_name, t.table_name as obj_name, coalesce(c.definition, '') as definition
   from src_tables t left join o_src_create c on c.pair_id = t.pair_id and c.object_id = t.object_id
@@ -328,8 +327,7 @@ def q_full_script(spark, sf):
     pairs = fleet.pairs(spark, sf).select("pair_id", F.col("source_name").alias("database_name"))
     no_types = alias_types(spark, sf).where("false").withColumn("stmt", F.lit(""))
     schemas = prerequisites.prereq_schemas(objects.join(pairs, "pair_id", "left_semi"), no_types)
-    text = script.full_scripts(pairs, objects.join(pairs, "pair_id", "left_semi"), schemas, no_types, "pair_id")
-    return text.select("pair_id", F.md5("text").alias("digest"), "n")
+    return script.full_scripts(pairs, objects.join(pairs, "pair_id", "left_semi"), schemas, no_types, "pair_id")
 
 
 # ---- script corpora
