@@ -82,6 +82,8 @@ def split_script(script: str) -> list[tuple[str, int]]:
     return [b for b in batches if b[0]]
 
 
+# Copies of a batch that one expansion makes.
+RUN = 32_768
 _PIECES = T.ArrayType(T.StructType([
     T.StructField("text", T.StringType()), T.StructField("repeat", T.IntegerType()), T.StructField("first_no", T.LongType())]))
 
@@ -108,7 +110,9 @@ def split_batches(scripts: DataFrame) -> DataFrame:
     spread by row and travel as Arrow batches.
     """
     pieces = scripts.select("script_id", F.inline(_split_each("text")))
-    repeated = pieces.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("repeat") - 1)))
+    # A count may be two billion: runs of copies first, so that no array holds them all.
+    runs = pieces.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("repeat") - 1) / RUN))).alias("run"))
+    repeated = runs.select("*", F.explode(F.sequence(F.col("run") * RUN, F.least(F.col("run") * RUN + RUN, "repeat") - 1)).alias("copy"))
     return repeated.select("script_id", (F.col("first_no") + F.col("copy")).alias("batch_no"), "text")
 
 

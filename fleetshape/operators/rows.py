@@ -70,17 +70,20 @@ def check_nulls(df: DataFrame, cols: list[str]) -> DataFrame:
 
 @dataclass(frozen=True)
 class Narrowing:
-    """A planned narrowing: `max_chars` for text, else a target type."""
+    """A planned narrowing: `max_chars` (UTF-16 units, nvarchar) or `max_bytes` (UTF-8, varchar) for text, else a target type."""
 
     column: str
     max_chars: int | None = None
     dtype: str | None = None
+    max_bytes: int | None = None
 
     def lost(self) -> tuple[Column, Column]:
         """(value does not fit, value fits but loses digits). Text beyond the length does not fit."""
         c = F.col(self.column)
         if self.max_chars is not None:
-            return F.coalesce(F.length(c) > self.max_chars, F.lit(False)), F.lit(False)
+            return F.coalesce(F.octet_length(F.encode(c, "UTF-16BE")) > 2 * self.max_chars, F.lit(False)), F.lit(False)
+        if self.max_bytes is not None:
+            return F.coalesce(F.octet_length(c) > self.max_bytes, F.lit(False)), F.lit(False)
         kept = c.try_cast(self.dtype)
         return c.isNotNull() & kept.isNull(), F.coalesce(kept != c, F.lit(False))
 
@@ -96,12 +99,20 @@ def check_narrowing(df: DataFrame, specs: list[Narrowing]) -> DataFrame:
     return counts.select(F.inline(F.array(*entries)))
 
 
-def check_unique(df: DataFrame, cols: list[str], where: Column | None = None, primary_key: bool = False) -> DataFrame:
+def folded(text: Column) -> Column:
+    """Text as a case-insensitive collation compares it: without case and trailing blanks."""
+    return F.upper(F.rtrim(text))
+
+
+def check_unique(df: DataFrame, cols: list[str], where: Column | None = None, primary_key: bool = False,
+                 ignore_case: tuple[str, ...] = ()) -> DataFrame:
     """Key values that occur more than once. NULLs group together: a unique constraint allows one such row.
 
-    For a primary key a NULL in any key column offends by itself.
+    For a primary key a NULL in any key column offends by itself. Columns of `ignore_case` are
+    compared, and shown, as `folded`.
     """
     rows = df if where is None else df.where(where)
+    rows = rows.withColumns({c: folded(F.col(c)) for c in ignore_case}) if ignore_case else rows
     counted = rows.groupBy(*cols).agg(F.count("*").alias("copies"))
     has_null = F.lit(False)
     if primary_key:
@@ -110,13 +121,18 @@ def check_unique(df: DataFrame, cols: list[str], where: Column | None = None, pr
     return counted.where((F.col("copies") > 1) | has_null)
 
 
-def check_fk(child: DataFrame, parent: DataFrame, pairs: dict[str, str], trusted: bool = True) -> DataFrame:
+def check_fk(child: DataFrame, parent: DataFrame, pairs: dict[str, str], trusted: bool = True,
+             ignore_case: tuple[str, ...] = ()) -> DataFrame:
     """Child key values without a parent, with their row counts. A NULL in any key column passes.
 
     The child is reduced to distinct keys before it meets the parent, so a key shared by a
-    third of the rows is one row in the join. An untrusted key is not checked.
+    third of the rows is one row in the join. An untrusted key is not checked. Child columns of
+    `ignore_case`, and their parents', are compared, and shown, as `folded`.
     """
     keys = list(pairs)
+    if ignore_case:
+        child = child.withColumns({c: folded(F.col(c)) for c in ignore_case})
+        parent = parent.withColumns({pairs[c]: folded(F.col(pairs[c])) for c in ignore_case})
     counted = child.groupBy(*keys).agg(F.count("*").alias("rows"))
     for key in keys:
         counted = counted.where(F.col(key).isNotNull())

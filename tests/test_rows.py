@@ -102,6 +102,19 @@ def relations(spark):
     return rel
 
 
+def test_text_length_counts_units_and_bytes(spark):
+    df = spark.createDataFrame([("abc",), ("\u00e9\u00e9",), ("\U0001f600\U0001f600",), (None,), ("",)], "s string")
+    for spec, want in ((R.Narrowing("s", max_chars=3), 1), (R.Narrowing("s", max_bytes=3), 2), (R.Narrowing("s", max_bytes=8), 0)):
+        assert R.check_narrowing(df, [spec]).first().does_not_fit == want
+
+
+def test_keys_without_case_and_trailing_blanks(spark):
+    child = spark.createDataFrame([("ab ", 1), ("AB", 1), (" ab", 1), (None, 2), ("zz", 3)], "k string, n int")
+    assert {(r.k, r.copies) for r in R.check_unique(child, ["k"], ignore_case=("k",)).collect()} == {("AB", 2)}
+    parent = spark.createDataFrame([("aB  ",), (" AB",)], "p string")
+    assert {(r.k, r.rows) for r in R.check_fk(child, parent, {"k": "p"}, ignore_case=("k",)).collect()} == {("ZZ", 1)}
+
+
 def test_create_table_text(relations):
     text = relations["objects"].where("obj_name = 'Child'").first().definition
     assert text == (

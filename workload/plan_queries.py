@@ -332,25 +332,26 @@ def q_full_script(spark, sf):
 
 # ---- script corpora
 
-# One script per document: its text, sanitised to one line, as a batch behind a header whose
-# nested comment holds a GO line, and again inside a string that spans a GO line.
+# One script per document, its whole text in two string literals and a quoted name: behind a header
+# whose nested comment holds a GO line, and before and behind GO lines inside literal and name.
 _SCRIPTS = """
-o_clean as (
-  select doc_id, trim(regexp_replace(text, '[^A-Za-z0-9 ]', ' ', 'g')) as body from documents),
 o_parts as (
-  select doc_id, case when doc_id % 9 = 0 then '/* a /* b' || chr(10) || 'GO' || chr(10) || '*/ c */ ' else '' end || 'SELECT ' || body as first_batch,
-    'INSERT INTO t VALUES (''' || body || chr(10) || 'GO' || chr(10) || 'it''''s'')' as second_batch, 'SELECT [x' || chr(10) || 'GO' || chr(10) || ']]y] -- ' || body as third_batch
-  from o_clean)"""
+  select doc_id, case when doc_id % 9 = 0 then '/* a /* b' || chr(10) || 'GO' || chr(10) || '*/ c */ ' else '' end || 'SELECT ''' || quoted || '''' as first_batch,
+    'INSERT INTO t VALUES (''' || quoted || chr(10) || 'GO' || chr(10) || 'it''''s'')' as second_batch,
+    'SELECT [x' || chr(10) || 'GO' || chr(10) || ']]y' || replace(body, ']', ']]') || ']' as third_batch
+  from (select doc_id, body, replace(body, '''', '''''') as quoted from (
+    select doc_id, replace(coalesce(text, ''), chr(13) || chr(10), chr(10)) as body from documents) x) y)"""
 
 
 def scripts(spark, sf) -> DataFrame:
-    body = F.trim(F.regexp_replace("text", "[^A-Za-z0-9 ]", " "))
+    body = F.coalesce("text", F.lit(""))
+    quoted = F.replace(body, F.lit("'"), F.lit("''"))
     header = F.when(F.col("doc_id") % 9 == 0, "/* a /* b\nGO\n*/ c */ ").otherwise("")
     go = F.when(F.col("doc_id") % 10 == 0, "\nGO 2 -- twice\n").otherwise("\n  go  \r\n")
     return fleet.cte(spark, sf, "documents").select(
         F.col("doc_id").alias("script_id"),
-        F.concat(header, F.lit("SELECT "), body, go, F.lit("INSERT INTO t VALUES ('"), body, F.lit("\nGO\nit''s')"), F.lit("\nGO;\nGO\n\nGO\n"),
-                 F.lit("SELECT [x\nGO\n]]y] -- "), body).alias("text"))
+        F.concat(header, F.lit("SELECT '"), quoted, F.lit("'"), go, F.lit("INSERT INTO t VALUES ('"), quoted, F.lit("\nGO\nit''s')"),
+                 F.lit("\nGO;\nGO\n\nGO\n"), F.lit("SELECT [x\nGO\n]]y"), F.replace(body, F.lit("]"), F.lit("]]")), F.lit("]")).alias("text"))
 
 
 @query("q_batches", Q.oracle("""
@@ -368,17 +369,17 @@ def q_batch_counts(spark, sf):
     return corpus.batch_counts(scripts(spark, sf))
 
 
-@query("q_create_or_alter", Q.oracle("""
+@query("q_create_or_alter", """
   select doc_id, md5(case doc_id % 5 when 0 then 'CREATE OR ALTER VIEW v AS ' || body
-      when 1 then '/* ' || body || ' */' || chr(10) || '-- CREATE ' || body || chr(10) || '  create OR ALTER  PROCEDURE p AS ' || body
+      when 1 then '/* CREATE a */' || chr(10) || '-- CREATE b' || chr(10) || '  create OR ALTER  PROCEDURE p AS ' || body
       when 2 then 'CREATE /* x */ OR ALTER VIEW v AS ' || body when 3 then 'ALTER PROCEDURE p AS ' || body else 'CREATED ' || body end) as digest
-  from o_clean""", _SCRIPTS))
+  from (select doc_id, coalesce(text, '') as body from documents) x""")
 def q_create_or_alter(spark, sf):
-    body = F.trim(F.regexp_replace("text", "[^A-Za-z0-9 ]", " "))
+    body = F.coalesce("text", F.lit(""))
     kind = F.col("doc_id") % 5
     definition = (
         F.when(kind == 0, F.concat(F.lit("CREATE VIEW v AS "), body))
-        .when(kind == 1, F.concat(F.lit("/* "), body, F.lit(" */\n-- CREATE "), body, F.lit("\n  create  PROCEDURE p AS "), body))
+        .when(kind == 1, F.concat(F.lit("/* CREATE a */\n-- CREATE b\n  create  PROCEDURE p AS "), body))
         .when(kind == 2, F.concat(F.lit("CREATE /* x */ OR ALTER VIEW v AS "), body))
         .when(kind == 3, F.concat(F.lit("ALTER PROCEDURE p AS "), body))
         .otherwise(F.concat(F.lit("CREATED "), body))

@@ -12,9 +12,17 @@ from workload import oracle_sql as Q
 from workload.registry import query
 
 
-@query("q_apply_add_default", "select o_orderkey, o_custkey, 'web' as o_channel, cast(null as varchar) as o_note from orders")
+#: Dates leave the queries as text, which every engine writes alike.
+ORDERS = "* replace (cast(o_orderdate as varchar) as o_orderdate)"
+
+
+def dated(df, column: str):
+    return df.withColumn(column, F.col(column).cast("string"))
+
+
+@query("q_apply_add_default", f"select {ORDERS}, 'web' as o_channel, cast(null as varchar) as o_note from orders")
 def q_apply_add_default(spark, sf):
-    orders = fleet.cte(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    orders = dated(fleet.cte(spark, sf, "orders"), "o_orderdate")
     with_channel = R.add_column(orders, "o_channel", "string", F.lit("web"), nullable=False)
     return R.add_column(with_channel, "o_note", "string", F.lit("none"), nullable=True)
 
@@ -24,9 +32,9 @@ def q_pre_add_notnull(spark, sf):
     return R.check_add_notnull(fleet.cte(spark, sf, "orders"), "orders")
 
 
-@query("q_apply_widen", "select c_custkey, cast(c_nationkey as bigint) as c_nationkey from customer")
+@query("q_apply_widen", "select * replace (cast(c_nationkey as bigint) as c_nationkey) from customer")
 def q_apply_widen(spark, sf):
-    return R.alter_type(fleet.cte(spark, sf, "customer").select("c_custkey", "c_nationkey"), "c_nationkey", "bigint")
+    return R.alter_type(fleet.cte(spark, sf, "customer"), "c_nationkey", "bigint")
 
 
 @query("q_pre_nulls", """
@@ -49,17 +57,38 @@ def q_pre_truncation(spark, sf):
     return text.unionByName(numbers)
 
 
+@query("q_pre_text_length", r"""
+  select 'nvarchar' as kind, 'text' as column_name, cast(count(*) filter (where length(text) + length(regexp_replace(text, '[^\x{10000}-\x{10FFFF}]', '', 'g')) > 200) as bigint) as does_not_fit
+  from documents
+  union all select 'varchar', 'text', cast(count(*) filter (where strlen(text) > 200) as bigint) from documents""")
+def q_pre_text_length(spark, sf):
+    """A length is UTF-16 units for nvarchar and bytes for varchar."""
+    docs = fleet.cte(spark, sf, "documents")
+    kinds = {"nvarchar": R.Narrowing("text", max_chars=200), "varchar": R.Narrowing("text", max_bytes=200)}
+    found = [R.check_narrowing(docs, [spec]).select(F.lit(kind).alias("kind"), "column_name", "does_not_fit") for kind, spec in kinds.items()]
+    return found[0].unionByName(found[1])
+
+
+@query("q_pre_duplicates_folded", """
+  select upper(rtrim(c_mktsegment)) as c_mktsegment, c_nationkey, cast(count(*) as bigint) as copies from customer group by 1, 2 having count(*) > 1""")
+def q_pre_duplicates_folded(spark, sf):
+    """A key under a case-insensitive collation, with every other customer's segment in another spelling."""
+    spelled = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lower("c_mktsegment"), F.lit(" "))).otherwise(F.col("c_mktsegment"))
+    rows = fleet.cte(spark, sf, "customer").withColumn("c_mktsegment", spelled)
+    return R.check_unique(rows, ["c_mktsegment", "c_nationkey"], ignore_case=("c_mktsegment",))
+
+
 @query("q_apply_drop", "select o_orderkey, o_custkey, o_orderstatus, o_totalprice from orders")
 def q_apply_drop(spark, sf):
     return R.drop_column(R.drop_column(fleet.cte(spark, sf, "orders"), "o_orderpriority"), "o_orderdate")
 
 
 @query("q_apply_computed", """
-  select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice * (1 - l_discount) as l_net from lineitem""")
+  select * replace (cast(l_shipdate as varchar) as l_shipdate), l_extendedprice * (1 - l_discount) as l_net from lineitem""")
 def q_apply_computed(spark, sf):
-    items = fleet.cte(spark, sf, "lineitem").withColumn("l_net", F.col("l_tax"))
+    items = dated(fleet.cte(spark, sf, "lineitem"), "l_shipdate").withColumn("l_net", F.col("l_tax"))
     net = F.col("l_extendedprice") * (1 - F.col("l_discount"))
-    return R.recompute(items, "l_net", net).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_net")
+    return R.recompute(items, "l_net", net)
 
 
 @query("q_pre_lost_to_computed", "select 'l_tax' as column_name, cast(count(nullif(l_tax, 0.0)) as bigint) as offending from lineitem")
@@ -68,9 +97,9 @@ def q_pre_lost_to_computed(spark, sf):
     return R.check_lost_to_computed(items, ["l_tax"])
 
 
-@query("q_apply_identity", "select c_custkey, 100 + 5 * (row_number() over (order by c_custkey) - 1) as row_id from customer")
+@query("q_apply_identity", "select *, 100 + 5 * (row_number() over (order by c_custkey) - 1) as row_id from customer")
 def q_apply_identity(spark, sf):
-    return R.add_identity(fleet.cte(spark, sf, "customer").select("c_custkey"), "row_id", ["c_custkey"], 100, 5)
+    return R.add_identity(fleet.cte(spark, sf, "customer"), "row_id", ["c_custkey"], 100, 5)
 
 
 @query("q_pre_duplicates", """
@@ -115,11 +144,13 @@ def q_apply_rebuild(spark, sf):
     return before.join(after, "table_name")
 
 
-@query("q_apply_align", "select o_custkey, o_orderkey, o_orderstatus, cast(null as varchar) as o_note from orders")
+@query("q_apply_align", f"select {ORDERS}, cast(null as varchar) as o_note from orders")
 def q_apply_align(spark, sf):
-    orders = fleet.cte(spark, sf, "orders").selectExpr("o_orderstatus as O_ORDERSTATUS", "o_orderkey as O_OrderKey", "o_custkey")
+    orders = dated(fleet.cte(spark, sf, "orders"), "o_orderdate").withColumnsRenamed({"o_orderstatus": "O_ORDERSTATUS", "o_orderkey": "O_OrderKey"})
     wanted = T.StructType([T.StructField("o_custkey", T.LongType()), T.StructField("o_orderkey", T.LongType()),
-                           T.StructField("o_orderstatus", T.StringType()), T.StructField("o_note", T.StringType())])
+                           T.StructField("o_orderstatus", T.StringType()), T.StructField("o_totalprice", T.DoubleType()),
+                           T.StructField("o_orderdate", T.StringType()), T.StructField("o_orderpriority", T.StringType()),
+                           T.StructField("o_note", T.StringType())])
     return R.align(orders, wanted)
 
 
