@@ -212,3 +212,65 @@ def test_licences_match_brute_force(spark, docs, no_docs):
         assert got == want
     best = {r["doc_id"]: r for r in rows(licences.scan(df))}
     assert best[0]["license"] == "Apache-2.0" and licences.scan(no_docs).count() == 0
+
+
+def best_runs(text):
+    """Passages by trying every run of words against every template."""
+    words = [(w, i + 1) for i, x in enumerate((text or "").lower().split("\n")) for w in re.split(r"[^\w]+|_", x) if w]
+    grams = [f"{a} {b}" for (a, _), (b, _) in zip(words, words[1:])]
+    runs = []
+    for name, t in (*licences.TEMPLATES, *licences.PASSAGES):
+        w = [x for x in re.split(r"[^\w]+|_", t.lower()) if x]
+        own = {f"{a} {b}" for a, b in zip(w, w[1:])}
+        for a in range(len(grams)):
+            run, shared = set(), 0
+            for b in range(a, min(a + int((len(w) - 1) * 1.5 + 1e-9), len(grams))):
+                shared += grams[b] in own and grams[b] not in run
+                run.add(grams[b])
+                if 2 * shared >= 0.8 * (len(run) + len(own)) and grams[a] in own and grams[b] in own:
+                    runs.append((-2 * shared / (len(run) + len(own)), a - b, a + 1, b + 1, name))
+    kept = []
+    for r in sorted(runs):
+        if all(k[2] > r[3] + 1 or r[2] > k[3] + 1 for k in kept):
+            kept.append(r)
+    placed = [(a, b + 1, words[a - 1][1], words[b][1], name, round(-d, 9)) for d, _, a, b, name in kept]
+    listed = dice_matches(text)
+    return {p for p in placed if not any(name == p[4] and (i == 0 or p[2] <= i <= p[3]) for i, name, _ in listed)}
+
+
+MIT = """MIT License\n\nCopyright (c) 2020 Foo\n
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:\n
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.\n"""
+
+
+def test_wrapped_and_embedded_notices(spark):
+    prose = "The garden was quiet and nobody in the house had seen the lamp.\n"
+    filler = "".join(f"garden{i} was quiet{i}\n" for i in range(80))
+    gpl = ("# This program is free software: you can redistribute it and/or\n# modify it under the terms of the GNU General Public License as\n"
+           "# published by the Free Software Foundation, either version 3 of\n# the License, or (at your option) any later version.\n")
+    cases = {
+        MIT: "MIT", prose * 9 + MIT + prose * 9: "MIT", filler + gpl + filler: "GPL-3.0", filler + gpl.replace("GNU", "GNU Affero") + filler: "AGPL-3.0",
+        "Copyright 2020 Foo. Released under the MIT License. See the file for details.": "MIT",
+        f"{prose}See below. Released under the MIT\nLicense. Figures are licensed under CC BY-SA 4.0, as the author says. {prose}": "CC-BY-SA-4.0,MIT",
+        "Text of the house: this work is licensed under a Creative Commons Attribution-ShareAlike 4.0\nInternational License and more": "CC-BY-SA-4.0",
+        prose * 3 + "Released under the MIT License.\n" + prose: "MIT", prose * 5: "", "Released under a licence of the house": "",
+    }
+    rng = random.Random(11)
+    random_cases = []
+    for _, t in (*licences.TEMPLATES, *licences.PASSAGES):
+        v = t.split()
+        for _ in range(rng.randint(0, 4)):
+            v[rng.randrange(len(v))] = rng.choice(["other", "the", "the License", ""])
+        random_cases.append(prose * rng.randint(0, 2) + rng.choice(["", "so: "]) + "".join(x + rng.choice("    \n") for x in v) + rng.choice(["", "end ", prose]) * 2)
+    texts = [*cases, *random_cases]
+    got = {r["doc_id"]: r for r in rows(licences.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))}
+    for i, t in enumerate(texts):
+        assert {(*(p[k] for k in ("word", "last_word", "line", "last_line", "license")), round(p["dice"], 9)) for p in got[i]["passages"]} == best_runs(t), t
+    for i, names in enumerate(cases.values()):
+        assert ",".join(sorted({m["license"] for m in got[i]["matches"] + got[i]["passages"]})) == names
