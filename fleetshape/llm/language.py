@@ -236,8 +236,9 @@ def label(model: Model, texts: list[bytes]) -> tuple[list[str], list[float], lis
     letters = np.array([len(w) for w in words])[index]
     total = np.concatenate((np.zeros((1, k)), np.cumsum(scores, 0)))
     main = (total[starts[1:]] - total[starts[:-1]]).argmax(1)
-    # Where no run in another language gains more than one change costs, no path beats staying.
-    mixed = _detour(scores, main, starts) > SWITCH
+    # A path that uses other languages changes at least once per run, and k runs without the main language between them
+    # k - 1 times: where no run gains more than half a change, no path beats staying.
+    mixed = _detour(scores, main, starts) > SWITCH / 2
     path = _viterbi(scores, starts, np.flatnonzero(mixed)) if mixed.any() else None
     for i, (a, b) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist())):
         if a == b:

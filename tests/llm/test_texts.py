@@ -73,6 +73,17 @@ def test_viterbi_matches_all_paths(model):
             assert scores[a:b, main[i]].sum() == pytest.approx(best.max())
 
 
+def test_paths_without_the_single_best_language(monkeypatch):
+    """The best single language is not on the best path, and no run gains a whole change over it."""
+    import numpy as np
+    scores = np.array([[0.0, -10.0, -4.0]] * 4 + [[-10.0, 0.0, -4.0]] * 4)
+    monkeypatch.setattr(language, "_scores", lambda model, words: scores)
+    text = "ab cd ef gh ij kl mn op"
+    langs, shares, spans = language.label(language.Model(["A", "B", "C"], np.zeros((1, 3)), np.ones((1, 3), bool)), [text.encode()])
+    assert [(s["lang"], text[s["start"]:s["end"]]) for s in spans[0]] == [("A", "ab cd ef gh "), ("B", "ij kl mn op")]
+    assert (langs[0], shares[0]) == ("A", 0.5)
+
+
 def test_language_of_odd_rows(docs, no_docs, model, spark):
     got = rows(language.identify(docs, model))
     assert len(got) == docs.count() and language.identify(no_docs, model).count() == 0
