@@ -17,6 +17,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Catches texts within 2 of 64 bits of SimHash over three-word shingles (op7's law): equal texts and near-equal ones.
+
+    Most near copies stay. In the review's measurement on sf0.1, of 48 pairs of different texts with five-word Jaccard of 0.8 or
+    more, 1 pair lay within 2 bits; the others differed in 3 to 11.
+    """
     return simhash.keep_one(docs)
 
 
