@@ -7,11 +7,16 @@ ablation reads the ledger and never the text again.
 Defined results: null or empty text has no words (all counts 0) and fails `few_words`; repeated
 rows and null ids are measured row by row; an empty table gives an empty ledger; further columns
 of the input are carried only by `keep_good`.
+
+`capitals` counts letters of every script and judges only texts whose letters mostly have case;
+`word_length` has no upper bound for texts mostly in scripts that do not separate words.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -23,7 +28,7 @@ from fleetshape.llm.frames import counts_in, map_text, rows_of, text_slices, who
 
 #: Words of a window that counts as repeated text.
 WINDOW = 8
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_lower")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_lower", "n_letters", "n_unspaced")
 
 #: Name and failing condition of each rule; the position is the bit. Only append.
 RULES: tuple[tuple[str, str], ...] = (
@@ -31,8 +36,8 @@ RULES: tuple[tuple[str, str], ...] = (
     ("repeated_windows", "100 * n_repeat_words > 30 * n_words"),
     ("symbols", "10 * n_symbols > n_words"),
     ("repeated_lines", "100 * n_dup_lines > 30 * n_lines"),
-    ("word_length", "n_words > 0 and (word_chars < 2 * n_words or word_chars > 20 * n_words)"),
-    ("capitals", "n_upper > n_lower"),
+    ("word_length", "n_words > 0 and (word_chars < 2 * n_words or word_chars > 20 * n_words and 2 * n_unspaced <= word_chars)"),
+    ("capitals", "n_upper > n_lower and 2 * (n_upper + n_lower) > n_letters"),
 )
 BASE_RULES = ("few_words", "repeated_windows")
 #: Policies by version, as the rules that reject; the last is in force.
@@ -47,8 +52,33 @@ _WHITE[[0x20, *range(0x09, 0x0E)]] = True
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 _CODE_POINT = np.array([(b & 0xC0) != 0x80 for b in range(256)])
-_UPPER = np.array([0x41 <= b <= 0x5A for b in range(256)])
-_LOWER = np.array([0x61 <= b <= 0x7A for b in range(256)])
+_UPPER, _LOWER, _LETTER, _UNSPACED = 1, 2, 4, 8
+#: Thai, Lao, Tibetan, Myanmar, Khmer, CJK punctuation, kana, Han, full-width forms; all are written without blanks.
+UNSPACED = ((0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3000, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF),
+            (0xFF00, 0xFF9F), (0x20000, 0x3FFFF))
+
+
+@lru_cache(maxsize=1)
+def _kinds() -> np.ndarray:
+    """Bits _UPPER, _LOWER, _LETTER and _UNSPACED of every code point."""
+    of = {"Lu": _UPPER | _LETTER, "Lt": _LETTER, "Ll": _LOWER | _LETTER, "Lm": _LETTER, "Lo": _LETTER}
+    kinds = np.array([of.get(unicodedata.category(chr(c)), 0) for c in range(0x110000)], np.uint8)
+    for first, last in UNSPACED:
+        kinds[first:last + 1] |= _UNSPACED
+    return kinds
+
+
+def _kinds_at(data: np.ndarray) -> np.ndarray:
+    """Kind of each character of UTF-8 text, at its first byte; other bytes have none."""
+    if not len(data) or data.max() < 0x80:
+        return _kinds()[data]
+    found = np.zeros(len(data), np.uint8)
+    # A byte that is no UTF-8 becomes one of the code points DC80 to DCFF.
+    points = np.frombuffer(data.tobytes().decode(errors="surrogateescape").encode("utf-32-le", "surrogatepass"), np.uint32)
+    width = 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
+    width[(points >= 0xDC80) & (points <= 0xDCFF)] = 1
+    found[np.cumsum(width) - width] = _kinds()[points]
+    return found
 
 
 def mask_of(rules: tuple[str, ...]) -> int:
@@ -80,6 +110,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = rows_of(data, ends)
         words = [t.split() for t in texts]  # ASCII white space only, as the rules want it
         starts = np.concatenate(([0], np.cumsum([len(w) for w in words]))).astype(np.int64)
+        kinds = _kinds_at(data)
         lines = [[x for x in t.split(b"\n") if x.strip()] for t in texts]
         found = {
             "n_words": np.diff(starts),
@@ -88,8 +119,10 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             "n_dup_lines": [len(x) - len(set(x)) for x in lines],
             "n_repeat_words": _repeated(words, starts),
             "n_lines": [len(x) for x in lines],
-            "n_upper": counts_in(_UPPER[data], ends),
-            "n_lower": counts_in(_LOWER[data], ends),
+            "n_upper": counts_in(kinds & _UPPER != 0, ends),
+            "n_lower": counts_in(kinds & _LOWER != 0, ends),
+            "n_letters": counts_in(kinds & _LETTER != 0, ends),
+            "n_unspaced": counts_in(kinds & _UNSPACED != 0, ends),
         }
         yield widened(part, {m: pa.array(found[m], pa.int64()) for m in MEASURES})
 

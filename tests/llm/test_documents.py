@@ -50,6 +50,21 @@ def test_policies_and_ablations(docs, no_docs):
     assert quality.measure(no_docs).count() == 0 and quality.keep_good(no_docs).count() == 0
 
 
+def test_clean_texts_of_other_scripts_are_kept(spark):
+    clean = {
+        "cyrillic": "мир дом сад река лес", "greek": "σπίτι κήπος ποτάμι δάσος νερό", "arabic": "بيت حديقة نهر غابة ماء", "hebrew": "בית גן נהר יער מים",
+        "devanagari": "घर बगीचा नदी जंगल पानी", "latin": "house garden river été Straße",
+    }
+    texts = {k: " ".join(f"{w}{i}" for i in range(6) for w in v.split()) + " USB" for k, v in clean.items()}
+    texts["chinese"] = " ".join(f"第{i}个花园里有一条河,河边的人们每天早上都在那里散步和谈话。" for i in range(25)) + " USB"
+    texts["thai"] = " ".join(f"สวนที่{i}มีแม่น้ำและผู้คนเดินเล่นอยู่ริมน้ำทุกเช้า" for i in range(25)) + " USB"
+    bad = {"shouted": texts["latin"].upper(), "shouted cyrillic": texts["cyrillic"].upper(), "long words": " ".join(f"{i}" + "lampe" * 6 for i in range(25))}
+    df = spark.createDataFrame([(k, v) for k, v in (texts | bad).items()], "doc_id string, text string")
+    failed = {r["doc_id"]: r["failed"] for r in rows(quality.measure(df))}
+    assert {k: failed[k] for k in texts} == dict.fromkeys(texts, 0)
+    assert {k: failed[k] for k in bad} == {"shouted": 32, "shouted cyrillic": 32, "long words": 16}
+
+
 # near-duplicates
 
 def simhash_of(text):
