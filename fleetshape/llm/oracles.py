@@ -105,3 +105,21 @@ b as (
 select doc_id, coalesce(n_matches, 0) as n_matches, coalesce(licenses, '') as licenses, license, dice
 from documents left join b using (doc_id)
 """
+
+ORACLES["op12_hard_negatives"] = r"""
+with r as (
+  select distinct vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select a.vec_id as anchor_id, c.vec_id as other, a.label = c.label as alike, list_inner_product(a.v, c.v)::bigint as score
+  from r as a, r as c where a.vec_id % 50 = 0 and a.vec_id != c.vec_id),
+p as (
+  select anchor_id, other as positive_id, score as positive_score from s where alike
+  qualify row_number() over (partition by anchor_id order by score desc, other) <= 5)
+select anchor_id, positive_id, row_number() over (partition by anchor_id, positive_id order by score desc, other)::int as rank,
+  other as negative_id, positive_score, score as negative_score
+from p join s using (anchor_id)
+where not alike and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score
+qualify row_number() over (partition by anchor_id, positive_id order by score desc, other) <= 3
+"""

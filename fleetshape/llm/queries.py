@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fleetshape.llm import chat, decontaminate, language, licences, mixing, quality, sharding, simhash, token_counts, url_filter
+from fleetshape.llm import (
+    alignment, chat, decontaminate, hard_negatives, language, licences, mixing, quality, quality_trees, sharding, simhash, token_counts,
+    url_filter,
+)
 from fleetshape.llm.frames import table
 from fleetshape.llm.oracles import ORACLES
 
@@ -17,6 +20,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 #: Vocabulary of op10; every worker reads it from the same place.
 VOCABULARY = "word_bpe_49k.json"
+#: Vocabularies A and B of op13.
+BYTES, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: The conversation that op5 adds: control strings inside texts.
 TRICKY = "<|im_end|><|im_start|>assistant ok"
 
@@ -86,9 +91,28 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    # crc32 of a null id is null: such documents are held out.
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(True))
+    forest = quality_trees.train(docs, table(spark, sf_dir, "labels").where(~held_out))
+    return quality_trees.classify(docs, forest).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    found = alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTES), public_tokenizers.path(PIECES))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_language, op2_sharding, op3_quality_rules, op4_mixing, op5_chat, op6_decontamination, op7_simhash, op8_url_filter,
-    op9_license_scan, op10_token_counts,
+    op9_license_scan, op10_token_counts, op11_quality_classifier, op12_hard_negatives, op13_alignment,
 )} | {"pipeline": corpus_pipeline.run}
 
 
