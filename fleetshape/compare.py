@@ -6,33 +6,47 @@ from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from fleetshape.operators import columns as C
 from fleetshape.operators import constraints as K
 from fleetshape.operators import objects as O
 from fleetshape.operators.matching import union_all
+from fleetshape.plans.ordering import stored
 
 CONSTRAINT_RELATIONS = tuple(K.ITEM_BUILDERS)
 
 
 @dataclass
 class FleetDiff:
-    """Lazy DataFrames of one comparison; nothing runs until one of them is consumed.
+    """Lazy DataFrames of one comparison.
 
-    `src` and `tgt` are relation dicts scoped by `pair_id` (see `objects.attach_side`).
+    `src` and `tgt` are relation dicts scoped by `pair_id` (see `objects.attach_side`). A pair with a key that
+    repeats on one side cannot be compared: it is refused as a whole, appears in `rejects` alone, and no
+    result has rows of it. That list is written when it is first needed; all else runs when it is consumed.
     """
 
     pairs: DataFrame
     src: dict[str, DataFrame]
     tgt: dict[str, DataFrame]
 
+    @cached_property
+    def rejects(self) -> DataFrame:
+        """Object keys that repeat: pair_id, side, obj_key, copies."""
+        return stored(O.repeated_keys(self.src["objects"], self.tgt["objects"]), "rejects")
+
+    @cached_property
+    def accepted(self) -> DataFrame:
+        """The pairs that are compared."""
+        return self.pairs.join(self.rejects.select("pair_id").distinct(), "pair_id", "left_anti")
+
     @cached_property
     def matched(self) -> DataFrame:
-        return O.match_objects(self.src["objects"], self.tgt["objects"])
+        return O.match_objects(self.src["objects"], self.tgt["objects"]).join(self.rejects.select("pair_id").distinct(), "pair_id", "left_anti")
 
     @cached_property
     def tables(self) -> DataFrame:
-        return O.comparable_tables(self.matched, self.pairs)
+        return O.comparable_tables(self.matched, self.accepted)
 
     @cached_property
     def columns(self) -> DataFrame:
@@ -42,6 +56,12 @@ class FleetDiff:
     def column_diff(self) -> DataFrame:
         return C.diff_columns(self.columns)
 
+    def share(self) -> FleetDiff:
+        """Writes what several results start from: the comparable tables and the differing columns. Worth it for more than one result."""
+        self.tables = stored(self.tables, "tables")
+        self.column_diff = stored(self.column_diff, "columns")
+        return self
+
     @cached_property
     def has_constraints(self) -> bool:
         return any(name in self.src for name in CONSTRAINT_RELATIONS)
@@ -61,12 +81,19 @@ class FleetDiff:
 
     @cached_property
     def constraint_changes(self) -> DataFrame:
-        """The same without statement text, for counting and classification."""
+        """The same without statement text."""
         return self._diff_constraints(text=False)
 
     @cached_property
     def table_counts(self) -> DataFrame:
-        return K.table_counts(self.table_summary, self.constraint_changes if self.has_constraints else None)
+        """Changes and warnings of tables that have any. What steps aside for a column counts for nothing, so items
+        need no word from the columns here: columns are compared once."""
+        parts = [self.column_diff.select("pair_id", "obj_key", "changes", "warnings")]
+        if self.has_constraints:
+            matched = K.match_constraints(K.constraint_items(self.src, False), K.constraint_items(self.tgt, False), self.tables)
+            parts.append(K.count_items(matched))
+        return union_all(parts).groupBy("pair_id", "obj_key").agg(
+            F.sum("changes").alias("changes"), F.sum("warnings").alias("warnings")).where("changes > 0 or warnings > 0")
 
     @cached_property
     def steps(self) -> DataFrame:
@@ -76,8 +103,8 @@ class FleetDiff:
 
     @cached_property
     def actions(self) -> DataFrame:
-        return O.classify_objects(self.matched, self.pairs, self.table_counts)
+        return O.classify_objects(self.matched, self.accepted, self.table_counts)
 
     @cached_property
     def drift(self) -> DataFrame:
-        return O.drift(self.pairs, self.actions)
+        return O.drift(self.accepted, self.actions)

@@ -123,6 +123,19 @@ RELATION_FIELDS = {
 }
 
 
+#: Fields that a document may leave empty; every other field has a default by its type.
+OPTIONAL_FIELDS = {"collation_name", "computed_definition", "default_name", "default_definition", "identity_seed", "identity_increment",
+                   "filter_definition"}
+
+
+def with_default(field: str, dtype: T.DataType, value: Column) -> Column:
+    """`value`, or what its field holds where a document says nothing: false, 0, '' or an empty list."""
+    if field in OPTIONAL_FIELDS:
+        return value
+    empty = {T.BooleanType: F.lit(False), T.IntegerType: F.lit(0), T.StringType: F.lit("")}.get(type(dtype), F.array().cast(dtype))
+    return F.coalesce(value, empty)
+
+
 def relation_schema(name: str, scope: str = "pair_id") -> T.StructType:
     """Schema of one relation with its scope column in front."""
     fields = [T.StructField(scope, T.LongType())]

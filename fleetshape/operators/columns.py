@@ -195,13 +195,6 @@ def rewritten_columns(diffed: DataFrame) -> DataFrame:
 
 
 def table_summary(tables: DataFrame, diffed: DataFrame) -> DataFrame:
-    """Comparable tables with their column changes, warnings and the set of rewritten columns.
-
-    A table's column count bounds the set. Already partitioned by table: no exchange.
-    """
-    per_table = diffed.groupBy("pair_id", "obj_key").agg(
-        F.sum("changes").alias("column_changes"), F.sum("warnings").alias("column_warnings"),
-        F.collect_set(F.when(F.col("rewritten"), F.col("col_key"))).alias("rewritten_cols"))
-    zero = F.lit(0).cast("bigint")
-    return tables.join(per_table, ["pair_id", "obj_key"], "left").withColumns({
-        "column_changes": F.coalesce("column_changes", zero), "column_warnings": F.coalesce("column_warnings", zero)})
+    """Comparable tables with the set of their rewritten columns, null where there is none. A table's column count bounds the set."""
+    per_table = diffed.where("rewritten").groupBy("pair_id", "obj_key").agg(F.collect_set("col_key").alias("rewritten_cols"))
+    return tables.join(per_table, ["pair_id", "obj_key"], "left")

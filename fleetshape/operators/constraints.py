@@ -194,15 +194,8 @@ def constraint_steps(diffed: DataFrame) -> DataFrame:
     return expand_steps(diffed, STEPS)
 
 
-def table_counts(summary: DataFrame, diffed: DataFrame | None = None) -> DataFrame:
-    """Changes and warnings per (pair, table): those of its columns plus those of its items."""
-    if diffed is None:
-        return summary.select("pair_id", "obj_key", F.col("column_changes").alias("changes"),
-                              F.col("column_warnings").alias("warnings"))
-    own = summary.select("pair_id", "obj_key", "column_changes", "column_warnings")
-    items = diffed.groupBy("pair_id", "obj_key").agg(
-        F.sum("changes").alias("item_changes"), F.sum("warnings").alias("item_warnings"))
-    zero = F.lit(0).cast("bigint")
-    return own.join(items, ["pair_id", "obj_key"], "left").select(
-        "pair_id", "obj_key", (F.col("column_changes") + F.coalesce("item_changes", zero)).alias("changes"),
-        (F.col("column_warnings") + F.coalesce("item_warnings", zero)).alias("warnings"))
+def count_items(matched: DataFrame) -> DataFrame:
+    """Changes and warnings of matched items, one row per differing item: pair_id, obj_key, changes, warnings."""
+    kept = "t is not null and s is null and not include_drops"
+    return matched.where("s is null or t is null or s.facets <> t.facets").select(
+        "pair_id", "obj_key", F.expr(f"if({kept}, 0, 1)").alias("changes"), F.expr(f"if({kept}, 1, 0)").alias("warnings"))

@@ -43,13 +43,10 @@ def duplicate_keys(objects: DataFrame, scope: str = "snapshot_id") -> DataFrame:
     return objects.groupBy(scope, key.alias("obj_key")).agg(F.count("*").alias("copies")).where("copies > 1")
 
 
-def reject_duplicates(pairs: DataFrame, src_objects: DataFrame, tgt_objects: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs that can be compared, and the rejected keys with their side."""
-    rejects = (
-        duplicate_keys(src_objects, "pair_id").withColumn("side", F.lit("source"))
-        .unionByName(duplicate_keys(tgt_objects, "pair_id").withColumn("side", F.lit("target")))
-    )
-    return pairs.join(rejects.select("pair_id").distinct(), "pair_id", "left_anti"), rejects
+def repeated_keys(src_objects: DataFrame, tgt_objects: DataFrame) -> DataFrame:
+    """Duplicate keys of either side of a comparison: pair_id, side, obj_key, copies. Keys alone are shuffled, once."""
+    sides = keyed(src_objects).withColumn("side", F.lit("source")).unionByName(keyed(tgt_objects).withColumn("side", F.lit("target")))
+    return sides.groupBy("pair_id", "side", "obj_key").agg(F.count("*").alias("copies")).where("copies > 1")
 
 
 def _keyed(objects: DataFrame) -> DataFrame:

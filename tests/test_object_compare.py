@@ -1,7 +1,9 @@
 """Object comparison, filters and the script of a pair."""
 
+import random
+
 import pytest
-from builders import Case, col, fk, fleet, module, nvarchar, side, table
+from catalogs import Case, column, fleet, module, reference, side, table
 from pyspark.sql import functions as F
 
 from fleetshape.operators import assemble, filters
@@ -9,134 +11,168 @@ from fleetshape.operators import objects as O
 from fleetshape.operators.corpus import split_script
 from fleetshape.plans import levels, ordering, script
 
-ID = col("Id", nullable=False)
-PHONE = col("Phone", "PhoneNumber", 25, 0, 0, False, type_schema="dbo", is_user_defined=True, collation="X")
+A = column("a", is_nullable=False)
+ALIASED = column("tel", "Dial", type_schema="store", is_user_defined=True)
+REPORT = module("View", "Report", "CREATE VIEW Report AS SELECT 7 AS n")
+
+
+def linked(name, *others):
+    return table(name, A, *[reference(f"R_{name}_{o}", "a", o, "a") for o in others])
 
+
+#: Name: (case, added, changed, removed, skipped).
 CASES = {
-    "new": Case([table("Employee", ID), table("Department", ID)], [table("Employee", ID)]),
-    "add_only": Case([table("E", ID, nvarchar("Email", 256))], [table("E", ID)], include_drops=True, add_only=True),
-    "kept_table": Case([], [table("Old", ID), module("View", "V", "CREATE VIEW V AS SELECT 1")], include_drops=True),
-    "dropped_table": Case([], [table("Old", ID)], include_drops=True, include_table_drops=True),
-    "no_drops": Case([], [table("Old", ID)]),
-    "rebuild": Case([table("T", ID, definition="CREATE TABLE T (a)")], [table("T", ID, definition="CREATE TABLE T (b)")], allow_rebuild=True),
-    "view": Case([module("View", "vTest", "CREATE VIEW dbo.vTest AS SELECT 1 AS X")], []),
-    "schema": Case([table("Customer", ID, PHONE, schema="app")], []),
-    "same_schema": Case([table("Customer", ID, schema="app")], [table("Customer", ID, schema="app")]),
-    "order": Case([table("Child", ID, fk("FK", "Id", "Parent", "Id")), table("Parent", ID), module("View", "A", "CREATE VIEW A AS SELECT 1")], []),
-    "cycle": Case([table("A", ID, fk("F1", "Id", "B", "Id")), table("B", ID, fk("F2", "Id", "A", "Id")), table("C", ID)], []),
-    "module": Case([module("StoredProcedure", "P", "-- note\nCREATE PROCEDURE P AS SELECT 1")], [module("StoredProcedure", "P", "CREATE PROCEDURE P AS SELECT 2")]),
-    "warnings_only": Case([table("T", ID)], [table("T", ID, col("X"))]),
+    "one more table": (Case([table("Crate", A), table("Barrel", A)], [table("Crate", A)]), 1, 0, 0, 0),
+    "nothing but additions": (Case([table("Crate", A, column("b"))], [table("Crate", A)], include_drops=True, add_only=True), 0, 1, 0, 2),
+    "tables stay, views go": (Case([], [table("Crate", A), REPORT], include_drops=True), 0, 0, 1, 1),
+    "tables go": (Case([], [table("Crate", A)], include_drops=True, include_table_drops=True), 0, 0, 1, 0),
+    "all stay": (Case([], [table("Crate", A)]), 0, 0, 0, 0),
+    "rebuild": (Case([table("Crate", A, definition="CREATE TABLE Crate (new)")], [table("Crate", A, definition="CREATE TABLE Crate (old)")], allow_rebuild=True), 0, 1, 0, 0),
+    "one view": (Case([REPORT], []), 1, 0, 0, 0),
+    "own schema and type": (Case([table("Crate", A, ALIASED, schema="geo", definition="CREATE TABLE Crate (tel)")], []), 1, 0, 0, 0),
+    "known schema": (Case([table("Crate", A, schema="geo")], [table("Crate", A, schema="geo")]), 0, 0, 0, 0),
+    "references": (Case([linked("Aisle", "Yard"), linked("Yard"), REPORT], []), 3, 0, 0, 0),
+    "ring": (Case([linked("Aisle", "Yard"), linked("Yard", "Aisle"), linked("Zone")], []), 3, 0, 0, 0),
+    "changed procedure": (Case([module("StoredProcedure", "Fill", "-- first\nCREATE PROCEDURE Fill AS SELECT 7")],
+                               [module("StoredProcedure", "Fill", "CREATE PROCEDURE Fill AS SELECT 8")]), 0, 1, 0, 0),
+    "warning alone": (Case([table("Crate", A)], [table("Crate", A, column("b"))]), 0, 1, 0, 0),
 }
 NAMES = list(CASES)
 
 
 @pytest.fixture(scope="module")
 def result(spark):
-    diff = fleet(spark, CASES.values())
+    diff = fleet(spark, [c[0] for c in CASES.values()])
     types = spark.createDataFrame(
-        [(i, s, "PhoneNumber", "varchar", 25, 0, 0, False, None) for i in range(len(CASES)) for s in ("dbo", "other")],
+        [(i, s, "Dial", "varchar", 19, 0, 0, False, None) for i in range(len(CASES)) for s in ("store", "unused")],
         "pair_id long, schema_name string, name string, base_type_name string, max_length int, precision int, scale int, "
         "is_nullable boolean, collation_name string")
     diff.src["alias_types"] = types
     plan = ordering.stored(script.migration_plan(diff, assemble.table_deps(diff.src["foreign_keys"], "pair_id")), "plan")
     scripts, lists = {}, {}
-    for r in script.diff_scripts(plan, diff.pairs).orderBy("pair_id", "line_no").collect():
+    for r in script.diff_scripts(plan, diff.accepted).orderBy("pair_id", "line_no").collect():
         scripts[NAMES[r.pair_id]] = scripts.get(NAMES[r.pair_id], "") + "\n" * (r.line_no > 0) + r.line
     for r in script.drift_lists(diff.actions).orderBy("pair_id", "outcome", "list_no").collect():
         lists.setdefault((NAMES[r.pair_id], r.outcome), []).append(r.identifier)
     return {NAMES[r.pair_id]: r for r in diff.drift.collect()}, scripts, lists
 
 
-@pytest.mark.parametrize("name, added, changed, removed, skipped", [
-    ("new", 1, 0, 0, 0), ("add_only", 0, 1, 0, 2), ("kept_table", 0, 0, 1, 1), ("dropped_table", 0, 0, 1, 0), ("no_drops", 0, 0, 0, 0),
-    ("rebuild", 0, 1, 0, 0), ("same_schema", 0, 0, 0, 0), ("module", 0, 1, 0, 0), ("warnings_only", 0, 1, 0, 0)])
-def test_drift(result, name, added, changed, removed, skipped):
+@pytest.mark.parametrize("name", NAMES)
+def test_drift(result, name):
     row = result[0][name]
-    assert (row.added, row.changed, row.removed, row.skipped) == (added, changed, removed, skipped)
-    assert row.drifted == (added + changed + removed > 0)
+    assert (row.added, row.changed, row.removed, row.skipped) == CASES[name][1:]
+    assert row.drifted == (row.added + row.changed + row.removed > 0)
 
 
 def test_lists_name_the_objects(result):
-    assert result[2][("new", "added")] == ["[dbo].[Department]"]
-    assert result[2][("order", "added")] == ["[dbo].[Child]", "[dbo].[Parent]", "[dbo].[A]"]
+    assert result[2][("one more table", "added")] == ["[store].[Barrel]"]
+    assert result[2][("references", "added")] == ["[store].[Aisle]", "[store].[Yard]", "[store].[Report]"]
 
 
 def test_every_script_sets_session_options(result):
-    for text in result[1].values():
-        assert "SET ANSI_NULLS ON;" in text and "SET QUOTED_IDENTIFIER ON;" in text
+    assert all("SET ANSI_NULLS ON;" in text and "SET QUOTED_IDENTIFIER ON;" in text for text in result[1].values())
 
 
 def test_a_created_view_has_a_batch_of_its_own(result):
-    batch = [b for b, _ in split_script(result[1]["view"]) if "CREATE VIEW" in b]
-    assert batch == ["CREATE VIEW dbo.vTest AS SELECT 1 AS X"]
+    assert [b for b, _ in split_script(result[1]["one view"]) if "CREATE VIEW" in b] == [REPORT["definition"]]
+
+
+def placed(text, *parts):
+    at = [text.index(p) for p in parts]
+    return at == sorted(at)
 
 
 def test_prerequisites_come_first(result):
-    text = result[1]["schema"]
-    assert "IF SCHEMA_ID(N'app') IS NULL" in text
-    assert text.index("CREATE SCHEMA [app]") < text.index("CREATE TYPE [dbo].[PhoneNumber] FROM varchar(25) NOT NULL;")
-    assert text.index("CREATE TYPE") < text.index("CREATE TABLE")
-    assert "[other].[PhoneNumber]" not in text
-    assert "CREATE SCHEMA" not in result[1]["same_schema"]
+    text = result[1]["own schema and type"]
+    assert placed(text, "IF SCHEMA_ID(N'geo') IS NULL", "CREATE SCHEMA [geo]", "CREATE TYPE [store].[Dial] FROM varchar(19) NOT NULL;", "CREATE TABLE")
+    assert "[unused]" not in text and "CREATE SCHEMA" not in result[1]["known schema"]
 
 
 def test_creates_follow_dependencies(result):
-    text = result[1]["order"]
-    assert text.index("[dbo].[Parent]") < text.index("[dbo].[Child]")
-    assert "-- warning dependency_cycle" in result[1]["cycle"]
-    assert result[1]["cycle"].index("[dbo].[C]") < result[1]["cycle"].index("dependency_cycle") < result[1]["cycle"].index("[dbo].[A]")
+    assert placed(result[1]["references"], "store.Yard", "store.Aisle")
+    assert placed(result[1]["ring"], "store.Zone", "-- warning dependency_cycle", "store.Aisle")
 
 
 def test_changed_module_becomes_create_or_alter(result):
-    assert "-- note\nCREATE OR ALTER PROCEDURE P AS SELECT 1\nGO" in result[1]["module"]
+    assert "-- first\nCREATE OR ALTER PROCEDURE Fill AS SELECT 7\nGO" in result[1]["changed procedure"]
 
 
 def test_rebuild_drops_then_creates(result):
-    text = result[1]["rebuild"]
-    assert text.index("DROP TABLE [dbo].[T];") < text.index("CREATE TABLE T (a)")
+    assert placed(result[1]["rebuild"], "DROP TABLE [store].[Crate];", "CREATE TABLE Crate (new)")
 
 
 def test_block_of_warnings_ends_its_batch(result):
-    assert result[1]["warnings_only"].startswith("-- ") and result[1]["warnings_only"].endswith("\nGO")
+    text = result[1]["warning alone"]
+    assert text.startswith("-- ") and text.endswith("\nGO")
+
 
+#: One set of names for all rules of patterns: (type, schema, name).
+CATALOG = [("Table", "store", "Crate"), ("Table", "store", "Crate2"), ("Table", "store", "a+b"), ("Table", "store", "aab"), ("Table", "geo", "crate"),
+           ("View", "geo", "Heap"), ("StoredProcedure", "store", "Fill"), ("Function", "store", "count_all"), ("Table", "store", "count%all")]
 
-def test_excluded_object_is_never_dropped(spark):
-    diff = fleet(spark, [Case([table("Customer", ID)], [table("Customer", ID), table("AuditTrail", ID)], True, True)])
-    diff.src = filters.filter_side(diff.src, exclude="dbo.Audit*")
-    diff.tgt = filters.filter_side(diff.tgt, exclude="dbo.Audit*")
-    assert diff.drift.first().removed == 0
 
+def test_hidden_objects_are_neither_dropped_nor_read(spark):
+    diff = fleet(spark, [Case([table("Crate", A)], [table("Crate", A), table("Barrel", A)], True, True)])
+    for name in ("src", "tgt"):
+        setattr(diff, name, filters.filter_side(getattr(diff, name), exclude="*.Barrel"))
+    assert diff.drift.first().removed == 0 and diff.tgt["columns"].count() == 1
 
-@pytest.mark.parametrize("include, exclude, kept", [
-    (None, None, ["Customer", "T1", "T10", "Order+Item", "OrderItem", "orders", "usp_TempFix", "usp_Get", "vAny"]),
-    ("Sales.*", None, ["orders"]), ("usp_Temp*", None, ["usp_TempFix"]), ("dbo.T?", None, ["T1"]), ("ORDERS", None, ["orders"]),
-    ("proc:*", None, ["usp_TempFix", "usp_Get"]), ("proc:", "usp_Get", ["usp_TempFix"]), ("dbo.Order+Item", None, ["Order+Item"]),
-    (None, "view:", ["Customer", "T1", "T10", "Order+Item", "OrderItem", "orders", "usp_TempFix", "usp_Get"]),
-    ("Sales.*, dbo.Customer", None, ["Customer", "orders"]), ("foo:bar", None, []), (":x", None, []), (" , ", "table:,func:", ["usp_TempFix", "usp_Get", "vAny"])])
-def test_filters(spark, include, exclude, kept):
-    names = [table(n, ID) for n in ("Customer", "T1", "T10", "Order+Item", "OrderItem")] + [table("orders", ID, schema="Sales")]
-    names += [module("StoredProcedure", n, "x") for n in ("usp_TempFix", "usp_Get")] + [module("View", "vAny", "x")]
-    objects = side(spark, [(1, names)])["objects"]
-    assert sorted(r.obj_name for r in filters.filter_objects(objects, include, exclude).collect()) == sorted(kept)
 
+#: Rule: (include, exclude, what stays of CATALOG by place).
+RULES = {
+    "none": (None, None, range(9)), "blank parts": (" , ,", None, range(9)),
+    "type alone": ("VIEW:", None, [5]), "type and star": ("procs: *", None, [6]), "type and glob": ("tables:cr*", None, [0, 1, 4]),
+    "one letter": ("store.crate?", None, [1]), "any letters": ("*count*", None, [7, 8]), "whole name only": ("crat", None, []),
+    "bare or qualified": ("CRATE", None, [0, 4]), "plus is plain": ("a+b", None, [2]), "percent is plain": ("count%all", None, [8]), "underscore is plain": ("count_all", None, [7]),
+    "end alone": ("*_all", None, [7]), "both ends": ("g*p", None, [5]), "two patterns": ("geo.*, func:", None, [4, 5, 7]),
+    "left out": (None, "geo.*,table:a*", [0, 1, 6, 7, 8]), "left out of chosen": ("store.*", "*2, proc:fill", [0, 2, 3, 7, 8]),
+    "unknown type": ("thing:crate", None, []), "leading colon": (":crate", None, []),
+}
 
-def test_duplicate_keys_reject_the_pair(spark):
-    diff = fleet(spark, [Case([table("A", ID), table("a", ID)], []), Case([table("A", ID)], [])])
-    pairs, rejects = O.reject_duplicates(diff.pairs, diff.src["objects"], diff.tgt["objects"])
-    assert [r.pair_id for r in pairs.collect()] == [1]
-    assert [(r.pair_id, r.obj_key, r.copies, r.side) for r in rejects.collect()] == [(0, "TABLE:DBO.A", 2, "source")]
+
+@pytest.fixture(scope="module")
+def ruled(spark):
+    """What each rule leaves when it stands for one pair of many: all rules at once."""
+    rows = [(i, *o) for i in range(len(RULES)) for o in CATALOG]
+    objects = spark.createDataFrame(rows, "pair_id long, obj_type string, schema_name string, obj_name string")
+    texts = spark.createDataFrame([(i, r[0], r[1]) for i, r in enumerate(RULES.values())], "pair_id long, include string, exclude string")
+    out = {n: [] for n in RULES}
+    for r in filters.filter_per_pair(objects, filters.pattern_rows(texts)).collect():
+        out[list(RULES)[r.pair_id]].append(CATALOG.index((r.obj_type, r.schema_name, r.obj_name)))
+    return out
+
+
+@pytest.mark.parametrize("name", RULES)
+def test_patterns(spark, ruled, name):
+    include, exclude, stay = RULES[name]
+    objects = spark.createDataFrame(CATALOG, "obj_type string, schema_name string, obj_name string")
+    got = [CATALOG.index(tuple(r)) for r in filters.filter_objects(objects, include, exclude).collect()]
+    assert sorted(got) == list(stay) == sorted(ruled[name])
+
+
+def test_patterns_of_pairs_are_joined_by_equality(spark):
+    objects = spark.createDataFrame([(1, *o) for o in CATALOG], "pair_id long, obj_type string, schema_name string, obj_name string")
+    texts = spark.createDataFrame([(1, "a*,*b", "x")], "pair_id long, include string, exclude string")
+    plan = filters.filter_per_pair(objects, filters.pattern_rows(texts))._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_duplicate_keys_refuse_the_pair(spark):
+    diff = fleet(spark, [Case([table("Crate", A), table("CRATE", A)], []), Case([table("Crate", A)], []), Case([], [REPORT, REPORT])])
+    assert sorted((r.pair_id, r.side, r.obj_key, r.copies) for r in diff.rejects.collect()) == [
+        (0, "source", "TABLE:STORE.CRATE", 2), (2, "target", "VIEW:STORE.REPORT", 2)]
+    assert [(r.pair_id, r.added) for r in diff.drift.collect()] == [(1, 1)]
+    assert {r.pair_id for r in diff.actions.collect()} == {1} and diff.steps.isEmpty()
 
 
 def test_one_source_may_serve_many_targets(spark):
-    relations = side(spark, [(7, [table("A", ID)])], "snapshot_id")
+    relations = side(spark, [(7, [table("Crate", A)])], "snapshot_id")
     pairs = spark.createDataFrame([(1, 7, 8), (2, 7, 9)], "pair_id long, source_snapshot_id long, target_snapshot_id long")
     attached = O.attach_side(relations, pairs, "source")
     assert sorted(r.pair_id for r in attached["columns"].collect()) == [1, 2]
 
 
 def test_levels_against_brute_force(spark):
-    import random
-
     rnd = random.Random(5)
     nodes, edges = [], []
     for pair in range(6):

@@ -1,10 +1,12 @@
 """Row-level work, documents and audit."""
 
 import pytest
-from builders import check, col, fk, index, module, nvarchar, pk, side, table
+from catalogs import column, index, item, key, module, reference, side, table
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fleetshape.compare import FleetDiff
+from fleetshape.model import OPTIONAL_FIELDS
 from fleetshape.operators import rows as R
 from fleetshape.operators.assemble import table_deps, with_definitions
 from fleetshape.plans.ordering import numbered
@@ -83,17 +85,20 @@ def test_shape_gate_sees_order_only_when_asked(spark):
 @pytest.fixture(scope="module")
 def relations(spark):
     objects = [
-        table("Parent", col("Id", identity=True, nullable=False), pk("PK", "Id", system=False)),
-        table("Child", col("Id"), nvarchar("N", 5), fk("FK", "Id", "Parent", "Id", is_disabled=True), check("CK", "([Id]>(0))", disabled=True),
-              check("CK__1", "(1=1)", system=True, disabled=True), index("IX", "Id", "N", included=("N",), is_disabled=True), schema="app"),
+        table("Depot", column("no", is_identity=True, is_nullable=False, identity_seed="1", identity_increment="1"), key("P_Depot", "no")),
+        table("Crate", column("no"), column("tag", "nvarchar", max_length=10, collation_name="Plain_CI"),
+              reference("R_Depot", "no", "Depot", "no", is_disabled=True),
+              item("checks", name="C_no", definition="(no>(3))", is_disabled=True),
+              item("checks", name="C__1", definition="(3>2)", is_system_named=True, is_disabled=True),
+              index("I_no", "no tag", included=("tag",), is_disabled=True), schema="geo"),
         table("Legacy", model=False, definition="CREATE TABLE Legacy (x int)"),
-        module("View", "V", "CREATE VIEW V AS SELECT 1"),
+        module("View", "Heap", "CREATE VIEW Heap AS SELECT 7"),
     ]
     rel = side(spark, [(1, objects), (2, objects[:1])], "snapshot_id")
     rel["objects"] = rel["objects"].withColumn("definition", F.when(~F.col("has_model"), F.col("definition")))
     rel = with_definitions(rel)
     rel["dependencies"] = table_deps(rel["foreign_keys"])
-    rel["alias_types"] = spark.createDataFrame([(1, "app", "Phone", "varchar", 25, 0, 0, True, None)], (
+    rel["alias_types"] = spark.createDataFrame([(1, "geo", "Dial", "varchar", 19, 0, 0, True, None)], (
         "snapshot_id long, schema_name string, name string, base_type_name string, max_length int, precision int, scale int, is_nullable boolean, "
         "collation_name string"))
     rel["schemas"] = used_schemas(rel["objects"], rel["alias_types"], "snapshot_id")
@@ -116,16 +121,16 @@ def test_keys_without_case_and_trailing_blanks(spark):
 
 
 def test_create_table_text(relations):
-    text = relations["objects"].where("obj_name = 'Child'").first().definition
+    text = relations["objects"].where("obj_name = 'Crate'").first().definition
     assert text == (
-        "CREATE TABLE [app].[Child]\n(\n    [Id] int NULL,\n    [N] nvarchar(5) COLLATE SQL_Latin1_General_CP1_CI_AS NULL\n);\nGO\n\n"
-        "ALTER TABLE [app].[Child] WITH CHECK ADD CONSTRAINT [FK] FOREIGN KEY ([Id]) REFERENCES [dbo].[Parent] ([Id]);\nGO\n"
-        "ALTER TABLE [app].[Child] NOCHECK CONSTRAINT [FK];\nGO\n\n"
-        "ALTER TABLE [app].[Child] WITH CHECK ADD CONSTRAINT [CK] CHECK ([Id]>(0));\nGO\n"
-        "ALTER TABLE [app].[Child] NOCHECK CONSTRAINT [CK];\nGO\n\n"
-        "ALTER TABLE [app].[Child] WITH CHECK ADD CHECK (1=1);\nGO\n\n"
-        "CREATE NONCLUSTERED INDEX [IX] ON [app].[Child] ([Id] ASC) INCLUDE ([N]);\nGO\n"
-        "ALTER INDEX [IX] ON [app].[Child] DISABLE;\nGO")
+        "CREATE TABLE [geo].[Crate]\n(\n    [no] int NULL,\n    [tag] nvarchar(5) COLLATE Plain_CI NULL\n);\nGO\n\n"
+        "ALTER TABLE [geo].[Crate] WITH CHECK ADD CONSTRAINT [R_Depot] FOREIGN KEY ([no]) REFERENCES [store].[Depot] ([no]);\nGO\n"
+        "ALTER TABLE [geo].[Crate] NOCHECK CONSTRAINT [R_Depot];\nGO\n\n"
+        "ALTER TABLE [geo].[Crate] WITH CHECK ADD CONSTRAINT [C_no] CHECK (no>(3));\nGO\n"
+        "ALTER TABLE [geo].[Crate] NOCHECK CONSTRAINT [C_no];\nGO\n\n"
+        "ALTER TABLE [geo].[Crate] WITH CHECK ADD CHECK (3>2);\nGO\n\n"
+        "CREATE NONCLUSTERED INDEX [I_no] ON [geo].[Crate] ([no] ASC) INCLUDE ([tag]);\nGO\n"
+        "ALTER INDEX [I_no] ON [geo].[Crate] DISABLE;\nGO")
 
 
 def test_documents_round_trip(spark, relations):
@@ -144,6 +149,46 @@ def test_old_pretty_printed_document(spark, tmp_path):
     assert back["columns"].count() == 0 and back["schemas"].count() == 0
 
 
+def test_sparse_documents_take_defaults(spark, tmp_path):
+    (tmp_path / "sparse.json").write_text('''{"DatabaseName": "Sparse", "Objects": [
+      {"Type": "Table", "Schema": "store", "Name": "Crate", "Table": {
+        "Columns": [{"Name": "n", "TypeName": "decimal", "Precision": 9}, null], "KeyConstraints": [{"Name": "K", "Columns": [{"Name": "n"}]}],
+        "ForeignKeys": [{"Name": "R"}], "Indexes": [{"Name": "I", "Columns": null}]}},
+      {"Type": "View", "Name": "Heap"}]}''')
+    back = snapshots.read_snapshots(spark, str(tmp_path))
+    row = back["columns"].first().asDict()
+    assert (row["scale"], row["max_length"], row["is_nullable"], row["type_schema"], row["table_name"]) == (0, 0, False, "", "Crate")
+    assert {f for f, v in row.items() if v is None} == OPTIONAL_FIELDS - {"filter_definition"}
+    assert [c.asDict() for c in back["keys"].first()["columns"]] == [{"name": "n", "key_ordinal": 0, "is_descending": False, "is_included": False, "index_column_id": 0}]
+    assert back["foreign_keys"].first()["columns"] == back["indexes"].first()["columns"] == []
+    assert ("View", "", "Heap", "", False) in [tuple(r)[1:] for r in back["objects"].collect()]
+    # The statement that a missing field once made NULL, and so lost.
+    scoped = {n: df.withColumnRenamed("snapshot_id", "pair_id") for n, df in back.items()}
+    bare = {**scoped, "columns": scoped["columns"].where("false")}
+    pairs = scoped["objects"].select("pair_id").distinct().selectExpr("pair_id", "false include_drops", "false include_table_drops", "false allow_rebuild", "false add_only")
+    steps = [(r.action, r.stmt) for r in FleetDiff(pairs, {n: scoped[n] for n in ("objects", "columns")}, {n: bare[n] for n in ("objects", "columns")}).steps.collect()]
+    assert ("add_column", "ALTER TABLE [store].[Crate] ADD [n] decimal(9,0) NOT NULL;") in steps
+
+
+def test_rejects_name_what_is_broken(spark, tmp_path):
+    good = '{"SnapshotId": %d, "DatabaseName": "D%d", "Objects": [{"Type": "View", "Schema": "s", "Name": "V"}]}'
+    files = {"a.json": good % (1, 1), "b.json": good % (2, 2), "c.json": good % (2, 3), "d.json": (good % (4, 4))[:-9], "e.json": "no json", "f.json": '{"Objects": 7, "SnapshotId": 6}',
+             "snapshot_id=9/g.json": "[", "h.json": good % (8, 8)}
+    for name, text in files.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    relations, rejects = snapshots.read_with_rejects(spark, str(tmp_path))
+    got = {(r.file.rsplit("/", 1)[1], r.snapshot_id, r.reason) for r in rejects.collect()}
+    unnamed = next(i for f, i, _ in got if f == "e.json")
+    assert got == {("b.json", 2, "duplicate_id"), ("c.json", 2, "duplicate_id"), ("d.json", 4, "unreadable"), ("e.json", unnamed, "unreadable"),
+                   ("f.json", 6, "unreadable"), ("g.json", 9, "unreadable")}
+    assert sorted(r.snapshot_id for r in relations["objects"].collect()) == [1, 8] == sorted(r.snapshot_id for r in relations["snapshots"].collect())
+    pairs = spark.createDataFrame([(1, 1, 8), (2, 1, 2), (3, 4, 9)], "pair_id long, source_snapshot_id long, target_snapshot_id long")
+    usable, refused = snapshots.refuse_pairs(pairs, rejects)
+    assert [r.pair_id for r in usable.collect()] == [1]
+    assert {(r.pair_id, r.side, r.snapshot_id) for r in refused.collect()} == {(2, "target", 2), (3, "source", 4), (3, "target", 9)}
+
+
 def test_audit_keeps_real_runs(spark, tmp_path):
     runs = spark.createDataFrame([(1, True, True, False), (2, False, True, False), (3, False, False, False), (4, True, True, True)],
                                  "id int, ok boolean, tx boolean, dry_run boolean").withColumn("started_at", F.timestamp_seconds(F.lit(0)))

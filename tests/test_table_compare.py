@@ -1,140 +1,165 @@
-"""Comparison inside tables: all cases form one fleet, compared once."""
+"""Comparison inside tables, one case per field of the model and outcome: all cases form one fleet, compared once.
+
+What a field does when it differs is stated here; fields are taken from the model, so a new one has to be stated too.
+"""
 
 import pytest
-from builders import Case, check, col, fk, fleet, index, module, nvarchar, pk, table
-
-
-def both(source, target, **options):
-    return Case([table("T", *source)], [table("T", *target)], **options)
-
-
-ID = col("Id", nullable=False)
-COMPUTED = dict(is_computed=True, computed_definition="([A] * 2)")
-
-CASES = {
-    "identical": both([col("Id", identity=True, nullable=False), nvarchar("Name", 100)], [col("Id", identity=True, nullable=False), nvarchar("Name", 100)]),
-    "add_column": both([ID, nvarchar("Email", 256)], [ID]),
-    "add_not_null": both([ID, col("Age", nullable=False)], [ID]),
-    "add_with_default": both([ID, col("On", "bit", nullable=False, default_name="DF_On", default="((1))")], [ID]),
-    "widen": both([nvarchar("Name", 200)], [nvarchar("Name", 50)]),
-    "narrow": both([nvarchar("Name", 50)], [nvarchar("Name", 200)]),
-    "narrow_from_max": both([nvarchar("Name", 50)], [col("Name", "nvarchar", -1, 0, 0, collation="SQL_Latin1_General_CP1_CI_AS")]),
-    "other_base_type": both([col("N", "smallint", 2, 5)], [col("N")]),
-    "to_not_null": both([nvarchar("Email", 256, False)], [nvarchar("Email", 256)]),
-    "target_only_kept": both([ID], [ID, col("Legacy")]),
-    "target_only_dropped": both([ID], [ID, col("Legacy", default_name="DF_L", default="((0))")], include_drops=True),
-    "new_index": both([nvarchar("Email", 256), index("UX_Email", "Email", unique=True)], [nvarchar("Email", 256)]),
-    "default": both([col("S", nullable=False, default_name="DF_S", default="((5))")], [col("S", nullable=False, default_name="DF_S_Old", default="((0))")]),
-    "order_and_case": both([col("A", nullable=False), col("B"), col("C")], [col("b"), col("a", nullable=False), col("C")]),
-    "row_guid": both([col("G", is_row_guid=True)], [col("G")]),
-    "identity": both([col("I", identity=True)], [col("I")]),
-    "computed": both([col("A"), col("X", **COMPUTED)], [col("A"), col("X", default_name="DF_X", default="((1))")]),
-    "computed_same_text": both([col("A"), col("X", **COMPUTED)], [col("A"), col("X", is_computed=True, computed_definition="([a]   *  2)")]),
-    "system_pk": both([ID, pk("PK__Orders__3214EC07CF883821", "Id")], [ID, pk("PK__Orders__3214EC073F741784", "Id")]),
-    "pk_clustering": both([col("Code"), pk("PK_Region", "Code", system=False, desc="NONCLUSTERED")], [col("Code"), pk("PK_Region", "Code", system=False)]),
-    "system_pk_order": both([col("A"), col("B"), pk("PK__1", "B", "A")], [col("A"), col("B"), pk("PK__2", "A", "B")]),
-    "index_on_rewritten": both([nvarchar("Sku", 60), index("IX_Sku", "Sku")], [nvarchar("Sku", 20), index("IX_Sku", "Sku")]),
-    "included_on_rewritten": both([ID, nvarchar("Sku", 60), index("IX", "Id", "Sku", included=("Sku",))], [ID, nvarchar("Sku", 20), index("IX", "Id", "Sku", included=("Sku",))]),
-    "index_elsewhere": both([nvarchar("Sku", 60), col("Qty"), index("IX_Qty", "Qty")], [nvarchar("Sku", 20), col("Qty"), index("IX_Qty", "Qty")]),
-    "target_index_on_rewritten": both([nvarchar("Sku", 60)], [nvarchar("Sku", 20), index("IX_Sku", "Sku")]),
-    "check_trust": both([ID, check("CK", "([Id]>(0))")], [ID, check("CK", "([ID]  >(0))", untrusted=True)]),
-    "check_text": both([ID, check("CK__1", "([Id] >(0))", system=True)], [ID, check("CK__2", "([ID]   >(0))", system=True)]),
-    "check_disabled": both([ID, check("CK", "(1)", disabled=True)], [ID, check("CK", "(1)")]),
-    "fk_action": both([ID, fk("FK", "Id", "P", "Id", delete_action="CASCADE")], [ID, fk("FK", "Id", "P", "Id")]),
-    "fk_trust": both([ID, fk("FK", "Id", "P", "Id", is_not_trusted=True)], [ID, fk("FK", "Id", "P", "Id")]),
-    "fk_system": both([ID, fk("FK__1", "Id", "P", "Id", system=True)], [ID, fk("FK__2", "id", "p", "ID", system=True)]),
-    "duplicates": both([ID, check("CK__1", "(1)", system=True), check("CK__2", "(1)", system=True)], [ID, check("CK__8", "(1)", system=True), check("CK__9", "(1)", system=True)]),
-    "drops_index": both([ID], [ID, index("IX", "Id")], include_drops=True),
-    "model_less": Case([table("T", ID, model=False, definition="CREATE TABLE A")], [table("T", ID, model=False, definition="CREATE TABLE B")]),
-    "module": Case([module("View", "V", "CREATE VIEW V AS SELECT 1")], [module("View", "v", "create  view V as select 2")]),
+from catalogs import Case, column, fleet, index, item, key, module, reference, spots, table
+
+from fleetshape.model import CHECK_FIELDS, COLUMN_FIELDS, FK_FIELDS, INDEX_FIELDS, KEY_FIELDS
+
+ALTER, IDENTITY, RECOMPUTE = ["alter_column"], ["warn_identity", "none"], ["drop_computed", "add_computed"]
+TEXT = {"type_name": "varchar", "collation_name": "Plain_CI"}
+NUMBER = {"type_name": "decimal"}
+
+#: Field: (facets on both sides, one value, another, steps from the other to the one, steps back).
+FACETS = {
+    "type_schema": ({"type_name": "Code", "is_user_defined": True}, "geo", "store", ALTER, ALTER),
+    "type_name": ({}, "bigint", "int", ALTER, ALTER),
+    "is_user_defined": ({"type_name": "Code", "type_schema": "store"}, True, False, ALTER, ALTER),
+    "max_length": (TEXT, 70, 30, ALTER, ["warn_narrowing", *ALTER]),
+    "precision": ({**NUMBER, "scale": 2}, 12, 9, ALTER, ["warn_narrowing", *ALTER]),
+    "scale": ({**NUMBER, "precision": 12}, 4, 3, ALTER, ["warn_narrowing", *ALTER]),
+    "is_nullable": ({}, True, False, ALTER, ["warn_not_null", *ALTER]),
+    "is_identity": ({"identity_seed": "3", "identity_increment": "2"}, True, False, IDENTITY, IDENTITY),
+    "identity_seed": ({"is_identity": True, "identity_increment": "2"}, "3", "4", IDENTITY, IDENTITY),
+    "identity_increment": ({"is_identity": True, "identity_seed": "3"}, "2", "5", IDENTITY, IDENTITY),
+    "is_computed": ({"computed_definition": "(other+1)"}, True, False, RECOMPUTE, RECOMPUTE),
+    "computed_definition": ({"is_computed": True}, "(other+1)", "(other+2)", RECOMPUTE, RECOMPUTE),
+    "is_persisted": ({"is_computed": True, "computed_definition": "(other+1)"}, True, False, RECOMPUTE, RECOMPUTE),
+    "collation_name": ({**TEXT, "max_length": 30}, "Plain_CI", "Plain_CS", ALTER, ALTER),
+    "is_row_guid": ({}, True, False, ["none"], ["none"]),
+    "default_definition": ({"default_name": "DF_own"}, "(7)", "(8)", ["drop_default", "add_default"], ["drop_default", "add_default"]),
+    "default_name": ({"default_definition": "(7)"}, "DF_one", "DF_two", [], []),
+    "default_is_system_named": ({"default_definition": "(7)", "default_name": "DF_own"}, True, False, [], []),
+}
+
+#: Kind: (an item by name, its fields whose difference replaces it with another value for each, fields that do not count).
+ITEMS = {
+    "key": (KEY_FIELDS, lambda name, **f: key(name, "a b", **f),
+            {"type_code": "UQ", "index_type_desc": "NONCLUSTERED", "columns": spots("b a")}, {}),
+    "check": (CHECK_FIELDS, lambda name, **f: item("checks", **{"name": name, "definition": "(a>(3))", **f}),
+              {"definition": "(a>(4))", "is_not_trusted": True}, {"is_disabled": True}),
+    "reference": (FK_FIELDS, lambda name, **f: reference(name, "a b", "Depot", "x y", **f),
+                  {"referenced_schema": "geo", "referenced_table": "Port", "delete_action": "CASCADE", "update_action": "SET_NULL",
+                   "is_not_for_replication": True, "columns": [{"parent_column": "a", "referenced_column": "y"}]},
+                  {"is_not_trusted": True, "is_disabled": True}),
+    "index": (INDEX_FIELDS, lambda name, **f: index(name, "a b", **f),
+              {"is_unique": True, "type_desc": "CLUSTERED", "filter_definition": "(a>(3))", "columns": spots("a b", descending=("b",))}, {"is_disabled": True}),
 }
+AB = (column("a"), column("b"))
+
+
+def differ(source, target, **options):
+    return Case([table("Crate", *source)], [table("Crate", *target)], **options)
+
+
+def cases():
+    """Name: (case, steps in order, changes, warnings)."""
+    out = {}
+
+    def add(name, case, steps, changes=None):
+        warned = sum(s.startswith("warn") for s in steps)
+        out[name] = (case, steps, changes if changes is not None else int(len(steps) > warned), warned)
+
+    for name, (both, one, other, there, back) in FACETS.items():
+        sides = [column("own", **{**both, name: v}) for v in (one, other)]
+        add(f"{name} differs", differ(sides[:1], sides[1:]), there)
+        add(f"{name} differs back", differ(sides[1:], sides[:1]), back)
+        add(f"{name} stays", differ(sides[:1], sides[:1]), [])
+
+    home = column("a")
+    for name, facets, steps in [
+            ("nullable", {}, ["add_column"]), ("wanting a value", {"is_nullable": False}, ["warn_add_not_null", "add_column"]),
+            ("with a default", {"is_nullable": False, "default_name": "DF_n", "default_definition": "(7)"}, ["add_column"]),
+            ("numbered", {"is_nullable": False, "is_identity": True}, ["add_column"]),
+            ("computed", {"is_nullable": False, "is_computed": True, "computed_definition": "(a+1)"}, ["add_column"])]:
+        add(f"new column {name}", differ([home, column("n", **facets)], [home]), steps)
+    only = column("n", default_name="DF_n", default_definition="(7)")
+    add("old column stays", differ([home], [home, only]), ["warn_column_kept"], 0)
+    add("old column goes", differ([home], [home, only], include_drops=True), ["warn_column_dropped", "drop_default", "drop_column"])
+    add("other order and letters", differ([column("a"), column("b")], [column("B"), column("A")]), [])
+    add("longest is widest", differ([column("t", max_length=30, **TEXT)], [column("t", max_length=-1, **TEXT)]), ["warn_narrowing", *ALTER])
+    add("to longest", differ([column("t", max_length=-1, **TEXT)], [column("t", max_length=30, **TEXT)]), ALTER)
+    add("white space of a text", differ([column("c", is_computed=True, computed_definition="(a  +\n1)")], [column("c", is_computed=True, computed_definition="(A + 1)")]), [])
+
+    for kind, (fields, build, telling, silent) in ITEMS.items():
+        assert set(fields) == {"ordinal", "name", "is_system_named", *telling, *silent} - ({"is_system_named"} if kind == "index" else set())
+        own = build("X_own")
+        add(f"{kind} stays", differ([*AB, own], [*AB, build("x_OWN")]), [])
+        add(f"{kind} is new", differ([*AB, own], AB), ["add_item"])
+        add(f"{kind} is kept", differ(AB, [*AB, own]), ["warn_item_kept"], 0)
+        add(f"{kind} goes", differ(AB, [*AB, own], include_drops=True), ["drop_item"])
+        for f, value in telling.items():
+            add(f"{kind} {f} differs", differ([*AB, own], [*AB, build("X_own", **{f: value})]), ["drop_item", "add_item"], 1)
+        for f, value in silent.items():
+            add(f"{kind} {f} differs", differ([*AB, own], [*AB, build("X_own", **{f: value})]), [])
+        if kind != "index":
+            chosen = [build(n, is_system_named=True) for n in ("X__1", "X__2")]
+            add(f"{kind} with a chosen name", differ([*AB, chosen[0]], [*AB, chosen[1]]), [])
+            add(f"{kind} twice with chosen names", differ([*AB, *chosen], [*AB, *chosen]), [])
+        wider = [column("b", "bigint"), column("a")], [column("b"), column("a")]
+        aside = [] if kind == "check" else ["take_down"]
+        back = [] if kind == "check" else ["restore"]
+        add(f"{kind} over a rewritten column", differ([*wider[0], own], [*wider[1], own]), [*aside, *ALTER, *back])
+        add(f"old {kind} over a rewritten column", differ(wider[0], [*wider[1], own]), ["warn_item_kept", *aside, *ALTER, *back])
+        elsewhere = [column("c", "bigint"), *AB, own], [column("c"), *AB, own]
+        add(f"{kind} beside a rewritten column", differ(*elsewhere), ALTER)
+    covering = index("X_own", "a b", included=("b",))
+    add("included column rewritten", differ([column("b", "bigint"), column("a"), covering], [*AB[::-1], covering]), ["take_down", *ALTER, "restore"])
+    add("chosen key in other order", differ([*AB, key("X__1", "b a", is_system_named=True)], [*AB, key("X__2", "a b", is_system_named=True)]), ["warn_item_kept", "add_item"])
+    return out
+
+
+CASES = cases()
 NAMES = list(CASES)
 
 
 @pytest.fixture(scope="module")
 def result(spark):
-    diff = fleet(spark, CASES.values())
-    steps, counts = {n: [] for n in NAMES}, {n: (0, 0) for n in NAMES}
-    for r in diff.steps.collect():
+    diff = fleet(spark, [c[0] for c in CASES.values()])
+    steps = {n: [] for n in NAMES}
+    for r in sorted(diff.steps.collect(), key=lambda r: (r.phase, r.kind_rank, r.side, r.ordinal, r["sub"])):
         steps[NAMES[r.pair_id]].append(r)
-    for r in diff.table_counts.collect():
-        counts[NAMES[r.pair_id]] = (r.changes, r.warnings)
-    for name, rows in steps.items():
-        rows.sort(key=lambda r: (r.phase, r.kind_rank, r.side, r.ordinal, r["sub"]))
-    drift = {NAMES[r.pair_id]: r for r in diff.drift.collect()}
-    return steps, counts, drift
-
-
-def texts(result, name):
-    return [r.stmt for r in result[0][name]]
-
-
-def actions(result, name):
-    return [r.action for r in result[0][name]]
-
-
-@pytest.mark.parametrize("name", ["identical", "order_and_case", "computed_same_text", "system_pk", "check_text", "check_disabled",
-                                  "fk_trust", "fk_system", "duplicates"])
-def test_no_difference(result, name):
-    assert actions(result, name) == []
-    assert result[1][name] == (0, 0)
-    assert not result[2][name].drifted
-
-
-@pytest.mark.parametrize("name, changes, warnings", [
-    ("add_column", 1, 0), ("add_not_null", 1, 1), ("add_with_default", 1, 0), ("widen", 1, 0), ("narrow", 1, 1),
-    ("narrow_from_max", 1, 1), ("other_base_type", 1, 0), ("to_not_null", 1, 1), ("target_only_kept", 0, 1), ("target_only_dropped", 1, 1), ("row_guid", 1, 0),
-    ("identity", 1, 1), ("pk_clustering", 1, 0), ("index_on_rewritten", 1, 0), ("target_index_on_rewritten", 1, 1), ("check_trust", 1, 0),
-    ("fk_action", 1, 0), ("drops_index", 1, 0), ("system_pk_order", 1, 1)])
-def test_counts(result, name, changes, warnings):
-    assert result[1][name] == (changes, warnings)
-    assert result[2][name].changed == 1
-
-
-@pytest.mark.parametrize("name, fragment", [
-    ("add_column", "ALTER TABLE [dbo].[T] ADD [Email] nvarchar(256)"),
-    ("add_not_null", "warning add_not_null ["),
-    ("add_with_default", "CONSTRAINT [DF_On] DEFAULT ((1))"),
-    ("widen", "ALTER COLUMN [Name] nvarchar(200) COLLATE SQL_Latin1_General_CP1_CI_AS NULL;"),
-    ("narrow", "warning narrower [Name] nvarchar(200) -> nvarchar(50)"),
-    ("narrow_from_max", "nvarchar(MAX) -> nvarchar(50)"),
-    ("to_not_null", "warning not_null ["),
-    ("target_only_kept", "warning column_kept ["),
-    ("target_only_dropped", "DROP COLUMN [Legacy]"),
-    ("new_index", "CREATE UNIQUE NONCLUSTERED INDEX [UX_Email] ON [dbo].[T] ([Email] ASC);"),
-    ("pk_clustering", "ADD CONSTRAINT [PK_Region] PRIMARY KEY NONCLUSTERED ([Code] ASC);"),
-    ("system_pk_order", "ADD PRIMARY KEY CLUSTERED ([B] ASC, [A] ASC);"),
-])
-def test_text(result, name, fragment):
-    assert any(fragment in t for t in texts(result, name))
-
-
-@pytest.mark.parametrize("name, expected", [
-    ("default", ["drop_default", "add_default"]),
-    ("computed", ["drop_computed", "add_computed"]),
-    ("row_guid", ["none"]),
-    ("identity", ["warn_identity", "none"]),
-    ("index_on_rewritten", ["take_down", "alter_column", "restore"]),
-    ("included_on_rewritten", ["take_down", "alter_column", "restore"]),
-    ("index_elsewhere", ["alter_column"]),
-    ("target_index_on_rewritten", ["warn_item_kept", "take_down", "alter_column", "restore"]),
-    ("pk_clustering", ["drop_item", "add_item"]),
-    ("target_only_dropped", ["warn_column_dropped", "drop_default", "drop_column"]),
-    ("other_base_type", ["alter_column"]),
+    counts = {NAMES[r.pair_id]: (r.changes, r.warnings) for r in diff.table_counts.collect()}
+    return steps, counts, {NAMES[r.pair_id]: r for r in diff.drift.collect()}
+
+
+def test_every_column_field_has_a_case():
+    assert set(FACETS) == set(COLUMN_FIELDS) - {"ordinal", "name"}
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_steps_and_counts(result, name):
+    _, want, changes, warnings = CASES[name]
+    steps, counts, drift = result
+    assert [r.action for r in steps[name]] == want
+    assert counts.get(name, (0, 0)) == (changes, warnings)
+    assert drift[name].changed == int(changes + warnings > 0) == int(drift[name].drifted)
+
+
+@pytest.mark.parametrize("name, action, text", [
+    ("new column with a default", "add_column", "ALTER TABLE [store].[Crate] ADD [n] int NOT NULL CONSTRAINT [DF_n] DEFAULT (7);"),
+    ("max_length differs", "alter_column", "ALTER TABLE [store].[Crate] ALTER COLUMN [own] varchar(70) COLLATE Plain_CI NULL;"),
+    ("longest is widest", "warn_narrowing", "-- warning narrower [t] varchar(MAX) -> varchar(30)"),
+    ("old column goes", "drop_column", "ALTER TABLE [store].[Crate] DROP COLUMN [n];"),
+    ("index is_unique differs", "add_item", "CREATE NONCLUSTERED INDEX [X_own] ON [store].[Crate] ([a] ASC, [b] ASC);"),
+    ("key index_type_desc differs", "add_item", "ALTER TABLE [store].[Crate] ADD CONSTRAINT [X_own] PRIMARY KEY CLUSTERED ([a] ASC, [b] ASC);"),
+    ("chosen key in other order", "add_item", "ALTER TABLE [store].[Crate] ADD PRIMARY KEY CLUSTERED ([b] ASC, [a] ASC);"),
+    ("reference goes", "drop_item", "ALTER TABLE [store].[Crate] DROP CONSTRAINT [X_own];"),
 ])
-def test_steps_in_order(result, name, expected):
-    assert actions(result, name) == expected
+def test_text(result, name, action, text):
+    assert [r.stmt for r in result[0][name] if r.action == action] == [text]
 
 
-def test_text_comparison(result):
-    model_less, changed_module = result[2]["model_less"], result[2]["module"]
-    assert (model_less.changed, model_less.skipped) == (1, 1)
-    assert (changed_module.changed, changed_module.skipped) == (1, 0)
+def test_compared_by_text(spark):
+    legacy = [table("Crate", column("a"), model=False, definition=d) for d in ("one", "two")]
+    views = [module("View", n, d) for n, d in (("Heap", "one"), ("heap", "two"))]
+    got = fleet(spark, [Case(legacy[:1], legacy[1:]), Case(views[:1], views[1:])]).drift.orderBy("pair_id").collect()
+    assert [(r.changed, r.skipped) for r in got] == [(1, 1), (1, 0)]
 
 
 def test_difference_with_itself_is_empty(spark):
-    everything = [o for c in CASES.values() for o in c.source]
-    own = [dict(o, name=f"T{i}") for i, o in enumerate(everything)]
+    own = [{**o, "obj_name": f"Crate{i}"} for i, o in enumerate(o for c, *_ in CASES.values() for o in c.source)]
     diff = fleet(spark, [Case(own, own, include_drops=True)])
-    assert diff.steps.count() == 0
-    assert not diff.drift.first().drifted
+    assert diff.steps.isEmpty() and not diff.drift.first().drifted

@@ -3,7 +3,7 @@
 
 def load_queries():
     """(queries, oracles) by name."""
-    from workload import catalog_queries, drift_queries, plan_queries, row_queries  # noqa: F401
+    from workload import catalog_queries, document_queries, drift_queries, plan_queries, preflight_queries, row_queries  # noqa: F401
     from workload.registry import ORACLES, QUERIES
 
     return QUERIES, ORACLES

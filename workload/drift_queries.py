@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetshape.compare import FleetDiff
 from fleetshape.functions import render, text
 from fleetshape.operators import columns as C
 from fleetshape.operators import constraints as K
@@ -184,20 +185,30 @@ def q_drift_lists(spark, sf):
     return script.drift_lists(fleet.fleet_diff(spark, sf).actions)
 
 
+# Every fiftieth table is present a second time under an upper-case name, on the source side.
 _DUPLICATED = """
 o_dup as (
-  select pair_id, upper('Table:' || schema_name || '.' || table_name) as obj_key from tables_base
-  union all select pair_id, upper('Table:' || schema_name || '.' || table_name) from tables_base where object_id % 50 = 0)"""
+  select pair_id, upper('Table:' || schema_name || '.' || table_name) as obj_key from src_tables where object_id % 50 = 0)"""
 
 
-@query("q_duplicate_keys", Q.oracle(
-    "select pair_id, obj_key, cast(count(*) as bigint) as copies from o_dup group by 1, 2 having count(*) > 1", _DUPLICATED))
+def _with_duplicates(spark, sf) -> FleetDiff:
+    d = fleet.fleet_diff(spark, sf)
+    objects = d.src["objects"]
+    again = objects.where("obj_type = 'Table' and cast(substring(obj_name, 5) as bigint) % 50 = 0").withColumn("obj_name", F.upper("obj_name"))
+    return FleetDiff(d.pairs, {**d.src, "objects": objects.unionByName(again)}, d.tgt)
+
+
+@query("q_duplicate_keys", Q.oracle("select pair_id, 'source' as side, obj_key, 2::bigint as copies from o_dup", _DUPLICATED))
 def q_duplicate_keys(spark, sf):
-    """Every fiftieth table is present a second time under an upper-case name."""
-    base = fleet.cte(spark, sf, "tables_base")
-    rows = base.select("pair_id", F.lit("Table").alias("obj_type"), "schema_name", F.col("table_name").alias("obj_name"), "object_id")
-    twice = rows.unionByName(rows.where("object_id % 50 = 0").withColumn("obj_name", F.upper("obj_name")))
-    return O.duplicate_keys(twice, "pair_id")
+    return _with_duplicates(spark, sf).rejects
+
+
+@query("q_accepted_pairs", Q.oracle(
+    f"""select p.pair_id, {_DRIFT_COUNTS} from pairs p left join o_act a on a.pair_id = p.pair_id
+        where p.pair_id not in (select pair_id from o_dup) group by p.pair_id, p.include_drops, p.add_only""", f"{Q.DRIFT},{_DUPLICATED}"))
+def q_accepted_pairs(spark, sf):
+    """A pair with a repeated key is refused whole; the others are compared as ever."""
+    return _with_duplicates(spark, sf).drift
 
 
 # ---- columns

@@ -61,6 +61,24 @@ def q_filter_notice(spark, sf):
     return filters.filter_notice(fleet.pairs(spark, sf).select("pair_id"), INCLUDE, EXCLUDE)
 
 
+#: What the patterns of q_filter_per_pair leave, pair by pair.
+_PAIR_KEPT = """(case pair_id % 4 when 0 then lower(schema_name) = 'sales' or obj_type = 'View'
+      when 1 then starts_with(upper(obj_name), 'TBL_' || pair_id) or regexp_matches(obj_name, '_1.$')
+      when 2 then ends_with(obj_name, '9') or obj_type = 'StoredProcedure' else true end)
+    and not (case pair_id % 3 when 0 then lower(schema_name) = 'app' or obj_type = 'Function' or lower(schema_name) = 'dbo' and obj_name ilike 'tbl\_%5' escape '\'
+      when 1 then obj_type = 'StoredProcedure' and starts_with(upper(obj_name), 'MOD_' || pair_id % 10) or ends_with(obj_name, '7') else false end)"""
+
+
+@query("q_filter_per_pair", Q.oracle(f"select pair_id, obj_key from o_src_obj where pair_id in (select pair_id from pairs) and {_PAIR_KEPT}", Q.OBJECTS))
+def q_filter_per_pair(spark, sf):
+    """Every pair with patterns of its own; pairs without any keep all."""
+    texts = fleet.cte(spark, sf, "pairs").selectExpr(
+        "pair_id", """case pair_id % 4 when 0 then 'Sales.*, view:' when 1 then 'tbl_' || pair_id || '*,*_1?' when 2 then '*9, proc: , :x' end as include""",
+        """case pair_id % 3 when 0 then 'app.*, func:, dbo.Tbl_*5' when 1 then 'procedures : mod_' || pair_id % 10 || '*,*7' end as exclude""")
+    objects = fleet.relation(spark, sf, "src", "objects").join(fleet.cte(spark, sf, "pairs").select("pair_id"), "pair_id", "left_semi")
+    return O.keyed(filters.filter_per_pair(objects, filters.pattern_rows(texts)))
+
+
 # ---- dependency order
 
 _GRAPH = """
@@ -301,7 +319,7 @@ def q_diff_script(spark, sf):
     src = {**d.src, "alias_types": alias_types(spark, sf)}
     diff = FleetDiff(d.pairs, src, d.tgt)
     plan = script.migration_plan(diff, A.table_deps(src["foreign_keys"], "pair_id"), fleet.columns(spark, sf, "src", True))
-    return script.diff_scripts(stored(plan, "plan"), d.pairs)
+    return script.diff_scripts(stored(plan, "plan"), diff.accepted)
 
 
 @query("q_full_script", Q.oracle(f"""
