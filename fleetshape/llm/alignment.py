@@ -1,7 +1,10 @@
 """Alignment of two tokenizers over the same bytes, as an Arrow pipeline.
 
-A slice of documents is encoded by both tokenizers. Lists are flattened, a token's byte length comes
-from its vocabulary entry, and cumulative sums within each document give the offset where it ends.
+A slice of documents is cut at blanks between plain characters, where neither tokenizer can have a
+token across the cut (its pattern, or a vocabulary without such an entry, forbids it), and each distinct
+part is encoded once while it stays in a bounded table; a text with any other blank is one part. Lists are
+flattened, a token's byte length comes from its vocabulary entry, and cumulative sums within each
+document give the offset where it ends.
 An Acero join of both sides on (document, end) tells which offsets both share: they cut the tokens
 into groups. The same join, kept outer and filled backwards, has one row per link: between two
 neighbouring ends of either side lies exactly one overlap of an A and a B token.
@@ -35,7 +38,13 @@ from fleetshape.llm.frames import map_text, raw_text, stored
 from fleetshape.llm.token_counts import load
 
 #: Text bytes of one pass of the pipeline, and of a chunk whose counts are kept apart, about; a longer text is its own.
-SLICE, CHUNK = 1 << 20, 16 << 20
+SLICE, CHUNK = 1 << 20, 8 << 20
+#: Bytes of the distinct parts that a worker remembers before it starts anew.
+REMEMBERED = 8 << 20
+#: A blank at which a text is not cut: at its beginning or end, or beside anything but letters, digits and printable ASCII.
+_UNCUT = re.compile(r" (?:(?<![\w!-~] )|(?![\w!-~]))")
+#: A part that may stand between blanks, as those that texts are cut into do.
+_PLAIN = re.compile(r"[\w!-~](?:[^ ]*[\w!-~])?")
 
 
 def _byte_letters() -> np.ndarray:
@@ -59,8 +68,8 @@ class ByteLevel:
         for entry, i in spelled.items():
             self.bytes[i] = bytes(letters[ord(c)] for c in entry) if all(ord(c) < len(letters) for c in entry) else entry.encode()
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+    def encode(self, parts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast([" " + t for t in parts], add_special_tokens=False)]
 
 
 class Pieces:
@@ -74,19 +83,68 @@ class Pieces:
         hexed = re.compile(r"<0x([0-9A-F]{2})>")
         self.bytes = [bytes.fromhex(m.group(1)) if (m := hexed.fullmatch(p)) else p.replace("▁", " ").encode() for p in entries]
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return self.processor.encode(texts, num_threads=1)
+    def encode(self, parts: list[str]) -> list[list[int]]:
+        return self.processor.encode(parts, num_threads=1)
+
+
+class Encoders:
+    """Both tokenizers, and the token lists of the parts met so far."""
+
+    def __init__(self, a: ByteLevel, b: Pieces):
+        self.sides = (a, b)
+        self.entries = tuple(pa.array(x.bytes, pa.binary()) for x in self.sides)
+        # Without an entry that goes on behind an inner blank, no B token spans a cut.
+        self.cuts = not any(b" " in e.lstrip(b" ") for e in b.bytes)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.lists = [pa.array([], pa.list_(pa.int32()))] * 2
+        self.size = 0
+
+    def _added(self, plain: list[str], other: list[str]) -> list[pa.ListArray]:
+        """Token lists of new parts. A, which is slow for single words, takes plain ones as one text that is cut again where tokens end."""
+        kind = pa.list_(pa.int32())
+        ids = np.array(self.sides[0].encode([" ".join(plain)])[0] if plain else [], np.int32)
+        ends = np.cumsum(_spelled(ids, self.entries[0])[1])
+        until = np.cumsum([len(p.encode()) + 1 for p in plain], dtype=np.int64)
+        at = np.searchsorted(ends, until)
+        if (at == len(ends)).any() or (ends[at] != until).any():
+            first = pa.array(self.sides[0].encode(plain), kind)
+        else:
+            first = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], at + 1)).astype(np.int32)), pa.array(ids))
+        return [pa.concat_arrays([first, pa.array(self.sides[0].encode(other), kind)]), pa.array(self.sides[1].encode([*plain, *other]), kind)]
+
+    def parts(self, text: str) -> list[str]:
+        return [] if not text else text.split(" ") if self.cuts and not _UNCUT.search(text) else [text]
+
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Per side the ids of all texts end to end, and the document of each."""
+        split = pa.array([self.parts(t) for t in texts], pa.list_(pa.large_string()))
+        doc = pc.list_parent_indices(split)
+        coded = pc.list_flatten(split).dictionary_encode()
+        parts = coded.dictionary.to_pylist()
+        if self.size > REMEMBERED:
+            self._forget()
+        new = [p for p in parts if p not in self.place]
+        if new:
+            self.size += sum(map(len, new))
+            plain = [p for p in new if _PLAIN.fullmatch(p)] if self.cuts else []
+            other = [p for p in new if not _PLAIN.fullmatch(p)] if plain else new
+            self.place.update(zip((*plain, *other), range(len(self.place), len(self.place) + len(new))))
+            self.lists = [pa.concat_arrays(x) for x in zip(self.lists, self._added(plain, other))]
+        rows = pa.array(np.fromiter(map(self.place.__getitem__, parts), np.int64, len(parts))).take(coded.indices)
+        out = []
+        for known in self.lists:
+            lists = known.take(rows)
+            out.append((pc.list_flatten(lists).to_numpy(zero_copy_only=False),
+                        doc.take(pc.list_parent_indices(lists)).to_numpy(zero_copy_only=False).astype(np.int64)))
+        return out
 
 
 @lru_cache(maxsize=4)
-def _both(path_a: str, path_b: str) -> tuple[ByteLevel, Pieces]:
-    return ByteLevel(path_a), Pieces(path_b)
-
-
-def _flat(tokens: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids end to end, and the document of each."""
-    lists = pa.array(tokens, pa.list_(pa.int32()))
-    return pc.list_flatten(lists).to_numpy(zero_copy_only=False), pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
+def _both(path_a: str, path_b: str) -> Encoders:
+    return Encoders(ByteLevel(path_a), Pieces(path_b))
 
 
 def _spelled(ids: np.ndarray, entries: pa.Array) -> tuple[bytes, np.ndarray]:
@@ -99,15 +157,12 @@ def _spelled(ids: np.ndarray, entries: pa.Array) -> tuple[bytes, np.ndarray]:
 class Aligned:
     """Alignment of some texts: per document counts and digests, per link its document and two ids."""
 
-    def __init__(self, texts: list[str], a, b):
+    def __init__(self, texts: list[str], encoders: Encoders):
         n = len(texts)
-        tokens = [x.encode(texts) for x in (a, b)]
         want = [b" " + t.encode() if t else b"" for t in texts]
         whole = np.array([len(w) > 0 for w in want], bool)
         sides = []
-        for side, lists in zip((a, b), tokens):
-            entries = pa.array(side.bytes, pa.binary())
-            ids, doc = _flat(lists)
+        for entries, (ids, doc) in zip(encoders.entries, encoders.encode(texts)):
             data, length = _spelled(ids, entries)
             size = np.bincount(doc, length, n).astype(np.int64)
             at = np.concatenate(([0], np.cumsum(size)))
@@ -196,7 +251,7 @@ class _Chunk:
 
 def _aligning(path_a: str, path_b: str, slice_bytes: int, chunk_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = _both(path_a, path_b)
+        encoders = _both(path_a, path_b)
         task, n, chunk = TaskContext.get().partitionId(), 0, None
         for batch in batches:
             data, ends = raw_text(batch.column(1))
@@ -207,7 +262,7 @@ def _aligning(path_a: str, path_b: str, slice_bytes: int, chunk_bytes: int):
                 chunk = chunk or _Chunk(f"{task}-{n}", batch.column(0).type)
                 flat = data[ends[start]:ends[stop]].tobytes()
                 at = (ends[start:stop + 1] - ends[start]).tolist()
-                chunk.add(batch.column(0).slice(start, stop - start), at[-1], Aligned([flat[i:j].decode() for i, j in zip(at, at[1:])], a, b))
+                chunk.add(batch.column(0).slice(start, stop - start), at[-1], Aligned([flat[i:j].decode() for i, j in zip(at, at[1:])], encoders))
                 if chunk.size >= chunk_bytes:
                     yield from chunk.batches()
                     chunk, n = None, n + 1

@@ -260,6 +260,23 @@ def test_alignment_against_token_loop(spark, texts):
     assert sum(w[1] > 0 for w in want) > len(want) / 2 and any(w[1] == 0 for w in want)
 
 
+def test_parts_are_encoded_as_their_texts_are():
+    """Cutting at plain blanks and remembering parts changes no token, in texts of every kind and after forgetting."""
+    encoders = alignment.Encoders(alignment.ByteLevel(A), alignment.Pieces(B))
+    rng = random.Random(6)
+    letters = list("ab'sdTr .,\n\t1½ éß中😀\u0301\u200b-_#<|>") + ["▁", "ll ", "'re ", "\u00a0", "\x1c"]
+    odd = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 50))) for _ in range(3000)]
+    assert encoders.cuts and sum(len(encoders.parts(t)) > 1 for t in odd) > 100
+    for at in range(0, len(odd), 250):
+        texts = odd[at:at + 250]
+        if at == 1500:
+            encoders.size = alignment.REMEMBERED + 1
+        for side, (ids, doc) in zip(encoders.sides, encoders.encode(texts)):
+            whole = side.encode(texts)
+            assert ids.tolist() == [i for tokens in whole for i in tokens]
+            assert doc.tolist() == [n for n, tokens in enumerate(whole) for _ in tokens]
+
+
 def test_alignment_of_long_and_of_no_texts(spark, no_docs, texts):
     assert alignment.align(no_docs, A, B).count() == 0
     assert alignment.align(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string"), A, B).where("n_a = 0 and groups_sha256 = ''").count() == 2
