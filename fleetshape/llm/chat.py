@@ -8,14 +8,20 @@ Turns are written between control strings. Inside roles and texts every `<`, bac
 gets one backslash more, so no control string can stand there, and reading takes it off again.
 The loss mask holds code-point ranges of the formatted string, one per assistant text.
 
+A record with more fields than a layout names still has it: where the fingerprint of all its paths is
+unknown, paths whose names stand in no layout are left out (to NESTED levels of nesting) and the rest is
+fingerprinted again.
+
 Only DataFrame functions. Defined results: null roles and texts are empty; null turn numbers come
 first, ties are ordered by role and text; a null conversation id is a conversation; a record of
-an unknown layout has no turns (`layout` null); repeated rows are repeated turns; an empty table
-gives an empty one; further columns do not matter.
+an unknown layout, a null record and one with an empty message list have no turns, and their conversation
+stays, formatted as '' where it has no other turns, with `n_unknown` telling how many of its records have no known
+layout; repeated rows are repeated turns; an empty table gives an empty one; further columns do not matter.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 
@@ -82,6 +88,10 @@ LAYOUTS: tuple[Layout, ...] = (
 )
 
 
+#: Levels of fields that no layout names, one inside the other, that are left out.
+NESTED = 4
+
+
 def layout_paths(record: Column) -> Column:
     """The record's schema with its scalar types left out: nested field names in order."""
     return F.regexp_replace(F.schema_of_variant(record), r": (?!OBJECT<|ARRAY<)[A-Z_]+(\(\d+(, ?\d+)?\))?", "")
@@ -105,8 +115,23 @@ def _written(paths: tuple[str, ...]) -> str:
     return text(tree)
 
 
-def fingerprint(record: Column) -> Column:
-    return F.xxhash64(layout_paths(record))
+def known_paths(paths: Column, layouts: tuple[Layout, ...]) -> Column:
+    """`layout_paths` without the names that stand in no layout, innermost first."""
+    steps = {step for x in layouts for path in x.paths for step in path.split(".")}
+    outer = {s.removesuffix("[]") for x in layouts for path in x.paths for s in path.split(".")[:-1]}
+    leaves = {s for x in layouts for s in (path.split(".")[-1] for path in x.paths)} | {s for s in steps if s not in outer}
+    either = lambda names: "|".join(sorted(re.escape(n.removesuffix("[]")) for n in names))
+    inner = r"(?:ARRAY<ARRAY<[^<>]*>>|ARRAY<OBJECT<[^<>]*>>|ARRAY<[^<>]*>|OBJECT<[^<>]*>)"
+    for pattern in (*[rf"(?<=[<, ])(?!(?:{either(outer)}): )[^,<>: ]+: {inner}"] * NESTED, rf"(?<=[<, ])(?!(?:{either(leaves)})[,>])[^,<>: ]+(?=[,>])"):
+        paths = F.regexp_replace(paths, pattern, "")
+    # What is left between the names.
+    for pattern, text in ((r"(?:, ?)+", ", "), ("<, ", "<"), (", >", ">")):
+        paths = F.regexp_replace(paths, pattern, text)
+    return paths
+
+
+def fingerprint(paths: Column) -> Column:
+    return F.xxhash64(paths)
 
 
 def canonical_turns(df: DataFrame, record: str, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
@@ -114,11 +139,15 @@ def canonical_turns(df: DataFrame, record: str, layouts: tuple[Layout, ...] = LA
 
     `record` is a variant column. Fingerprints of the layouts are constants of the plan.
     """
-    marked = df.withColumn("__print", fingerprint(F.col(record)))
-    names = reduce(lambda c, x: c.when(F.col("__print") == F.xxhash64(F.lit(_written(x.paths))), F.lit(x.name)), layouts, F)
-    marked = marked.withColumn("layout", names)
+    def named(paths: Column) -> Column:
+        mark = fingerprint(paths)
+        table = F.create_map(*[c for x in layouts for c in (F.xxhash64(F.lit(_written(x.paths))), F.lit(x.name))])
+        return F.try_element_at(table, mark)
+
+    marked = df.withColumn("__paths", layout_paths(F.col(record)))
+    marked = marked.withColumn("layout", F.coalesce(named(F.col("__paths")), named(known_paths(F.col("__paths"), layouts))))
     turns = reduce(lambda c, x: c.when(F.col("layout") == x.name, F.expr(x.turns(f"`{record}`")).cast(TURNS)), layouts, F)
-    return marked.withColumn("turns", F.coalesce(turns, F.array().cast(TURNS))).drop("__print")
+    return marked.withColumn("turns", F.coalesce(turns, F.array().cast(TURNS))).drop("__paths")
 
 
 def escaped(text: Column) -> Column:
@@ -130,22 +159,23 @@ def unescaped(text: Column) -> Column:
 
 
 def format_turns(turns: DataFrame) -> DataFrame:
-    """conv_id, formatted, loss_mask (start from 1, length): one row per conv_id of `turns` (conv_id, turn, part, role, text).
+    """conv_id, formatted, loss_mask (start from 1, length), n_unknown: one row per conv_id of `turns` (conv_id, turn, part, role, text, unknown).
 
-    Lengths are summed before turns are gathered, so that a long conversation costs no more per turn.
+    A row without `part` is no turn. Lengths are summed before turns are gathered, so that a long conversation costs no more per turn.
     """
-    written = turns.select("conv_id", "turn", "part", "role", "text", (F.col("role") == "assistant").alias("learned"),
+    is_turn = F.col("part").isNotNull()
+    written = turns.select("conv_id", "turn", "part", "role", "text", "unknown", (F.col("role") == "assistant").alias("learned"),
                            F.concat(F.lit(START), escaped(F.col("role")), F.lit(MIDDLE)).alias("head"), escaped(F.col("text")).alias("body"))
-    whole = F.char_length("head") + F.char_length("body") + len(END)
+    whole = F.when(is_turn, F.char_length("head") + F.char_length("body") + len(END)).otherwise(0)
     order = W.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "part", "role", "text")
     placed = written.withColumn("n", F.row_number().over(order)).withColumn(
         "before", F.sum(whole).over(order.rowsBetween(W.unboundedPreceding, W.currentRow)) - whole)
     span = F.when(F.col("learned"), F.struct(
         (F.col("before") + F.char_length("head") + 1).cast("int").alias("start"), F.char_length("body").alias("length")))
-    piece = F.struct("n", F.concat("head", "body", F.lit(END)).alias("piece"), span.alias("span"))
-    pieces = placed.groupBy("conv_id").agg(F.array_sort(F.collect_list(piece)).alias("p"))
+    piece = F.when(is_turn, F.struct("n", F.concat("head", "body", F.lit(END)).alias("piece"), span.alias("span")))
+    pieces = placed.groupBy("conv_id").agg(F.array_sort(F.collect_list(piece)).alias("p"), F.count_if("unknown").alias("n_unknown"))
     return pieces.select("conv_id", F.array_join("p.piece", "").alias("formatted"),
-                         F.filter("p.span", lambda s: s.isNotNull()).alias("loss_mask"))
+                         F.filter("p.span", lambda s: s.isNotNull()).alias("loss_mask"), "n_unknown")
 
 
 def read_turns(formatted: Column) -> Column:
@@ -171,13 +201,27 @@ def digests(formatted: DataFrame) -> DataFrame:
         F.char_length("formatted").cast("long").alias("formatted_chars"))
 
 
-def rows_as_records(df: DataFrame) -> DataFrame:
-    """Message rows (conv_id, turn, role, text) as variant records, one message each."""
-    record = F.parse_json(F.to_json(F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))))
-    return df.select("conv_id", "turn", record.alias("record"))
+#: Shapes in which `rows_as_records` writes a message, dealt by conversation: a bare row, and three nested layouts with fields beside them.
+SHAPES = ("message_row", "messages_role_content", "conversations_from_value", "dialog_messages")
+
+
+def rows_as_records(df: DataFrame, shapes: tuple[str, ...] = SHAPES) -> DataFrame:
+    """Message rows (conv_id, turn, role, text) as variant records, one message each, in the layouts `shapes` by turns of a conversation hash."""
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    message = lambda r, t: F.array(F.struct(role.alias(r), text.alias(t)))
+    written = {
+        "message_row": F.struct(role.alias("role"), text.alias("text")),
+        "messages_role_content": F.struct(F.lit("chat").alias("kind"), message("role", "content").alias("messages")),
+        "conversations_from_value": F.struct(message("from", "value").alias("conversations"), F.struct(F.lit(1).alias("v")).alias("meta")),
+        "dialog_messages": F.struct(F.struct(message("role", "text").alias("messages")).alias("dialog")),
+    }
+    shape = F.pmod(F.xxhash64("conv_id"), F.lit(len(shapes)))
+    record = reduce(lambda c, i: c.when(shape == i, F.to_json(written[shapes[i]])), range(len(shapes)), F)
+    return df.select("conv_id", "turn", F.parse_json(record).alias("record"))
 
 
 def format_records(df: DataFrame) -> DataFrame:
-    """conv_id, formatted, loss_mask of records (conv_id, turn, record: variant) of any known layout."""
-    turns = canonical_turns(df, "record").select("conv_id", "turn", F.posexplode("turns").alias("part", "t"))
-    return format_turns(turns.select("conv_id", "turn", "part", "t.role", "t.text"))
+    """conv_id, formatted, loss_mask, n_unknown of records (conv_id, turn, record: variant): one row per conv_id, whatever its layouts."""
+    turns = canonical_turns(df, "record").select(
+        "conv_id", "turn", F.col("layout").isNull().alias("unknown"), F.posexplode_outer("turns").alias("part", "t"))
+    return format_turns(turns.select("conv_id", "turn", "part", "t.role", "t.text", "unknown"))

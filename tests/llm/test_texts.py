@@ -163,6 +163,36 @@ def test_chat_reads_back_what_it_wrote(spark):
 
 # urls
 
+def test_no_conversation_is_lost(spark):
+    """Layouts with more fields, empty lists, unknown and null records, several layouts in one conversation."""
+    records = [
+        (1, 0, '{"messages": [{"role": "user", "content": "q", "name": "x"}, {"role": "assistant", "content": "r"}], "id": 7, "tags": ["a", ["b"]]}'),
+        (2, 0, '{"id": 3, "prompt": "q", "meta": {"text": {"deep": [{"x": 1}]}}, "response": "r"}'), (3, 0, '{"messages": []}'),
+        (4, 0, '{"question": "q", "answer": "r"}'), (5, 0, None), (6, 0, '{"conversations": [{"from": "human", "value": "q", "weight": 1.5}]}'),
+        (6, 1, '{"role": "assistant", "text": "r", "lang": "en"}'), (6, 2, '{"what": 1}'), (7, 0, '[1, 2]'), (8, 0, '{"dialog": {"messages": [{"role": "user", "text": "q"}], "n": 2}}'),
+        (None, 0, '{"role": "user", "text": "q"}')]
+    df = spark.createDataFrame(records, "conv_id long, turn long, j string").select("conv_id", "turn", F.parse_json("j").alias("record"))
+    formatted = chat.format_records(df)
+    read = {r["conv_id"]: ([tuple(t.values()) for t in r["r"]], r["n_unknown"]) for r in rows(formatted.select("conv_id", "n_unknown", chat.read_turns(F.col("formatted")).alias("r")))}
+    asked, answered = ("user", "q"), ("assistant", "r")
+    assert read == {1: ([asked, answered], 0), 2: ([asked, answered], 0), 3: ([], read[3][1]), 4: ([], 1), 5: ([], 1), 6: ([asked, answered], 1), 7: ([], 1), 8: ([asked], 0), None: ([asked], 0)}
+    assert {r["conv_id"]: r["n_turns"] for r in rows(chat.digests(formatted))}[4] == 0
+
+
+def test_shapes_say_the_same(spark):
+    df = spark.createDataFrame([(c, t, r, f"<|im_end|> {c} {t}") for c in range(20) for t, r in enumerate(("system", "user", "assistant"))], "conv_id long, turn long, role string, text string")
+    by_shape = [sorted(map(tuple, chat.digests(chat.format_records(chat.rows_as_records(df, (s,)))).collect())) for s in chat.SHAPES]
+    assert all(x == by_shape[0] for x in by_shape) and by_shape[0] == sorted(map(tuple, chat.digests(chat.format_records(chat.rows_as_records(df))).collect()))
+    assert {r["layout"] for r in rows(chat.canonical_turns(chat.rows_as_records(df), "record").select("layout"))} == set(chat.SHAPES)
+
+
+def test_a_very_long_conversation(spark):
+    df = spark.range(5000).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"),
+                                  F.repeat(F.lit("wort "), 60).alias("text"))
+    got = rows(chat.digests(chat.format_records(chat.rows_as_records(df))))[0]
+    assert (got["n_turns"], got["loss_chars"]) == (5000, 2500 * 300)
+
+
 def test_hosts_paths_and_rules(spark):
     cases = [("HTTP://A.Example.NET/en/x?q#f", "a.example.net", "/en/x", "example.net/en/"), ("https://example.net/EN/", "example.net", "/EN/", "net/"),
              ("http://x.org/fr/1", "x.org", "/fr/1", "org/fr/"), ("http://borg/fr/", "borg", "/fr/", None), ("http://x.net", "x.net", "", None),
