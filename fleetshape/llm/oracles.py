@@ -1,11 +1,14 @@
 """DuckDB SQL for the queries that SQL can express."""
 
 from fleetshape.llm.licences import TEMPLATES, THRESHOLD, _bigrams_of
+from fleetshape.llm.quality import UNSPACED
 
 ORACLES: dict[str, str] = {}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+_UNSPACED = "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in UNSPACED)
+
 ORACLES["op3_quality_rules"] = rf"""
 with d as (select doc_id, coalesce(text, '') as text, {_WORDS} as w from documents),
 win as (select doc_id, i, array_to_string(w[i:i + 7], ' ') as k from d, unnest(range(1, len(w) - 6)) as t(i)),
@@ -17,13 +20,14 @@ m as (
   select d.doc_id, len(w) as n_words, coalesce(len(array_to_string(w, '')), 0) as word_chars,
     len(regexp_extract_all(text, '[#*$%&|<>]')) as n_symbols, coalesce(n_dup, 0) as n_dup_lines,
     coalesce(cov.n, 0) as n_repeat_words, coalesce(n_lines, 0) as n_lines,
-    len(regexp_extract_all(text, '[A-Z]')) as n_upper, len(regexp_extract_all(text, '[a-z]')) as n_lower
+    len(regexp_extract_all(text, '\p{{Lu}}')) as n_upper, len(regexp_extract_all(text, '\p{{Ll}}')) as n_lower,
+    len(regexp_extract_all(text, '\p{{L}}')) as n_letters, len(regexp_extract_all(text, '[{_UNSPACED}]')) as n_unspaced
   from d left join cov using (doc_id) left join lines using (doc_id)),
 f as (
   select *, (n_words < 20)::bigint + 2 * (100 * n_repeat_words > 30 * n_words)::bigint + 4 * (10 * n_symbols > n_words)::bigint
     + 8 * (100 * n_dup_lines > 30 * n_lines)::bigint
-    + 16 * (n_words > 0 and (word_chars < 2 * n_words or word_chars > 20 * n_words))::bigint
-    + 32 * (n_upper > n_lower)::bigint as failed from m)
+    + 16 * (n_words > 0 and (word_chars < 2 * n_words or word_chars > 20 * n_words and 2 * n_unspaced <= word_chars))::bigint
+    + 32 * (n_upper > n_lower and 2 * (n_upper + n_lower) > n_letters)::bigint as failed from m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & 3) != 0 as base_failed, failed = 0 as kept, failed from f
 """
 
