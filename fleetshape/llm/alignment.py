@@ -38,9 +38,9 @@ from fleetshape.llm.frames import map_text, raw_text, stored
 from fleetshape.llm.token_counts import load
 
 #: Text bytes of one pass of the pipeline, and of a chunk whose counts are kept apart, about; a longer text is its own.
-SLICE, CHUNK = 1 << 20, 8 << 20
+SLICE, CHUNK = 1 << 19, 4 << 20
 #: Bytes of the distinct parts that a worker remembers before it starts anew.
-REMEMBERED = 8 << 20
+REMEMBERED = 2 << 20
 #: A blank at which a text is not cut: at its beginning or end, or beside anything but letters, digits and printable ASCII.
 _UNCUT = re.compile(r" (?:(?<![\w!-~] )|(?![\w!-~]))")
 #: A part that may stand between blanks, as those that texts are cut into do.
@@ -95,9 +95,9 @@ class Encoders:
         self.entries = tuple(pa.array(x.bytes, pa.binary()) for x in self.sides)
         # Without an entry that goes on behind an inner blank, no B token spans a cut.
         self.cuts = not any(b" " in e.lstrip(b" ") for e in b.bytes)
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.place: dict[str, int] = {}
         self.lists = [pa.array([], pa.list_(pa.int32()))] * 2
         self.size = 0
@@ -125,7 +125,7 @@ class Encoders:
         coded = pc.list_flatten(split).dictionary_encode()
         parts = coded.dictionary.to_pylist()
         if self.size > REMEMBERED:
-            self._forget()
+            self.forget()
         new = [p for p in parts if p not in self.place]
         if new:
             self.size += sum(map(len, new))
@@ -266,9 +266,13 @@ def _aligning(path_a: str, path_b: str, slice_bytes: int, chunk_bytes: int):
                 if chunk.size >= chunk_bytes:
                     yield from chunk.batches()
                     chunk, n = None, n + 1
+                    pa.default_memory_pool().release_unused()
                 start = stop
         if chunk:
             yield from chunk.batches()
+        # Workers live on: later stages need the memory.
+        encoders.forget()
+        pa.default_memory_pool().release_unused()
     return run
 
 
