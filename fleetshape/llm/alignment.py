@@ -38,11 +38,11 @@ from fleetshape.llm.frames import map_text, raw_text, stored
 from fleetshape.llm.token_counts import load
 
 #: Text bytes of one pass of the pipeline, and of a chunk whose counts are kept apart, about; a longer text is its own.
-SLICE, CHUNK = 1 << 19, 4 << 20
-#: Bytes of the distinct parts that a worker remembers before it starts anew.
-REMEMBERED = 2 << 20
+SLICE, CHUNK = 1 << 20, 4 << 20
+#: Letters of a part that a worker remembers, and how many parts it remembers before it starts anew.
+SHORT, REMEMBERED = 10, 250_000
 #: A blank at which a text is not cut: at its beginning or end, or beside anything but letters, digits and printable ASCII.
-_UNCUT = re.compile(r" (?:(?<![\w!-~] )|(?![\w!-~]))")
+_UNCUT = r"(?:^|[^\p{L}\p{N}!-~]) | (?:$|[^\p{L}\p{N}!-~])"
 #: A part that may stand between blanks, as those that texts are cut into do.
 _PLAIN = re.compile(r"[\w!-~](?:[^ ]*[\w!-~])?")
 
@@ -100,7 +100,15 @@ class Encoders:
     def forget(self) -> None:
         self.place: dict[str, int] = {}
         self.lists = [pa.array([], pa.list_(pa.int32()))] * 2
-        self.size = 0
+
+    def _remember(self, new: list[str], lists: list[pa.ListArray]) -> None:
+        """Keeps the short ones: they come again."""
+        short = [i for i, p in enumerate(new) if len(p) <= SHORT]
+        if len(self.place) + len(short) > REMEMBERED:
+            self.forget()
+            short = short[:REMEMBERED]
+        self.place.update((new[i], len(self.place)) for i in short)
+        self.lists = [pa.concat_arrays([known, x.take(pa.array(short, pa.int64()))]) for known, x in zip(self.lists, lists)]
 
     def _added(self, plain: list[str], other: list[str]) -> list[pa.ListArray]:
         """Token lists of new parts. A, which is slow for single words, takes plain ones as one text that is cut again where tokens end."""
@@ -115,27 +123,33 @@ class Encoders:
             first = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], at + 1)).astype(np.int32)), pa.array(ids))
         return [pa.concat_arrays([first, pa.array(self.sides[0].encode(other), kind)]), pa.array(self.sides[1].encode([*plain, *other]), kind)]
 
-    def parts(self, text: str) -> list[str]:
-        return [] if not text else text.split(" ") if self.cuts and not _UNCUT.search(text) else [text]
-
-    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Per side the ids of all texts end to end, and the document of each."""
-        split = pa.array([self.parts(t) for t in texts], pa.list_(pa.large_string()))
+    def parts(self, texts: pa.Array) -> pa.Array:
+        """Each text cut into its parts; an empty one is null."""
+        whole = pa.LargeListArray.from_arrays(pa.array(np.arange(len(texts) + 1)), texts)
+        if self.cuts:
+            cut = pc.split_pattern(texts, " ").cast(whole.type)
+            whole = pc.if_else(pc.match_substring_regex(texts, _UNCUT), whole, cut)
+        return pc.if_else(pc.equal(pc.binary_length(texts), 0), None, whole)
+
+    def encode(self, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Per side the ids of all texts (large_string) end to end, and the document of each."""
+        split = self.parts(texts)
         doc = pc.list_parent_indices(split)
         coded = pc.list_flatten(split).dictionary_encode()
         parts = coded.dictionary.to_pylist()
-        if self.size > REMEMBERED:
-            self.forget()
-        new = [p for p in parts if p not in self.place]
-        if new:
-            self.size += sum(map(len, new))
-            plain = [p for p in new if _PLAIN.fullmatch(p)] if self.cuts else []
-            other = [p for p in new if not _PLAIN.fullmatch(p)] if plain else new
-            self.place.update(zip((*plain, *other), range(len(self.place), len(self.place) + len(new))))
-            self.lists = [pa.concat_arrays(x) for x in zip(self.lists, self._added(plain, other))]
-        rows = pa.array(np.fromiter(map(self.place.__getitem__, parts), np.int64, len(parts))).take(coded.indices)
+        place = np.fromiter((self.place.get(p, -1) for p in parts), np.int64, len(parts))
+        at = np.flatnonzero(place < 0)
+        new = [parts[i] for i in at.tolist()]
+        plain = np.array([self.cuts and _PLAIN.fullmatch(p) is not None for p in new], bool)
+        order = np.concatenate((np.flatnonzero(plain), np.flatnonzero(~plain)))
+        new = [new[i] for i in order.tolist()]
+        added = self._added(new[:int(plain.sum())], new[int(plain.sum()):])
+        place[at[order]] = len(self.place) + np.arange(len(new))
+        rows = pa.array(place).take(coded.indices)
+        lists_of = [pa.concat_arrays(x) for x in zip(self.lists, added)]
+        self._remember(new, added)
         out = []
-        for known in self.lists:
+        for known in lists_of:
             lists = known.take(rows)
             out.append((pc.list_flatten(lists).to_numpy(zero_copy_only=False),
                         doc.take(pc.list_parent_indices(lists)).to_numpy(zero_copy_only=False).astype(np.int64)))
@@ -157,34 +171,36 @@ def _spelled(ids: np.ndarray, entries: pa.Array) -> tuple[bytes, np.ndarray]:
 class Aligned:
     """Alignment of some texts: per document counts and digests, per link its document and two ids."""
 
-    def __init__(self, texts: list[str], encoders: Encoders):
+    def __init__(self, texts: pa.Array, encoders: Encoders):
         n = len(texts)
-        want = [b" " + t.encode() if t else b"" for t in texts]
-        whole = np.array([len(w) > 0 for w in want], bool)
+        flat, bounds = raw_text(texts)
+        flat, bounds = flat.tobytes(), bounds.tolist()
+        whole = np.diff(bounds) > 0
         sides = []
         for entries, (ids, doc) in zip(encoders.entries, encoders.encode(texts)):
             data, length = _spelled(ids, entries)
             size = np.bincount(doc, length, n).astype(np.int64)
-            at = np.concatenate(([0], np.cumsum(size)))
-            whole &= [len(w) == s and data[p:p + s] == w for w, s, p in zip(want, size.tolist(), at.tolist())]
-            sides.append((ids, doc, length, at))
-        # Documents whose tokens spell something else have none.
+            at = np.concatenate(([0], np.cumsum(size))).tolist()
+            # The tokens must spell a blank and the text.
+            whole &= [q - p == j - i + 1 and data[p] == 0x20 and data[p + 1:q] == flat[i:j] for i, j, p, q in zip(bounds, bounds[1:], at, at[1:])]
+            sides.append((ids, doc, length))
+        # Documents whose tokens spell something else have none. The others have the same bytes on both sides, so that
+        # a sum over all their tokens gives the end of each within one text: no document's ends meet another's.
         kept = []
-        for ids, doc, length, at in sides:
-            stay = whole[doc] if len(doc) else np.zeros(0, bool)
-            # A cumulative sum over all tokens less the document's first offset: a sum within the document.
-            end = np.cumsum(length) - at[doc] if len(doc) else np.zeros(0, np.int64)
-            kept.append((ids[stay], doc[stay].astype(np.int32), end[stay].astype(np.int64)))
+        for ids, doc, length in sides:
+            stay = whole[doc]
+            kept.append((ids[stay], doc[stay], np.cumsum(length[stay], dtype=np.int64)))
         (self.a, doc_a, end_a), (self.b, doc_b, end_b) = kept
         self.n_a, self.n_b = np.bincount(doc_a, minlength=n), np.bincount(doc_b, minlength=n)
 
-        left = pa.table({"doc": doc_a, "end": end_a, "a": np.arange(len(doc_a))})
-        right = pa.table({"doc": doc_b, "end": end_b, "b": np.arange(len(doc_b))})
-        ends = left.join(right, ["doc", "end"], join_type="full outer", use_threads=False).sort_by([("doc", "ascending"), ("end", "ascending")])
+        left = pa.table({"end": end_a, "a": np.arange(len(doc_a))})
+        right = pa.table({"end": end_b, "b": np.arange(len(doc_b))})
+        ends = left.join(right, "end", join_type="full outer", use_threads=False)
+        ends = ends.take(pa.array(np.argsort(ends["end"].to_numpy(), kind="stable")))
         shared = pc.and_(pc.is_valid(ends["a"]), pc.is_valid(ends["b"])).to_numpy()
         # The token that covers the bytes before an end is the next one to end there or later; a document's last end is shared.
         filled = [pc.fill_null_backward(ends[x].combine_chunks()).to_numpy(zero_copy_only=False).astype(np.int64) for x in "ab"]
-        self.doc = ends["doc"].to_numpy()
+        self.doc = doc_a[filled[0]]
         self.link_a, self.link_b = self.a[filled[0]], self.b[filled[1]]
         self.n_links = np.bincount(self.doc, minlength=n)
         self.n_groups = np.bincount(self.doc[shared], minlength=n)
@@ -254,15 +270,14 @@ def _aligning(path_a: str, path_b: str, slice_bytes: int, chunk_bytes: int):
         encoders = _both(path_a, path_b)
         task, n, chunk = TaskContext.get().partitionId(), 0, None
         for batch in batches:
-            data, ends = raw_text(batch.column(1))
+            ends = raw_text(batch.column(1))[1]
             start = 0
             while start < batch.num_rows:
                 stop = int(np.searchsorted(ends, ends[start] + slice_bytes, "right")) - 1
                 stop = min(max(stop, start + 1), batch.num_rows)
                 chunk = chunk or _Chunk(f"{task}-{n}", batch.column(0).type)
-                flat = data[ends[start]:ends[stop]].tobytes()
-                at = (ends[start:stop + 1] - ends[start]).tolist()
-                chunk.add(batch.column(0).slice(start, stop - start), at[-1], Aligned([flat[i:j].decode() for i, j in zip(at, at[1:])], encoders))
+                texts = batch.column(1).slice(start, stop - start).cast(pa.large_string()).fill_null("")
+                chunk.add(batch.column(0).slice(start, stop - start), int(ends[stop] - ends[start]), Aligned(texts, encoders))
                 if chunk.size >= chunk_bytes:
                     yield from chunk.batches()
                     chunk, n = None, n + 1
