@@ -1,6 +1,6 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-from fleetshape.llm.licences import TEMPLATES, THRESHOLD, _bigrams_of
+from fleetshape.llm.licences import THRESHOLD, prepared
 from fleetshape.llm.quality import UNSPACED
 
 ORACLES: dict[str, str] = {}
@@ -89,25 +89,48 @@ select conv_id, count(*) as n_turns,
 from e group by conv_id
 """
 
-_TEMPLATES = ", ".join(f"('{name}', {_bigrams_of(text)})" for name, text in TEMPLATES)
+_KNOWN = prepared()
+_FACTS = ", ".join(f"({t.no}, '{t.license}', {len(t.grams)}, {t.length}, {sorted(t.needed)}, {sorted(t.barred) or '[]::varchar[]'})" for t in _KNOWN)
+_GRAMS = ", ".join(f"({t.no}, '{g}', {m})" for t in _KNOWN for g, m in sorted(t.grams.items()))
 
+# Every window of a template's length, tried one by one where a text has enough of the template at all.
 ORACLES["op9_license_scan"] = rf"""
-with t(license, tg) as (values {_TEMPLATES}),
-d as (select doc_id, string_split(regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g'), chr(10)) as ls from documents),
-s as (
-  select doc_id, i as segment, ls[i] as s from d, unnest(range(1, len(ls) + 1)) as u(i)
-  union all select doc_id, 0, array_to_string(ls, chr(10)) from d where len(ls) > 1),
-w as (select doc_id, segment, list_filter(string_split_regex(s, '[^\p{{L}}\p{{N}}]+'), lambda x: x != '') as w from s),
-g as (
-  select doc_id, segment, list_distinct(case when len(w) > 1
-    then list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) else w end) as g from w where len(w) > 0),
-m as (select doc_id, segment, license, 2.0::double * len(list_intersect(g, tg)) / (len(g) + len(tg)) as dice from g, t),
-h as (select * from m where dice >= {THRESHOLD}),
+with f(no, license, n_set, length, needed, barred) as (values {_FACTS}),
+tg(no, g, m) as (values {_GRAMS}),
+d as (
+  select row_number() over () as k, doc_id, string_split(regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g'), chr(10)) as ls from documents),
+ln as (select k, i as line, list_filter(string_split_regex(ls[i], ' '), lambda x: x != '') as w from d, unnest(range(1, len(ls) + 1)) as u(i)),
+wd as (select k, line, j, w[j] as w from ln, unnest(range(1, len(w) + 1)) as u(j)),
+p as (
+  select k, line, row_number() over (partition by k order by line, j) as pos, w, lead(w) over (partition by k order by line, j) as nw,
+    lead(line) over (partition by k order by line, j) as nl from wd),
+t as (select k, list(w order by pos) as ws, list(w || ' ' || nw order by pos) filter (nw is not null) as gs from p group by k),
+seg as (
+  select k, 0 as segment, 1 as first_word, len(ws) as last_word, ws, gs from t
+  union all select k, line, min(pos), max(pos), list(w order by pos), list(w || ' ' || nw order by pos) filter (nw is not null and nl = line) from p group by k, line),
+hit as (select k, no, pos, g, m from p join tg on g = w || ' ' || nw),
+held as (select k, no, g, least(count(*), m) as n from hit group by k, no, g, m),
+able as (select k, no from held join f using (no) group by k, no, n_set, length having sum(n) >= {THRESHOLD} * length or 2.0 * count(*) / (count(*) + n_set) >= {THRESHOLD}),
+sm as (
+  select s.k, f.no, license, first_word, last_word,
+    2.0::double * len(list_intersect(list_distinct(gs), (select list(g) from tg where tg.no = f.no))) / (len(list_distinct(gs)) + n_set) as dice
+  from seg s join able using (k) join f on f.no = able.no where gs is not null and list_has_all(ws, needed) and not list_has_any(ws, barred)),
+st as (select k, no, s from able join t using (k), unnest(range(1, len(ws) + 1)) as u(s)),
+wm as (
+  select st.k, st.no, st.s, (select sum(least(n, m)) from (select g, m, count(*) as n from hit h where h.k = st.k and h.no = st.no and h.pos between st.s and st.s + length - 1 group by g, m) x)::double / length as dice,
+    license, length, ws[st.s:st.s + length] as ws, needed, barred
+  from st join f using (no) join t using (k)),
+wv as (select *, s - row_number() over (partition by k, no order by s) as island from wm where dice >= {THRESHOLD} and list_has_all(ws, needed) and not list_has_any(ws, barred)),
+wf as (select k, no, license, s as first_word, s + length as last_word, dice from wv qualify row_number() over (partition by k, no, island order by dice desc, s) = 1),
+m as (
+  select * from sm where dice >= {THRESHOLD} union all select k, no, license, first_word, last_word, dice from wf where dice >= {THRESHOLD}),
+o as (
+  select * from m where not exists (select 1 from m b where b.k = m.k and b.license != m.license and b.first_word <= m.first_word and b.last_word >= m.last_word
+    and b.last_word - b.first_word > m.last_word - m.first_word)),
 b as (
-  select doc_id, count(*) as n_matches, string_agg(distinct license, ',' order by license) as licenses,
-    arg_min(license, (-dice, license)) as license, max(dice) as dice from h group by doc_id)
-select doc_id, coalesce(n_matches, 0) as n_matches, coalesce(licenses, '') as licenses, license, dice
-from documents left join b using (doc_id)
+  select k, count(distinct no) as n_templates, string_agg(distinct license, ',' order by license) as licenses, arg_min(license, (-dice, license)) as license, max(dice) as dice
+  from o group by k)
+select doc_id, coalesce(n_templates, 0) as n_templates, coalesce(licenses, '') as licenses, license, dice from d left join b using (k)
 """
 
 ORACLES["op12_hard_negatives"] = r"""

@@ -81,8 +81,9 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licences.scan(table(spark, sf_dir, "documents"))
-    names = F.array_join(F.array_sort(F.array_union(F.col("matches.license"), F.col("passages.license"))), ",")
-    return found.select("doc_id", (F.size("matches") + F.size("passages")).cast("long").alias("n_matches"), names.alias("licenses"), "license", "dice")
+    names = F.array_join(F.array_sort(F.array_distinct("matches.license")), ",")
+    n_templates = F.size(F.array_distinct("matches.no")).cast("long")
+    return found.select("doc_id", n_templates.alias("n_templates"), names.alias("licenses"), "license", "dice")
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
