@@ -92,12 +92,28 @@ def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 _SPACED = bytes(b if b > 0x7F or chr(b).isalpha() else 0x20 for b in range(256))
 
 
+#: Bytes of a chunk whose words a worker remembers, and how many chunks it remembers before it starts anew.
+SHORT, REMEMBERED = 12, 200_000
+_KNOWN: dict[bytes, list[str]] = {}
+
+
+def _chunk_words(chunk: bytes) -> list[str]:
+    words = _KNOWN.get(chunk)
+    if words is None:
+        words = [w for w in _WORD.findall(chunk.decode()) if w.isalpha() or _LETTER.search(w)]
+        if len(chunk) <= SHORT:
+            if len(_KNOWN) >= REMEMBERED:
+                _KNOWN.clear()
+            _KNOWN[chunk] = words
+    return words
+
+
 def _words_of(texts: list[bytes]) -> tuple[np.ndarray, list[str], np.ndarray]:
     """Where each text's words begin, the distinct words, and the number of each word in them."""
     chunks = [t.translate(_SPACED).split() for t in texts]
     coded = pa.array([c for row in chunks for c in row], pa.binary()).dictionary_encode()
     chunk = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    parts = [[w for w in _WORD.findall(c.decode()) if w.isalpha() or _LETTER.search(w)] for c in coded.dictionary.to_pylist()]
+    parts = [_chunk_words(c) for c in coded.dictionary.to_pylist()]
     held = np.array([len(p) for p in parts], np.int64)
     first = np.cumsum(held) - held
     n = held[chunk]
@@ -171,19 +187,33 @@ def _scores(model: Model, words: list[str]) -> np.ndarray:
     return out - FOREIGN * ~model.scripts[[_script(w[0]) for w in words]]
 
 
-def _detour(scores: np.ndarray, main: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Per document: the most that any run of words would gain in one language other than `main`."""
-    row = np.repeat(np.arange(len(main)), np.diff(starts))
-    gain = scores - scores[np.arange(len(scores)), main[row]][:, None]
-    total = np.concatenate((np.zeros((1, scores.shape[1])), np.cumsum(gain, 0)))
+def _run_gains(gain: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Per word: the most that a run ending there, within its document, gains in one language."""
+    total = np.concatenate((np.zeros((1, gain.shape[1])), np.cumsum(gain, 0)))
     wall = row * -(2.0 * np.abs(total).max() + 1.0)  # a new document starts below all before it
     low = np.minimum.accumulate(total[:-1] + wall[:, None], 0) - wall[:, None]
-    run = (total[1:] - low).max(1)
-    most = np.zeros(len(main))
-    full = np.flatnonzero(np.diff(starts))
-    if len(full):
-        most[full] = np.maximum.reduceat(run, starts[full])
-    return most
+    return (total[1:] - low).max(1)
+
+
+def _detours(scores: np.ndarray, main: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents in which some run of words gains more than half a change in a language other than `main`, and the first
+    and the last word of all such runs.
+
+    Runs that gain no more than half a change pay for no change of their own, so a best path has none that begins and
+    ends beyond these words; at most one language takes all words ahead of them, and one all behind, where that saves
+    no change but costs none.
+    """
+    row = np.repeat(np.arange(len(main)), np.diff(starts))
+    gain = scores - scores[np.arange(len(scores)), main[row]][:, None]
+    ends = np.flatnonzero(_run_gains(gain, row) > SWITCH / 2)
+    rows, first_of = np.unique(row[ends], return_index=True)
+    last = ends[np.concatenate((first_of[1:], [len(ends)])) - 1] if len(ends) else ends
+    # Where such runs begin: the same from behind, in the documents that have any.
+    own = np.flatnonzero(np.isin(row, rows))[::-1]
+    _, behind = np.unique(row[own], return_inverse=True)
+    begins = own[_run_gains(gain[own], behind.max(initial=0) - behind) > SWITCH / 2][::-1]
+    _, at = np.unique(row[begins], return_index=True)
+    return rows, begins[at], last
 
 
 def _viterbi(scores: np.ndarray, starts: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -214,6 +244,28 @@ def _viterbi(scores: np.ndarray, starts: np.ndarray, rows: np.ndarray) -> np.nda
     return path
 
 
+def _paths(scores: np.ndarray, total: np.ndarray, main: np.ndarray, starts: np.ndarray) -> dict[int, np.ndarray]:
+    """The best path of each document that has a detour; all words ahead of its detours are one word to Viterbi, and so are all behind."""
+    rows, first, last = _detours(scores, main, starts)
+    if not len(rows):
+        return {}
+    pieces, lengths, paths = [], [], {}
+    for i, a, b in zip(rows.tolist(), first.tolist(), (last + 1).tolist()):
+        begin, end = int(starts[i]), int(starts[i + 1])
+        own = [(total[a] - total[begin])[None]] * (a > begin) + [scores[a:b]] + [(total[end] - total[b])[None]] * (end > b)
+        pieces += own
+        lengths.append(sum(map(len, own)))
+    short = np.concatenate(([0], np.cumsum(lengths)))
+    path = _viterbi(np.concatenate(pieces), short, np.arange(len(rows)))
+    for k, (i, a, b) in enumerate(zip(rows.tolist(), first.tolist(), (last + 1).tolist())):
+        own, ahead, behind = path[short[k]:short[k + 1]], a - int(starts[i]), int(starts[i + 1]) - b
+        times = np.ones(len(own), np.int64)
+        times[0] = ahead or 1
+        times[-1] = behind or times[-1]
+        paths[i] = np.repeat(own, times)
+    return paths
+
+
 def _spans(text: str, model: Model, path: np.ndarray) -> list[dict]:
     """Consecutive words of one language, from the first word's first character to the next span's."""
     cuts = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist()]
@@ -236,18 +288,15 @@ def label(model: Model, texts: list[bytes]) -> tuple[list[str], list[float], lis
     letters = np.array([len(w) for w in words])[index]
     total = np.concatenate((np.zeros((1, k)), np.cumsum(scores, 0)))
     main = (total[starts[1:]] - total[starts[:-1]]).argmax(1)
-    # A path that uses other languages changes at least once per run, and k runs without the main language between them
-    # k - 1 times: where no run gains more than half a change, no path beats staying.
-    mixed = _detour(scores, main, starts) > SWITCH / 2
-    path = _viterbi(scores, starts, np.flatnonzero(mixed)) if mixed.any() else None
+    paths = _paths(scores, total, main, starts)
     for i, (a, b) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist())):
         if a == b:
             continue
         text = texts[i].decode()
-        if mixed[i]:
-            by_lang = np.bincount(path[a:b], letters[a:b], k)
+        if i in paths:
+            by_lang = np.bincount(paths[i], letters[a:b], k)
             langs[i], shares[i] = model.languages[by_lang.argmax()], float(by_lang.max() / by_lang.sum())
-            spans[i] = _spans(text, model, path[a:b])
+            spans[i] = _spans(text, model, paths[i])
         else:
             langs[i], shares[i] = model.languages[main[i]], 1.0
             spans[i] = [{"lang": langs[i], "start": 0, "end": len(text)}]
