@@ -79,7 +79,8 @@ def _placed(df: DataFrame, text: str, shards: int, **columns: Column) -> DataFra
     first = [groups[i]["__group"] if i < len(groups) else None for i in cuts([g["size"] for g in groups], shards)]
     shard = sum((F.when(F.col("__group") >= g, 1).otherwise(0) for g in first if g is not None), F.lit(0)).cast("int")
     buckets = max(MIN_BUCKETS, -(-sum(g["n"] for g in groups) // (shards * BUCKET_ROWS)))
-    bucket = F.pmod(F.xxhash64("__id"), F.lit(buckets))
+    # By id and text, so that rows that share a null or a repeated id spread over buckets.
+    bucket = F.pmod(F.xxhash64("__id", "__hash"), F.lit(buckets))
     counts = slim.groupBy(shard.alias("s"), bucket.alias("b")).agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(W.partitionBy("s").orderBy("b")) - F.col("n")
     starts = counts.select("s", "b", before.alias("__before"))
