@@ -160,10 +160,12 @@ def _find(shared, sizes: list[int]):
                 at, tokens = words.tokens(size)
                 hit = _marked(bitmap, tokens)
                 rows = np.searchsorted(words.first, at[hit], "right") - 1
+                # A token of fewer words than SHINGLE is a whole window; a longer window reaches this far on either side.
+                span = WINDOW if size == SHINGLE else size
                 for row, i, token in zip(rows.tolist(), at[hit].tolist(), tokens[hit].view(np.int64).tolist()):
                     first, last = int(words.first[row]), int(words.first[row + 1])
-                    a = max(i - WINDOW + 1, first)
-                    found[row].append({"token": token, "at": i - first, "start": a - first, "around": words.text(a, min(i + WINDOW, last))})
+                    a = max(i - (span - size), first)
+                    found[row].append({"token": token, "at": i - first, "start": a - first, "around": words.text(a, min(i + span, last))})
             yield widened(part, {"n_words": pa.array(np.diff(words.first), pa.int64()), "found": pa.array(found, kind)})
     return find
 
