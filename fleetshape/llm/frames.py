@@ -71,14 +71,14 @@ def counts_in(mask: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return total[ends[1:]] - total[ends[:-1]]
 
 
-def widened(part: pa.RecordBatch, new: dict[str, pa.Array]) -> pa.RecordBatch:
-    """The batch with its text replaced by `new` columns."""
-    kept = [part.column(i) for i in range(part.num_columns - 1)]
-    return pa.RecordBatch.from_arrays([*kept, *new.values()], names=[*part.schema.names[:-1], *new])
+def widened(part: pa.RecordBatch, new: dict[str, pa.Array], keep_text: bool = False) -> pa.RecordBatch:
+    """The batch with its text replaced by `new` columns, or followed by them."""
+    n = part.num_columns - (not keep_text)
+    return pa.RecordBatch.from_arrays([*part.columns[:n], *new.values()], names=[*part.schema.names[:n], *new])
 
 
 def map_text(df: DataFrame, fn, keys: dict[str, Column], text: str, new: str) -> DataFrame:
-    """`fn` over Arrow batches of the `keys` columns and the text; it returns `keys` and the columns `new` (DDL)."""
+    """`fn` over Arrow batches of the `keys` columns and the text; it returns `keys` and the columns `new` (DDL), which may begin with the text."""
     small_batches(df.sparkSession)
     slim = df.select(*[c.alias(k) for k, c in keys.items()], df[text].alias("__text"))
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema[:-1]]

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pandas as pd
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetshape.llm.frames import counts_in, map_text, rows_of, text_slices, whole_row, widened
+from fleetshape.llm.frames import counts_in, map_text, rows_of, text_slices, widened
 
 #: Words of a window that counts as repeated text.
 WINDOW = 8
@@ -105,7 +105,7 @@ def _repeated(words: list[list[bytes]], starts: np.ndarray) -> np.ndarray:
     return counts_in(np.cumsum(steps)[:n] > 0, starts)
 
 
-def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _measure(batches: Iterator[pa.RecordBatch], keep_text: bool = False) -> Iterator[pa.RecordBatch]:
     for part, data, ends in text_slices(batches):
         texts = rows_of(data, ends)
         words = [t.split() for t in texts]  # ASCII white space only, as the rules want it
@@ -124,7 +124,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             "n_letters": counts_in(kinds & _LETTER != 0, ends),
             "n_unspaced": counts_in(kinds & _UNSPACED != 0, ends),
         }
-        yield widened(part, {m: pa.array(found[m], pa.int64()) for m in MEASURES})
+        yield widened(part, {m: pa.array(found[m], pa.int64()) for m in MEASURES}, keep_text)
 
 
 def _failed() -> Column:
@@ -135,10 +135,12 @@ def _failed() -> Column:
     return total.cast("long")
 
 
+_NEW = ", ".join(f"{m} long" for m in MEASURES)
+
+
 def measure(df: DataFrame, text: str = "text", keys: dict[str, Column] | None = None) -> DataFrame:
     """The ledger: `keys` (doc_id), MEASURES and `failed` (bit i set: rule i failed), one row per input row."""
-    new = ", ".join(f"{m} long" for m in MEASURES)
-    return map_text(df, _measure, keys or {"doc_id": df["doc_id"]}, text, new).withColumn("failed", _failed())
+    return map_text(df, _measure, keys or {"doc_id": df["doc_id"]}, text, _NEW).withColumn("failed", _failed())
 
 
 def passes(policy: str = CURRENT_POLICY) -> Column:
@@ -170,5 +172,10 @@ def ablations(ledger: DataFrame, policies: dict[str, tuple[str, ...]] | None = N
 
 
 def keep_good(df: DataFrame, text: str = "text", policy: str = CURRENT_POLICY) -> DataFrame:
-    """The rows of `df` that the policy keeps, with all their columns."""
-    return measure(df, text, {"__row": whole_row(df)}).where(passes(policy)).select("__row.*")
+    """The rows of `df` that the policy keeps, with all their columns. A text goes to the measuring and back once."""
+    rest = [c for c in df.columns if c != text]
+    # A struct of no columns is no struct.
+    keys = {"__rest": F.struct(*[df[f"`{c}`"] for c in rest])} if rest else {}
+    rows = map_text(df, partial(_measure, keep_text=True), keys, text, f"__text string, {_NEW}")
+    kept = rows.withColumn("failed", _failed()).where(passes(policy))
+    return kept.select(*[F.col("__text").alias(c) if c == text else F.col(f"__rest.`{c}`").alias(c) for c in df.columns])
