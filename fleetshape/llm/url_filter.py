@@ -2,7 +2,8 @@
 
 Features of a URL: length, host length, path depth, digit ratio, character entropy, parameter
 count, hyphens, dots, and the share of blocked URLs among labelled ones with the same suffix
-(smoothed). Trees are trained on a bounded hash sample of the labelled URLs.
+(smoothed). Trees are trained on a bounded hash sample of the labelled URLs; there a URL's share comes from the other
+folds of the sample, so that its own label is not among what it is judged by.
 
 Rules are a fixed table; each is tested against every URL with plain string functions.
 
@@ -34,6 +35,8 @@ RULES: tuple[tuple[str, str, str], ...] = (
 #: Labelled URLs that trees are trained on, at most about: the bound of the sample.
 SAMPLE = 4_000
 TREES, DEPTH, SEED = 12, 4, 7
+#: Parts of the sample, each of which has its suffix shares from the others, and rows that the overall share counts for.
+FOLDS, PRIOR = 5, 20
 FEATURES = ["n_chars", "n_host", "depth", "digits", "entropy", "n_params", "hyphens", "dots", "suffix_rate"]
 
 
@@ -100,6 +103,20 @@ class Judge:
         return scored.withColumn("p_block", vector_to_array("__probability")[1])
 
 
+def _rates(counts: DataFrame, base: float) -> DataFrame:
+    """Counts (bad, n) as a smoothed `suffix_rate`."""
+    return counts.withColumn("suffix_rate", (F.col("bad") + PRIOR * base) / (F.col("n") + PRIOR)).drop("bad", "n")
+
+
+def out_of_fold(rows: DataFrame, base: float) -> DataFrame:
+    """`rows` (url, suffix, label) with the suffix rate that the rows of the other folds give. Of the sample's size, like all here."""
+    folded = rows.withColumn("__fold", F.pmod(F.xxhash64("url"), F.lit(FOLDS)))
+    own = folded.groupBy("suffix", "__fold").agg(F.sum("label").alias("own_bad"), F.count(F.lit(1)).alias("own_n"))
+    whole = own.groupBy("suffix").agg(F.sum("own_bad").alias("all_bad"), F.sum("own_n").alias("all_n"))
+    rest = own.join(whole, "suffix").select("suffix", "__fold", (F.col("all_bad") - F.col("own_bad")).alias("bad"), (F.col("all_n") - F.col("own_n")).alias("n"))
+    return folded.join(_rates(rest, base), ["suffix", "__fold"]).drop("__fold")
+
+
 def train(labelled: DataFrame, sample: int = SAMPLE) -> Judge:
     """Judge of `labelled` (url, blocked: boolean): each distinct URL once, blocked if most of its labels say so.
 
@@ -113,11 +130,11 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Judge:
     drawn = known.where(F.pmod(F.xxhash64("url"), F.lit(1_000_003)) < F.lit(min(1.0, sample / n) * 1_000_003))
     rows = stored(lexical(drawn), "features")
     base = positive / n
-    suffixes = stored(rows.groupBy("suffix").agg(((F.sum("label") + 20 * base) / (F.count(F.lit(1)) + 20)).alias("suffix_rate")), "suffixes")
+    suffixes = stored(_rates(rows.groupBy("suffix").agg(F.sum("label").alias("bad"), F.count(F.lit(1)).alias("n")), base), "suffixes")
     judge = Judge(suffixes, base)
     if rows.select("label").distinct().count() < 2:
         return judge
-    vectors = VectorAssembler(inputCols=FEATURES, outputCol="__features").transform(judge.with_suffix(rows))
+    vectors = VectorAssembler(inputCols=FEATURES, outputCol="__features").transform(out_of_fold(rows, base))
     # One partition count for a sample of bounded size: training is many short passes over it.
     vectors = vectors.select("__features", "label").repartition(4, F.xxhash64("__features"))
     trees = GBTClassifier(featuresCol="__features", labelCol="label", maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=SEED).fit(vectors)

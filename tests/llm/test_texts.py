@@ -53,24 +53,61 @@ def test_spans_of_mixed_text(model):
     assert langs[1] == "ru"
 
 
-def test_viterbi_matches_all_paths(model):
-    """Batched paths, and the shortcut for unmixed texts, against plain dynamic programming."""
+def test_viterbi_matches_all_paths():
+    """Batched paths over the words of all detours, and documents without any, against plain dynamic programming."""
     import numpy as np
     rng = np.random.default_rng(0)
-    lengths = [1, 7, 40, 3, 40, 12]
+    lengths = np.concatenate(([1, 7, 40, 3, 40, 12, 0], rng.integers(1, 60, 400)))
     starts = np.concatenate(([0], np.cumsum(lengths)))
-    scores = rng.normal(0, 9, (starts[-1], 3)).cumsum(0) * 0.3
-    path = language._viterbi(scores, starts, np.arange(len(lengths)))
+    # Scores that wander: long and short runs of every language, at the ends and inside.
+    scores = rng.normal(0, 9, (starts[-1], 3)).cumsum(0)
+    scores = (scores - np.repeat(np.array([scores[a:b].mean(0) if b > a else np.zeros(3) for a, b in zip(starts, starts[1:])]), lengths, 0)) * rng.choice([0.05, 0.15, 0.4], starts[-1])[:, None]
+    total = np.concatenate((np.zeros((1, 3)), scores.cumsum(0)))
     main = np.array([scores[a:b].sum(0).argmax() for a, b in zip(starts, starts[1:])])
-    detour = language._detour(scores, main, starts)
+    paths, shorter = language._paths(scores, total, main, starts), 0
     for i, (a, b) in enumerate(zip(starts, starts[1:])):
+        if a == b:
+            continue
         best = scores[a].copy()
         for t in range(a + 1, b):
             best = np.maximum(best, best.max() - language.SWITCH) + scores[t]
-        value = scores[np.arange(a, b), path[a:b]].sum() - language.SWITCH * (np.diff(path[a:b]) != 0).sum()
+        path = paths.get(i, np.full(b - a, main[i]))
+        assert len(path) == b - a
+        value = scores[np.arange(a, b), path].sum() - language.SWITCH * (np.diff(path) != 0).sum()
         assert value == pytest.approx(best.max())
-        if detour[i] <= language.SWITCH:
-            assert scores[a:b, main[i]].sum() == pytest.approx(best.max())
+        shorter += i in paths and (path[0] != main[i]) + (path[-1] != main[i])
+    assert 50 < len(paths) < 350 and shorter > 20
+
+
+def test_counts_and_scores_against_loops(spark):
+    """N-grams of words counted one by one, and likelihoods added one by one."""
+    import math
+
+    import numpy as np
+    data = [(1, "Kalo kalo, miru!", "x"), (2, "schung ber", "y"), (3, "мир", "x"), (4, "42 -", "y"), (5, None, "y"), (6, "lost", None)]
+    model = language.train(spark.createDataFrame(data, "doc_id long, text string, lang string"), sample=10)
+    assert model.languages == ["x", "y"]
+
+    def grams(word):
+        marked = f"\x02{word.lower()}\x03"
+        for n in (1, 2, 3):
+            for i in range(len(marked) - n + 1):
+                h = 0
+                for k, c in enumerate(marked[i:i + n], 1):
+                    h = (h * 0x9E3779B97F4A7C15 + ord(c) + k) % (1 << 64)
+                yield ((h ^ (h >> 29)) * 0xBF58476D1CE4E5B9 % (1 << 64)) >> 50
+    words = {"x": ["Kalo", "kalo", "miru", "мир"], "y": ["schung", "ber"]}
+    counts = {lang: Counter(g for w in ws for g in grams(w)) for lang, ws in words.items()}
+    whole = {lang: sum(c.values()) + language.SMOOTHING * language.BUCKETS for lang, c in counts.items()}
+    script = lambda w: "cyrillic" if w[0] in "мир" else "latin"
+    used = {lang: {script(w) for w in ws} for lang, ws in words.items()}
+    asked = ["kalo", "bermi", "мирра", "Zürich"]
+    got = language._scores(model, asked)
+    for i, w in enumerate(asked):
+        for j, lang in enumerate(model.languages):
+            want = sum(math.log((counts[lang][g] + language.SMOOTHING) / whole[lang]) for g in grams(w)) - language.FOREIGN * (script(w) not in used[lang])
+            assert got[i, j] == pytest.approx(want)
+    assert np.isfinite(got).all()
 
 
 def test_paths_without_the_single_best_language(monkeypatch):
@@ -219,6 +256,53 @@ def test_trees_learn_lexical_features(spark):
     assert {r["verdict"] for r in rows(url_filter.judge_urls(test, empty))} == {"allow"}
 
 
+def test_features_against_plain_python(spark):
+    import math
+    urls = ["https://Shop-one.Example.net/a/b//c?x=1&y=2&&z#f?q=1", "http://a.b.c", "no scheme/x?y=1", "", None, "https://münchen.de/ü?k", "http://h" + "/long" * 3000 + "?p"]
+    got = {r["url"]: r for r in rows(url_filter.lexical(spark.createDataFrame([(u,) for u in urls], "url string")))}
+    for u in urls:
+        r, text = got[u], u or ""
+        rest = text.split("://", 1)[1] if "://" in text else ""
+        host = re.split(r"[/?#]", rest)[0]
+        path = re.split(r"[?#]", rest[len(host):])[0]
+        host = "".join(c.lower() if c.isascii() else c for c in host)
+        query = text.split("?", 1)[1].split("#")[0] if "?" in text.split("#")[0] else ""
+        plain = re.sub(r"[^!-~]", "~", text)
+        shares = [n / len(plain) for n in Counter(plain).values()]
+        assert (r["host"], r["path"], r["n_chars"], r["n_host"]) == (host, path, len(text), len(host))
+        assert (r["depth"], r["hyphens"], r["dots"]) == (len(re.findall("/[^/]", path)), host.count("-"), host.count("."))
+        assert r["digits"] == pytest.approx(sum(c in "0123456789" for c in text) / max(len(text), 1))
+        assert r["entropy"] == pytest.approx(-sum(p * math.log2(p) for p in shares), abs=1e-9)
+        if "?" in text.split("#")[0]:
+            assert r["n_params"] == len([x for x in query.split("&") if x])
+
+
+def test_suffix_rates_leave_the_own_fold_out(spark):
+    data = [(f"http://h{i}.s{i % 3}.org/{i}", f"s{i % 3}.org", float(i % 4 == 0)) for i in range(60)] + [("http://x.only.one/1", "only.one", 1.0)]
+    df = spark.createDataFrame(data, "url string, suffix string, label double")
+    got = {r["url"]: r["suffix_rate"] for r in rows(url_filter.out_of_fold(df, 0.25))}
+    fold = {r["url"]: r["f"] for r in rows(df.select("url", F.pmod(F.xxhash64("url"), F.lit(url_filter.FOLDS)).alias("f")))}
+    for u, suffix, _ in data:
+        rest = [y for v, s, y in data if s == suffix and fold[v] != fold[u]]
+        assert got[u] == pytest.approx((sum(rest) + url_filter.PRIOR * 0.25) / (len(rest) + url_filter.PRIOR))
+    assert got["http://x.only.one/1"] == 0.25
+
+
+def test_url_query_joins_labels_by_number(spark, tmp_path):
+    """Pages whose urls end in a labelled document's number teach; repeated, unlabelled, odd and very long ones are judged too."""
+    from fleetshape.llm import queries
+    urls = [(i, f"http://{'casino-win' if i % 2 else 'garden'}.example.com/x/{i}?{'a=1&b=2&c=3' if i % 2 else ''}") for i in range(300)]
+    odd = [(900, None), (901, ""), (902, "http://A.ORG/fr/1"), (903, "https://b.net/" + "x" * 50_000), (3, urls[3][1]), (None, urls[4][1])]
+    spark.createDataFrame(urls + odd, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(i, i % 2 == 0 and 1 or 0) for i in range(250)] + [(7, None)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = rows(queries.op8_url_filter(spark, str(tmp_path)))
+    assert len(got) == 306
+    held_out = [r for r in got if r["page_id"] is not None and 250 <= r["page_id"] < 300]
+    assert sum((r["verdict"] == "block") == (r["page_id"] % 2 == 1) for r in held_out) > 45
+    by_id = {r["page_id"]: r for r in got}
+    assert (by_id[902]["host"], by_id[902]["rule"], by_id[902]["verdict"]) == ("a.org", "org/fr/", "allow") and by_id[903]["rule"] == "net/"
+
+
 # licences
 
 def plain_scan(text):
