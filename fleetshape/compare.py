@@ -14,7 +14,7 @@ from fleetshape.operators import objects as O
 from fleetshape.operators.matching import union_all
 from fleetshape.plans.ordering import stored
 
-CONSTRAINT_RELATIONS = tuple(K.ITEM_BUILDERS)
+CONSTRAINT_RELATIONS = tuple(K.KINDS)
 
 
 @dataclass

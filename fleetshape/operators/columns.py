@@ -102,8 +102,11 @@ def step_numbers(kinds: list[Step]) -> Column:
     return F.expr("array_compact(array({}))".format(", ".join(f"case when {k.when} then {i} end" for i, k in enumerate(kinds))))
 
 
-def expand_steps(diffed: DataFrame, kinds: list[Step]) -> DataFrame:
-    """One row per step. Text is written behind the expansion: a filter on `action` leaves only its own to render."""
+def expand_steps(diffed: DataFrame, kinds: list[Step], stage: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """One row per step. Text is written behind the expansion: a filter on `action` leaves only its own to render.
+
+    `stage` adds what the texts of `kinds` refer to.
+    """
     step = F.col("step")
 
     def looked_up(values: list) -> Column:
@@ -114,7 +117,8 @@ def expand_steps(diffed: DataFrame, kinds: list[Step]) -> DataFrame:
         stmt = stmt.when(step == i, kind.text())
     # The outer form on purpose: for a plain explode Spark infers a filter on the array and pushes it
     # through every stage above, spelling all conditions out once more in one predicate.
-    return diffed.withColumn("step", F.explode_outer("steps")).where("step is not null").select(
+    rows = diffed.withColumn("step", F.explode_outer("steps")).where("step is not null")
+    return (stage(rows) if stage else rows).select(
         *STEP_COLUMNS, looked_up([k.phase for k in kinds]).alias("phase"), looked_up([k.sub for k in kinds]).alias("sub"),
         looked_up([k.action for k in kinds]).alias("action"), stmt.alias("stmt"))
 

@@ -1,20 +1,23 @@
 """Comparison of keys, checks, foreign keys and indexes through one generic relation.
 
 Each kind is projected to the same shape - match key, facets that must agree, columns it
-touches, and its ADD and DROP text - so one set comparison serves all four.
+touches, and its own fields - so one set comparison serves all four. Statements are written behind it,
+for items that have a step.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fleetshape.functions import messages, render
 from fleetshape.functions.render import Row, fields
 from fleetshape.functions.text import normalize_text
-from fleetshape.model import table_key
+from fleetshape.model import CHECK_FIELDS, FK_FIELDS, INDEX_FIELDS, KEY_FIELDS, table_key
 from fleetshape.operators.columns import PHASE_POST, PHASE_PRE, PHASE_WARNING, Step, expand_steps, step_numbers
 from fleetshape.operators.matching import match_sides, tag_sides, union_all
 
@@ -92,50 +95,36 @@ def _nothing(_: Row) -> Column:
     return F.array().cast("array<string>")
 
 
-def _items(relation: DataFrame, rank: int, match_key: Column, facets: Column, touches: Column,
-           add: tuple[Column, Column], drop: tuple[Column, Column], text: bool) -> DataFrame:
-    if not text:
-        add = drop = (F.lit(""), F.lit(""))
-    return relation.select(
+#: Relation: (rank, match key, facets, columns it touches, fields, how it is written).
+KINDS: dict[str, tuple] = {
+    "keys": (1, key_match_key, key_facets, _names("name"), KEY_FIELDS, render.key_add),
+    "checks": (2, check_match_key, check_facets, _nothing, CHECK_FIELDS, render.check_add),
+    "foreign_keys": (3, fk_match_key, fk_facets, _names("parent_column"), FK_FIELDS, render.fk_add),
+    "indexes": (4, index_match_key, index_facets, _names("name"), INDEX_FIELDS, render.index_create),
+}
+INDEX_RANK = KINDS["indexes"][0]
+
+
+def items(relation: str, rows: DataFrame, text: bool = True) -> DataFrame:
+    """One constraint relation in the generic shape. Without `text` an item's own fields stay behind, and no statement can be written."""
+    rank, match_key, facets, touches, names, _ = KINDS[relation]
+    parts = [F.col("name"), facets(_row).alias("facets"), touches(_row).alias("touches")]
+    if text:
+        # A column per kind, so that all kinds are one relation: the others' are null.
+        for kind, (*_, other, _) in KINDS.items():
+            own = F.struct(*names) if kind == relation else F.lit(None).cast(T.StructType([T.StructField(f, t) for f, t in other.items()]))
+            parts.append(own.alias(kind))
+    return rows.select(
         "pair_id", table_key(F.col("schema_name"), F.col("table_name")).alias("obj_key"),
-        F.lit(rank).alias("kind_rank"), match_key.alias("match_key"), "ordinal",
-        F.struct(
-            F.col("name"), facets.alias("facets"), touches.alias("touches"),
-            add[0].alias("add_head"), add[1].alias("add_tail"),
-            drop[0].alias("drop_head"), drop[1].alias("drop_tail"),
-        ).alias("row"),
-    )
-
-
-def key_items(keys: DataFrame, text: bool = True) -> DataFrame:
-    return _items(keys, 1, key_match_key(_row), key_facets(_row), _names("name")(_row),
-                  render.key_add(_row), render.constraint_drop(F.col("name")), text)
-
-
-def check_items(checks: DataFrame, text: bool = True) -> DataFrame:
-    return _items(checks, 2, check_match_key(_row), check_facets(_row), _nothing(_row),
-                  render.check_add(_row), render.constraint_drop(F.col("name")), text)
-
-
-def fk_items(foreign_keys: DataFrame, text: bool = True) -> DataFrame:
-    return _items(foreign_keys, 3, fk_match_key(_row), fk_facets(_row), _names("parent_column")(_row),
-                  render.fk_add(_row), render.constraint_drop(F.col("name")), text)
-
-
-def index_items(indexes: DataFrame, text: bool = True) -> DataFrame:
-    return _items(indexes, 4, index_match_key(_row), index_facets(_row), _names("name")(_row),
-                  render.index_create(_row), render.index_drop(F.col("name")), text)
-
-
-ITEM_BUILDERS = {"keys": key_items, "checks": check_items, "foreign_keys": fk_items, "indexes": index_items}
+        F.lit(rank).alias("kind_rank"), match_key(_row).alias("match_key"), "ordinal", F.struct(*parts).alias("row"))
 
 
 def constraint_items(side: dict[str, DataFrame], text: bool = True) -> DataFrame:
     """Every constraint and index of one side in the generic shape; absent relations are skipped.
 
-    Without `text` no statement is rendered, which is all that counting needs.
+    Counting needs no `text`.
     """
-    return union_all([build(side[name], text) for name, build in ITEM_BUILDERS.items() if name in side])
+    return union_all([items(name, side[name], text) for name in KINDS if name in side])
 
 
 def match_constraints(src: DataFrame, tgt: DataFrame, tables: DataFrame) -> DataFrame:
@@ -144,23 +133,39 @@ def match_constraints(src: DataFrame, tgt: DataFrame, tables: DataFrame) -> Data
     return match_sides(rows, ["pair_id", "obj_key", "kind_rank", "match_key"])
 
 
-def _text(side: str, part: str) -> Callable[[], Column]:
-    return lambda: F.concat(F.col(f"{side}.{part}_head"), F.col("table_ident"), F.col(f"{side}.{part}_tail"))
-
-
 def _kept() -> Column:
     label = F.element_at(F.array(*[F.lit(text) for text in KIND_LABELS.values()]), F.col("kind_rank"))
     return messages.item_kept(label, F.col("name"))
 
 
+def _dropped() -> Column:
+    return F.col("drop_text")
+
+
+def _added() -> Column:
+    return F.col("add_text")
+
+
 STEPS = [
     Step("outcome = 'target_only' and not include_drops", PHASE_WARNING, 4, "warn_item_kept", _kept),
-    Step("outcome = 'changed' or (outcome = 'target_only' and include_drops)", PHASE_PRE, 0, "drop_item", _text("t", "drop")),
-    Step("moved", PHASE_PRE, 0, "take_down", _text("t", "drop")),
-    Step("outcome in ('added', 'changed')", PHASE_POST, 0, "add_item", _text("s", "add")),
-    Step("moved and outcome = 'same'", PHASE_POST, 0, "restore", _text("s", "add")),
-    Step("moved and outcome = 'target_only'", PHASE_POST, 0, "restore", _text("t", "add")),
+    Step("outcome = 'changed' or (outcome = 'target_only' and include_drops)", PHASE_PRE, 0, "drop_item", _dropped),
+    Step("moved", PHASE_PRE, 0, "take_down", _dropped),
+    Step("outcome in ('added', 'changed')", PHASE_POST, 0, "add_item", _added),
+    Step("moved and outcome = 'same'", PHASE_POST, 0, "restore", _added),
+    Step("moved and outcome = 'target_only'", PHASE_POST, 0, "restore", _added),
 ]
+#: Numbers of the steps that drop, that add, and that add what the source has.
+_DROPS, _ADDS, _OF_SOURCE = (1, 2), (3, 4, 5), (3, 4)
+
+
+def _written(steps: DataFrame) -> DataFrame:
+    """Expanded steps with the one statement each needs: what stayed as it was is never rendered."""
+    chosen = steps.withColumn("item", F.when(F.col("step").isin(*_OF_SOURCE), F.col("s")).otherwise(F.col("t")))
+    name = F.col("item.name")
+    drop = F.when(F.col("kind_rank") == INDEX_RANK, render.around(render.index_drop(name), F.col("table_ident"))).otherwise(
+        render.around(render.constraint_drop(name), F.col("table_ident")))
+    add = reduce(lambda c, k: c.when(F.col("kind_rank") == KINDS[k][0], render.around(KINDS[k][-1](fields(f"item.{k}")), F.col("table_ident"))), KINDS, F)
+    return chosen.withColumns({"drop_text": F.when(F.col("step").isin(*_DROPS), drop), "add_text": F.when(F.col("step").isin(*_ADDS), add)})
 
 
 def diff_constraints(matched: DataFrame) -> DataFrame:
@@ -191,7 +196,7 @@ def diff_constraints(matched: DataFrame) -> DataFrame:
 
 def constraint_steps(diffed: DataFrame) -> DataFrame:
     """One row per constraint or index step or warning."""
-    return expand_steps(diffed, STEPS)
+    return expand_steps(diffed, STEPS, _written)
 
 
 def count_items(matched: DataFrame) -> DataFrame:

@@ -50,10 +50,12 @@ def repeated_keys(src_objects: DataFrame, tgt_objects: DataFrame) -> DataFrame:
 
 
 def _keyed(objects: DataFrame) -> DataFrame:
+    """Key and digest of each object; a relation that brings `digest` along was hashed before."""
+    digest = F.col("digest") if "digest" in objects.columns else text_digest(F.col("definition"))
     return objects.select(
         "pair_id", obj_key(F.col("obj_type"), F.col("schema_name"), F.col("obj_name")).alias("obj_key"),
         "obj_type",
-        F.struct("schema_name", "obj_name", "has_model", text_digest(F.col("definition")).alias("digest")).alias("row"),
+        F.struct("schema_name", "obj_name", "has_model", digest.alias("digest")).alias("row"),
     )
 
 

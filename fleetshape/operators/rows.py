@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetshape.plans.ordering import numbered
+from fleetshape.plans.ordering import numbered, stored
 
 # ---- changes
 
@@ -181,6 +181,37 @@ def changed_keys(before: DataFrame, after: DataFrame, keys: list[str], cols: lis
     return tagged.groupBy(*keys).agg(F.sum("h").alias("h"), F.sum("n").alias("n")).where("h <> 0 or n <> 0").select(*keys)
 
 
+#: Buckets of keys whose sums are compared first: what the second pass is told, and all that the first one shuffles per task.
+BUCKETS = 1 << 16
+
+
+def _bucketed(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
+    return df.select(*keys, F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int").alias("__bucket"),
+                     F.xxhash64(*keys, *[x for c in cols for x in (F.col(c).isNull(), F.col(c))]).cast("decimal(38,0)").alias("__h"))
+
+
+def unequal_buckets(before: DataFrame, after: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
+    """Buckets of keys whose rows are not the same on both sides. Sums are combined in the tasks: at most BUCKETS rows of each are shuffled."""
+    sides = [_bucketed(df, keys, cols).groupBy("__bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("__h").alias("h")) for df in (before, after)]
+    tagged = sides[0].unionByName(sides[1].select("__bucket", (-F.col("n")).alias("n"), (-F.col("h")).alias("h")))
+    return tagged.groupBy("__bucket").agg(F.sum("n").alias("n"), F.sum("h").alias("h")).where("n <> 0 or h <> 0").select("__bucket")
+
+
+def lost_rows(before: DataFrame, after: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
+    """Keys whose rows differ: `keys`, rows_before, rows_after, change (lost, added, changed).
+
+    Bucket sums say where to look; both tables are then read once more, but only rows of unequal buckets are shuffled, so a change
+    that lost nothing costs two scans, and one that lost a few rows little more. Keys may repeat and be null.
+    """
+    # Stored, so that both scans below know its size; at most BUCKETS rows.
+    where = stored(unequal_buckets(before, after, keys, cols), "unequal-buckets")
+    sides = [_bucketed(df, keys, cols).join(F.broadcast(where), "__bucket").withColumn("__sign", F.lit(sign)) for df, sign in ((before, 1), (after, -1))]
+    per_key = sides[0].unionByName(sides[1]).groupBy(*keys).agg(
+        F.count_if(F.col("__sign") == 1).alias("rows_before"), F.count_if(F.col("__sign") == -1).alias("rows_after"), F.sum(F.col("__h") * F.col("__sign")).alias("__sum"))
+    change = F.when(F.col("rows_after") < F.col("rows_before"), "lost").when(F.col("rows_after") > F.col("rows_before"), "added").otherwise("changed")
+    return per_key.where("rows_before <> rows_after or __sum <> 0").select(*keys, "rows_before", "rows_after", change.alias("change"))
+
+
 def same_shape(src: DataFrame, tgt: DataFrame, scope: list[str], ordered: bool = True) -> DataFrame:
     """Per table: columns that stand on one side only, by name and type and, if `ordered`, by place.
 

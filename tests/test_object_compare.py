@@ -196,6 +196,25 @@ def test_levels_against_brute_force(spark):
     assert {r.level for r in alone.collect()} == {0}
 
 
+def test_cycles_against_brute_force(spark):
+    rnd = random.Random(9)
+    nodes = [(p, f"N{i:02}") for p in range(8) for i in range(24)]
+    edges = [(p, f"N{rnd.randrange(24):02}", f"N{rnd.randrange(24):02}") for p in range(8) for _ in range(10 + 5 * p)]
+    # Two rings, one behind the other, a chain between them and a chain behind both.
+    ring = [("A", "B"), ("B", "C"), ("C", "A"), ("D", "A"), ("E", "D"), ("F", "E"), ("F", "G"), ("G", "F"), ("H", "G"), ("I", "I")]
+    nodes, edges = nodes + [(9, n) for n in "ABCDEFGHI"], edges + [(9, a, b) for a, b in ring]
+    reach = {(p, a, b) for p, a, b in edges if a != b}
+    while more := {(p, a, d) for p, a, b in reach for q, c, d in edges if p == q and b == c and c != d} - reach:
+        reach |= more
+    on = {(p, a): min(b for q, x, b in reach if (q, x) == (p, a) and (p, b, a) in reach) for p, a, b in reach if a == b}
+    blocked = {n for n in nodes if n in on or any((p, b) in on for p, a, b in reach if (p, a) == n)}
+    n = spark.createDataFrame(nodes, "pair_id long, obj_key string")
+    e = spark.createDataFrame(edges, "pair_id long, obj_key string, dep_key string")
+    got = {(r.pair_id, r.obj_key): r.cycle for r in levels.cycle_members(levels.create_levels(n, e), e).collect()}
+    assert got == {k: on.get(k) for k in blocked} and len(set(on.values())) >= 4
+    assert levels.cycle_members(levels.create_levels(n, e.limit(0)), e.limit(0)).count() == 0
+
+
 def test_one_long_script_is_one_ordered_script(spark, tmp_path):
     rows = spark.range(0, 100_000, 1, 4).select(
         F.when(F.col("id") % 50 == 0, 2).otherwise(1).alias("pair_id"), (F.col("id") * 7 % 100_003).alias("o"), F.col("id").cast("string").alias("line"))

@@ -75,6 +75,19 @@ def test_align_and_rebuild(spark):
     assert R.rebuild(df, wanted).count() == 0 and R.rebuild(df, wanted).columns == ["B", "a", "c"]
 
 
+def test_lost_rows_are_found_and_little_is_shuffled(spark):
+    before = spark.createDataFrame([(i % 400 if i else None, i % 7, f"v{i}") for i in range(1000)], "k int, g int, v string")
+    keys, cols = ["k"], ["g", "v"]
+    assert R.unequal_buckets(before, before.repartition(5), keys, cols).count() == 0 == R.lost_rows(before, before, keys, cols).count()
+    after = before.where("k is not null and v <> 'v77'").withColumn("v", F.when(F.col("v") != "v12", F.col("v"))).unionByName(before.where("v = 'v9'"))
+    got = {r.k: (r.rows_before, r.rows_after, r.change) for r in R.lost_rows(before, after, keys, cols).collect()}
+    assert got == {None: (1, 0, "lost"), 77: (3, 2, "lost"), 12: (3, 3, "changed"), 9: (3, 4, "added")}
+    assert R.unequal_buckets(before, after, keys, cols).count() == 4
+    # A value that moves to the next column is a change, though the values hash alike.
+    left, right = (spark.createDataFrame([(1, a, b)], "k int, a string, b string") for a, b in ((None, "x"), ("x", None)))
+    assert R.lost_rows(left, right, ["k"], ["a", "b"]).count() == 1
+
+
 def test_shape_gate_sees_order_only_when_asked(spark):
     a = spark.createDataFrame([(1, 1, "x", "int"), (1, 2, "y", "int")], "t int, ordinal int, name string, type_text string")
     b = spark.createDataFrame([(1, 2, "X", "int"), (1, 1, "y", "int")], "t int, ordinal int, name string, type_text string")

@@ -163,3 +163,25 @@ def test_difference_with_itself_is_empty(spark):
     own = [{**o, "obj_name": f"Crate{i}"} for i, o in enumerate(o for c, *_ in CASES.values() for o in c.source)]
     diff = fleet(spark, [Case(own, own, include_drops=True)])
     assert diff.steps.isEmpty() and not diff.drift.first().drifted
+
+
+def test_pruning_changes_nothing(spark):
+    """Every case as two snapshots, each pair of snapshots both ways and each snapshot with itself: pruned and whole comparison agree."""
+    from catalogs import side
+    from fleetshape.operators import digests, objects
+    own = [(2 * i + k, getattr(c[0], name)) for i, c in enumerate(CASES.values()) for k, name in enumerate(("source", "target"))]
+    relations = side(spark, own, "snapshot_id")
+    ids = [(4 * i + 2 * k + m, 2 * i + k, 2 * i + m) for i in range(len(CASES)) for k in (0, 1) for m in (0, 1)]
+    pairs = spark.createDataFrame([(*x, x[0] % 3 == 0, False, x[0] % 7 == 0, False) for x in ids], "pair_id long, source_snapshot_id long, target_snapshot_id long, "
+                                  "include_drops boolean, include_table_drops boolean, allow_rebuild boolean, add_only boolean")
+    tree = digests.build_tree(relations)
+    whole = fleet(spark, [])
+    whole.pairs, whole.src, whole.tgt = pairs, *(objects.attach_side(relations, pairs, s) for s in ("source", "target"))
+    pruned = digests.pruned_diff(pairs, tree, tree)
+    for name in ("drift", "table_counts", "steps"):
+        assert sorted(map(str, getattr(pruned, name).collect())) == sorted(map(str, getattr(whole, name).collect())), name
+    left = {r.pair_id for r in digests.unequal_pairs(pairs, tree, tree).collect()}
+    silent = {4 * i + k for i, (n, c) in enumerate(CASES.items()) if c[1] == [] and "twice" not in n for k in (1, 2)}
+    # A case's definition counts its items only: silent differences leave equal databases.
+    assert not left & (silent | {x for i, n in enumerate(CASES) if "twice" not in n for x in (4 * i, 4 * i + 3)})
+    assert pruned.src["columns"].count() < whole.src["columns"].count() / 2

@@ -126,6 +126,17 @@ def q_dependency_cycles(spark, sf):
     return levels.cycle_remainder(levels.create_levels(*_graph(spark, sf))).select("pair_id", "obj_key")
 
 
+@query("q_cycle_members", _recursive(Q.oracle(
+    f"""select b.pair_id, {_KEY}, (
+          select min(upper('Table:' || m.schema_name || '.' || m.table_name)) from o_reach r join o_reach q on q.pair_id = r.pair_id and q.n = r.d and q.d = r.n
+          join tables_base m on m.pair_id = r.pair_id and m.object_id = r.d where r.pair_id = b.pair_id and r.n = b.n) as cycle
+        from o_blocked b join tables_base t on t.pair_id = b.pair_id and t.object_id = b.n""", _GRAPH)))
+def q_cycle_members(spark, sf):
+    """The cycles themselves, told from what only stands behind one."""
+    nodes, edges = _graph(spark, sf)
+    return levels.cycle_members(levels.create_levels(nodes, edges), edges)
+
+
 # ---- plan
 
 _STMT_ORDER = "phase, kind_rank, side, ordinal, sub"

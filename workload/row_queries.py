@@ -170,6 +170,29 @@ def q_changed_keys(spark, sf):
     return R.changed_keys(orders, faulty, ["o_orderkey"], ["o_custkey", "o_orderstatus"])
 
 
+@query("q_lost_rows", """
+  select o_orderkey, count(*)::bigint as rows_before, case when o_orderkey % 101 = 7 then 0 when o_orderkey % 103 = 9 then 2 else 1 end * count(*)::bigint as rows_after,
+    case when o_orderkey % 101 = 7 then 'lost' when o_orderkey % 103 = 9 then 'added' else 'changed' end as change
+  from orders where o_orderkey % 101 = 7 or o_orderkey % 103 = 9 or (o_orderkey % 107 = 5 and o_orderpriority is not null) group by 1""")
+def q_lost_rows(spark, sf):
+    """A lossy change: some orders are gone, some stand twice, some lost a value."""
+    orders = fleet.cte(spark, sf, "orders")
+    after = orders.where("o_orderkey % 101 <> 7").withColumn("o_orderpriority", F.when(F.col("o_orderkey") % 107 != 5, F.col("o_orderpriority")))
+    after = after.unionByName(after.where("o_orderkey % 103 = 9"))
+    return R.lost_rows(orders, after, ["o_orderkey"], ["o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"])
+
+
+@query("q_nothing_lost", "select count(*)::bigint as rows, 0::bigint as unequal from lineitem")
+def q_nothing_lost(spark, sf):
+    """A harmless change: sums of buckets agree, no row of either table is shuffled."""
+    items = fleet.cte(spark, sf, "lineitem")
+    after = R.alter_type(items, "l_partkey", "decimal(20,0)").repartition("l_suppkey")
+    keys, cols = ["l_orderkey", "l_linenumber"], ["l_quantity", "l_extendedprice", "l_shipdate"]
+    one = F.lit(1).alias("one")
+    left = R.lost_rows(items, after, keys, cols).agg(F.count(F.lit(1)).alias("unequal")).select("*", one)
+    return items.agg(F.count(F.lit(1)).alias("rows")).select("*", one).join(left, "one").drop("one")
+
+
 def _shape_sql(ordinal: str) -> str:
     return Q.oracle(f"""
   select pair_id, object_id, cast(sum(greatest(n, 0)) as bigint) as only_source, cast(sum(greatest(-n, 0)) as bigint) as only_target from (
