@@ -100,7 +100,12 @@ _KNOWN: dict[bytes, list[str]] = {}
 def _chunk_words(chunk: bytes) -> list[str]:
     words = _KNOWN.get(chunk)
     if words is None:
-        words = [w for w in _WORD.findall(chunk.decode()) if w.isalpha() or _LETTER.search(w)]
+        text = chunk.decode()
+        # Latin letters alone are one word: ASCII is nothing else here, and below U+0250 only the micro sign is a letter of no Latin range.
+        if chunk.isascii() or (text.isalpha() and max(text) < "\u0250" and "\xb5" not in text):
+            words = [text]
+        else:
+            words = [w for w in _WORD.findall(text) if w.isalpha() or _LETTER.search(w)]
         if len(chunk) <= SHORT:
             if len(_KNOWN) >= REMEMBERED:
                 _KNOWN.clear()
@@ -216,16 +221,34 @@ def _detours(scores: np.ndarray, main: np.ndarray, starts: np.ndarray) -> tuple[
     return rows, begins[at], last
 
 
+#: Documents, times languages, below which plain numbers are quicker than arrays.
+FEW = 24
+
+
+def _alone(scores: np.ndarray, best: list[float]) -> tuple[list[list[int]], list[float]]:
+    """Steps of one document after `best`: where each language came from, and the last values."""
+    own, came = range(len(best)), []
+    for row in scores.tolist():
+        top = max(own, key=best.__getitem__)
+        moved = best[top] - SWITCH
+        came.append([k if best[k] >= moved else top for k in own])
+        best = [(b if b >= moved else moved) + s for b, s in zip(best, row)]
+    return came, best
+
+
 def _viterbi(scores: np.ndarray, starts: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Best language of each word of the documents `rows` (others: 0), word by word for all of them at once."""
+    """Best language of each word of the documents `rows` (others: 0), word by word for all of them at once, the last few documents one by one."""
     length = starts[rows + 1] - starts[rows]
     order = np.argsort(-length, kind="stable")
     begin, length = starts[rows[order]], length[order]
-    active = [int(np.searchsorted(-length, -t, "left")) for t in range(int(length[0]))]  # documents longer than t
-    own = np.arange(scores.shape[1])
+    longest, k = int(length[0]), scores.shape[1]
+    active = np.searchsorted(-length, -np.arange(longest), "left")  # documents longer than t
+    together = int(np.searchsorted(-active * k, -FEW, "right"))  # steps that are made for all at once
+    together = max(together, 1)
+    own = np.arange(k)
     came = np.empty(scores.shape, np.int16)
     best = scores[begin]
-    for t in range(1, int(length[0])):
+    for t in range(1, together):
         n = active[t]
         at, now = begin[:n] + t, best[:n]
         top = now.argmax(1)
@@ -234,8 +257,21 @@ def _viterbi(scores: np.ndarray, starts: np.ndarray, rows: np.ndarray) -> np.nda
         came[at] = np.where(stay, own, top[:, None])
         best[:n] = np.where(stay, now, moved) + scores[at]
     path = np.zeros(len(scores), np.int64)
+    left = int(active[together]) if together < longest else 0
+    for i in range(left):
+        a, b = int(begin[i]) + together, int(begin[i] + length[i])
+        back, values = _alone(scores[a:b], best[i].tolist())
+        best[i] = values
+        current, out = int(np.argmax(best[i])), []
+        for row in reversed(back):
+            out.append(current)
+            current = row[current]
+        path[a:b] = out[::-1]
+        # What the step before has to be; the steps made for all go on from there.
+        best[i] = -np.inf
+        best[i, current] = 0.0
     current = best.argmax(1)
-    for t in range(int(length[0]) - 1, -1, -1):
+    for t in range(together - 1, -1, -1):
         n = active[t]
         at = begin[:n] + t
         path[at] = current[:n]
@@ -245,31 +281,35 @@ def _viterbi(scores: np.ndarray, starts: np.ndarray, rows: np.ndarray) -> np.nda
 
 
 def _paths(scores: np.ndarray, total: np.ndarray, main: np.ndarray, starts: np.ndarray) -> dict[int, np.ndarray]:
-    """The best path of each document that has a detour; all words ahead of its detours are one word to Viterbi, and so are all behind."""
+    """The best path of each document that has a detour, by Viterbi over as few words as decide it: all that stand ahead of its
+    detours count as one, and so do all behind."""
     rows, first, last = _detours(scores, main, starts)
     if not len(rows):
         return {}
-    pieces, lengths, paths = [], [], {}
+    pieces, times = [], []
     for i, a, b in zip(rows.tolist(), first.tolist(), (last + 1).tolist()):
         begin, end = int(starts[i]), int(starts[i + 1])
-        own = [(total[a] - total[begin])[None]] * (a > begin) + [scores[a:b]] + [(total[end] - total[b])[None]] * (end > b)
-        pieces += own
-        lengths.append(sum(map(len, own)))
-    short = np.concatenate(([0], np.cumsum(lengths)))
+        inside = scores[a:b]
+        # Neighbours that rank all languages alike are one word too: a change between them is as well made before or behind both.
+        rank = np.argsort(inside, 1, kind="stable")
+        cuts = np.concatenate(([0], np.flatnonzero((rank[1:] != rank[:-1]).any(1)) + 1))
+        pieces += [(total[a] - total[begin])[None]] * (a > begin) + [np.add.reduceat(inside, cuts, 0)] + [(total[end] - total[b])[None]] * (end > b)
+        times.append(np.concatenate(([a - begin] * (a > begin), np.diff(np.concatenate((cuts, [b - a]))), [end - b] * (end > b))).astype(np.int64))
+    short = np.concatenate(([0], np.cumsum([len(t) for t in times])))
     path = _viterbi(np.concatenate(pieces), short, np.arange(len(rows)))
-    for k, (i, a, b) in enumerate(zip(rows.tolist(), first.tolist(), (last + 1).tolist())):
-        own, ahead, behind = path[short[k]:short[k + 1]], a - int(starts[i]), int(starts[i + 1]) - b
-        times = np.ones(len(own), np.int64)
-        times[0] = ahead or 1
-        times[-1] = behind or times[-1]
-        paths[i] = np.repeat(own, times)
-    return paths
+    return {i: np.repeat(path[short[k]:short[k + 1]], times[k]) for k, i in enumerate(rows.tolist())}
 
 
 def _spans(text: str, model: Model, path: np.ndarray) -> list[dict]:
     """Consecutive words of one language, from the first word's first character to the next span's."""
     cuts = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist()]
-    starts = [m.start() for m in _WORD.finditer(text) if _LETTER.search(m.group())] if len(cuts) > 1 else [0]
+    starts = []
+    if len(cuts) > 1:
+        for m in _WORD.finditer(text):
+            if m.group().isalpha() or _LETTER.search(m.group()):
+                starts.append(m.start())
+                if len(starts) > cuts[-1]:
+                    break
     edges = [0, *(starts[c] for c in cuts[1:]), len(text)]
     return [{"lang": model.languages[path[c]], "start": a, "end": b} for c, a, b in zip(cuts, edges, edges[1:])]
 
