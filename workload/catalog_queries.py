@@ -52,9 +52,10 @@ def q_extract_notices(spark, sf):
 _COLUMNS = """
 o_columns as (
   select c.snapshot_id, c.object_id, cast(c.column_id as bigint) as ordinal, c.name, ts.name as type_schema, ty.name as type_name, ty.is_user_defined,
-    cast(c.max_length as bigint) as max_length, cast(c.prec as bigint) as precision, c.is_nullable, c.is_identity, c.is_computed, c.is_rowguidcol as is_row_guid,
+    cast(c.max_length as bigint) as max_length, cast(c.prec as bigint) as precision, cast(c.scale as bigint) as scale, c.collation_name, c.is_nullable, c.is_identity, c.is_computed, c.is_rowguidcol as is_row_guid,
     cc.definition as computed_definition, coalesce(cc.is_persisted, false) as is_persisted, dc.name as default_name, dc.definition as default_definition,
-    coalesce(dc.is_system_named, false) as default_is_system_named, cast(ic.seed_value as varchar) as identity_seed
+    coalesce(dc.is_system_named, false) as default_is_system_named, cast(ic.seed_value as varchar) as identity_seed,
+    cast(ic.increment_value as varchar) as identity_increment
   from sys_columns c join sys_tables t on t.snapshot_id = c.snapshot_id and t.object_id = c.object_id and not t.is_ms_shipped
     join sys_types ty on ty.snapshot_id = c.snapshot_id and ty.user_type_id = c.user_type_id
     join sys_schemas ts on ts.snapshot_id = c.snapshot_id and ts.schema_id = ty.schema_id
@@ -65,8 +66,8 @@ o_columns as (
 
 @query("q_assemble_columns", Q.oracle("select * from o_columns", _COLUMNS))
 def q_assemble_columns(spark, sf):
-    rows = A.assemble_columns(catalog(spark, sf)).drop("scale", "collation_name", "identity_increment")
-    return rows.withColumns({n: F.col(n).cast("bigint") for n in ("ordinal", "max_length", "precision")})
+    rows = A.assemble_columns(catalog(spark, sf))
+    return rows.withColumns({n: F.col(n).cast("bigint") for n in ("ordinal", "max_length", "precision", "scale")})
 
 
 _INDEX_COLUMNS = """
@@ -108,7 +109,8 @@ def q_key_constraints(spark, sf):
 
 @query("q_foreign_keys", Q.oracle("""
   select k.snapshot_id, k.parent_object_id as object_id, k.name, rs.name as referenced_schema, rt.name as referenced_table,
-    k.delete_referential_action_desc as delete_action, k.is_not_trusted, k.is_disabled, coalesce(string_agg(pc.name || '>' || rc.name, ','), '') as columns
+    k.delete_referential_action_desc as delete_action, k.update_referential_action_desc as update_action, k.is_not_for_replication, k.is_system_named,
+    k.is_not_trusted, k.is_disabled, coalesce(string_agg(pc.name || '>' || rc.name, ',' order by f.constraint_column_id), '') as columns
   from sys_foreign_keys k join sys_tables t on t.snapshot_id = k.snapshot_id and t.object_id = k.parent_object_id and not t.is_ms_shipped
     join sys_tables rt on rt.snapshot_id = k.snapshot_id and rt.object_id = k.referenced_object_id
     join sys_schemas rs on rs.snapshot_id = k.snapshot_id and rs.schema_id = rt.schema_id
@@ -120,8 +122,8 @@ def q_foreign_keys(spark, sf):
     cat = catalog(spark, sf)
     pairs = F.array_join(F.transform("columns", lambda c: F.concat(c["parent_column"], F.lit(">"), c["referenced_column"])), ",")
     return A.assemble_fks(cat, A.fk_columns(cat)).select(
-        "snapshot_id", "object_id", "name", "referenced_schema", "referenced_table", "delete_action", "is_not_trusted",
-        "is_disabled", pairs.alias("columns"))
+        "snapshot_id", "object_id", "name", "referenced_schema", "referenced_table", "delete_action", "update_action", "is_not_for_replication",
+        "is_system_named", "is_not_trusted", "is_disabled", pairs.alias("columns"))
 
 
 @query("q_check_constraints", Q.oracle("""
@@ -143,7 +145,8 @@ def q_select_indexes(spark, sf):
 
 _ALIAS = """
 o_alias as (
-  select ty.snapshot_id, s.name as schema_name, ty.name, bt.name as base_type_name, cast(ty.max_length as bigint) as max_length, ty.is_nullable
+  select ty.snapshot_id, s.name as schema_name, ty.name, bt.name as base_type_name, cast(ty.max_length as bigint) as max_length, cast(ty.prec as bigint) as precision,
+    cast(ty.scale as bigint) as scale, ty.is_nullable, ty.collation_name
   from sys_types ty join sys_schemas s on s.snapshot_id = ty.snapshot_id and s.schema_id = ty.schema_id
     join sys_types bt on bt.snapshot_id = ty.snapshot_id and bt.user_type_id = ty.system_type_id and not bt.is_user_defined
   where ty.is_user_defined and not ty.is_table_type and not ty.is_assembly_type),
@@ -154,8 +157,8 @@ o_used as (
 
 
 def _alias_fields(df):
-    return df.select("snapshot_id", "schema_name", "name", "base_type_name",
-                     F.col("max_length").cast("bigint").alias("max_length"), "is_nullable")
+    return df.select("snapshot_id", "schema_name", "name", "base_type_name", "is_nullable", "collation_name",
+                     *[F.col(n).cast("bigint").alias(n) for n in ("max_length", "precision", "scale")])
 
 
 @query("q_alias_types", Q.oracle("select * from o_alias", f"{_COLUMNS},{_ALIAS}"))

@@ -177,8 +177,8 @@ _TYPES = [  # user_type_id, system_type_id, schema_id, name, user defined, table
 def _type_rows() -> str:
     return " union all\n  ".join(
         f"select c_custkey as snapshot_id, {u} as user_type_id, {b} as system_type_id, {sc} as schema_id, '{n}' as name, "
-        f"{ud} as is_user_defined, {tt} as is_table_type, {at} as is_assembly_type, {ml} as max_length, 0 as prec, 0 as scale, "
-        f"{u} <> 100 as is_nullable, cast(null as varchar(50)) as collation_name from customer".lower()
+        f"{ud} as is_user_defined, {tt} as is_table_type, {at} as is_assembly_type, {ml} as max_length, {u} % 19 as prec, {u} % 5 as scale, "
+        f"{u} <> 100 as is_nullable, case when {u} > 2 then 'coll_{u}' end as collation_name from customer".lower()
         .replace(n.lower() + "'", n + "'")
         for u, b, sc, n, ud, tt, at, ml in _TYPES)
 
@@ -213,7 +213,7 @@ sys_default_constraints as (
     default_is_system_named as is_system_named
   from src_columns where default_definition is not null),
 sys_identity_columns as (
-  select pair_id as snapshot_id, object_id, column_id, 1 as seed_value, 1 as increment_value from src_columns where is_identity),
+  select pair_id as snapshot_id, object_id, column_id, object_id % 9 as seed_value, 1 + object_id % 4 as increment_value from src_columns where is_identity),
 sys_indexes as (
   select pair_id as snapshot_id, object_id, 1 as index_id, name, 1 as type, 'CLUSTERED' as type_desc, true as is_unique,
     cast(null as varchar(50)) as filter_definition, false as is_disabled, false as is_hypothetical, true as is_primary_key,
@@ -225,27 +225,37 @@ sys_indexes as (
     object_id % 31 = 0, object_id % 61 = 0, false, false
   from src_indexes
   union all
+  select pair_id, object_id, 90, 'UQ_Tbl_' || cast(object_id as varchar(20)), 2, 'NONCLUSTERED', true, null, false, false, false, true
+  from src_keys where object_id % 8 < 3
+  union all
   select pair_id, object_id, 0, null, 0, 'HEAP', false, null, false, false, false, false from tables_base where object_id % 7 = 0),
 sys_index_columns as (
   select pair_id as snapshot_id, object_id, 1 as index_id, key_ordinal as index_column_id, key_ordinal as column_id, key_ordinal,
     is_descending as is_descending_key, false as is_included_column
   from src_key_columns
   union all
+  select pair_id, object_id, 90, 3 - key_ordinal, key_ordinal, 3 - key_ordinal, not is_descending, false
+  from src_key_columns where object_id % 8 < 3
+  union all
   select pair_id, object_id, cast(substr(key_column, 5) as int), 1, cast(substr(key_column, 5) as int), 1, is_descending, false from src_indexes
   union all
   select pair_id, object_id, cast(substr(key_column, 5) as int), 2, cast(substr(included_column, 5) as int), 0, false, true
   from src_indexes where included_column is not null),
 sys_key_constraints as (
-  select pair_id as snapshot_id, object_id as parent_object_id, name, type_code as type, 1 as unique_index_id, is_system_named from src_keys),
+  select pair_id as snapshot_id, object_id as parent_object_id, name, type_code as type, 1 as unique_index_id, is_system_named from src_keys
+  union all
+  select pair_id, object_id, 'UQ_Tbl_' || cast(object_id as varchar(20)), 'UQ', 90, object_id % 3 = 0 from src_keys where object_id % 8 < 3),
 sys_foreign_keys as (
   select pair_id as snapshot_id, object_id * 1000000 + referenced_object_id as object_id, object_id as parent_object_id, referenced_object_id, name,
-    delete_action as delete_referential_action_desc, update_action as update_referential_action_desc, false as is_not_for_replication,
+    delete_action as delete_referential_action_desc, case when object_id % 13 = 0 then 'SET_NULL' else update_action end as update_referential_action_desc, object_id % 19 = 0 as is_not_for_replication,
     is_not_trusted, object_id % 23 = 0 as is_disabled, is_system_named
   from src_fks),
 sys_foreign_key_columns as (
-  select pair_id as snapshot_id, object_id * 1000000 + referenced_object_id as constraint_object_id, 1 as constraint_column_id,
+  select pair_id as snapshot_id, object_id * 1000000 + referenced_object_id as constraint_object_id, 1 + object_id % 2 as constraint_column_id,
     object_id as parent_object_id, 1 as parent_column_id, referenced_object_id, 1 as referenced_column_id
-  from src_fks),
+  from src_fks
+  union all
+  select pair_id, object_id * 1000000 + referenced_object_id, 2 - object_id % 2, object_id, 2, referenced_object_id, 2 from src_fks where object_id % 4 < 3),
 sys_check_constraints as (
   select pair_id as snapshot_id, object_id as parent_object_id, name, definition, is_not_trusted, object_id % 29 = 0 as is_disabled, is_system_named
   from src_checks),

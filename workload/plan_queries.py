@@ -400,15 +400,19 @@ def q_batch_counts(spark, sf):
 
 @query("q_create_or_alter", """
   select doc_id, md5(case doc_id % 5 when 0 then 'CREATE OR ALTER VIEW v AS ' || body
-      when 1 then '/* CREATE a */' || chr(10) || '-- CREATE b' || chr(10) || '  create OR ALTER  PROCEDURE p AS ' || body
+      when 1 then '/* ' || block || ' */' || chr(10) || '-- ' || line || chr(10) || '  create OR ALTER  PROCEDURE p AS ' || body
       when 2 then 'CREATE /* x */ OR ALTER VIEW v AS ' || body when 3 then 'ALTER PROCEDURE p AS ' || body else 'CREATED ' || body end) as digest
-  from (select doc_id, coalesce(text, '') as body from documents) x""")
+  from (select doc_id, coalesce(text, '') as body, replace(replace(coalesce(text, ''), '*/', '* /'), '/*', '/ *') as block,
+    replace(replace(coalesce(text, ''), chr(10), ' CREATE '), chr(13), ' ') as line from documents) x""")
 def q_create_or_alter(spark, sf):
+    """For every fifth document its text stands in a block and in a line comment ahead of CREATE."""
     body = F.coalesce("text", F.lit(""))
+    block = F.replace(F.replace(body, F.lit("*/"), F.lit("* /")), F.lit("/*"), F.lit("/ *"))
+    line = F.replace(F.replace(body, F.lit("\n"), F.lit(" CREATE ")), F.lit("\r"), F.lit(" "))
     kind = F.col("doc_id") % 5
     definition = (
         F.when(kind == 0, F.concat(F.lit("CREATE VIEW v AS "), body))
-        .when(kind == 1, F.concat(F.lit("/* CREATE a */\n-- CREATE b\n  create  PROCEDURE p AS "), body))
+        .when(kind == 1, F.concat(F.lit("/* "), block, F.lit(" */\n-- "), line, F.lit("\n  create  PROCEDURE p AS "), body))
         .when(kind == 2, F.concat(F.lit("CREATE /* x */ OR ALTER VIEW v AS "), body))
         .when(kind == 3, F.concat(F.lit("ALTER PROCEDURE p AS "), body))
         .otherwise(F.concat(F.lit("CREATED "), body))
@@ -432,14 +436,7 @@ def q_create_or_alter(spark, sf):
     f"{CQ._TABLES},{CQ._COLUMNS},{CQ._MODULES}"))
 def q_snapshot_roundtrip(spark, sf):
     """Catalog to documents on disk and back, counted per snapshot."""
-    relations = A.assemble(CQ.catalog(spark, sf))
-    ids = relations["objects"].select("snapshot_id").distinct()
-    relations["snapshots"] = ids.withColumns({
-        "database_name": F.concat(F.lit("db_"), "snapshot_id"), "generated_at": F.lit(None).cast("timestamp")})
-    relations["schemas"] = prerequisites.used_schemas(relations["objects"], relations["alias_types"], "snapshot_id")
-    path = scratch_path(spark, "documents")
-    snapshots.write_snapshots({n: df for n, df in relations.items()}, path)
-    back = snapshots.read_snapshots(spark, path, multi_line=False)
+    back = _there_and_back(spark, sf)
 
     def counted(relation: str, name: str) -> DataFrame:
         return back[relation].groupBy("snapshot_id").agg(F.count("*").alias(name))
@@ -448,3 +445,41 @@ def q_snapshot_roundtrip(spark, sf):
     for relation, name in (("objects", "n_objects"), ("columns", "n_columns"), ("checks", "n_checks"), ("keys", "n_keys")):
         out = out.join(counted(relation, name), "snapshot_id", "left").withColumn(name, F.coalesce(name, F.lit(0).cast("bigint")))
     return out
+
+
+@query("q_roundtrip_columns", Q.oracle("""
+  select c.* exclude (object_id, ordinal), t.schema_name, t.table_name, cast(row_number() over (partition by c.snapshot_id, c.object_id order by c.ordinal) as bigint) as ordinal
+  from o_columns c join o_tables t on t.snapshot_id = c.snapshot_id and t.object_id = c.object_id where t.temporal_type <> 1""", f"{CQ._TABLES},{CQ._COLUMNS}"))
+def q_roundtrip_columns(spark, sf):
+    """Every field of every column after the round trip."""
+    rows = _there_and_back(spark, sf)["columns"]
+    return rows.withColumns({n: F.col(n).cast("bigint") for n in ("ordinal", "max_length", "precision", "scale")})
+
+
+@query("q_roundtrip_foreign_keys", Q.oracle("""
+  select k.snapshot_id, t.schema_name, t.table_name, k.name, rs.name as referenced_schema, rt.name as referenced_table,
+    k.delete_referential_action_desc as delete_action, k.update_referential_action_desc as update_action, k.is_not_for_replication, k.is_system_named,
+    k.is_not_trusted, k.is_disabled, coalesce(string_agg(pc.name || '>' || rc.name, ',' order by f.constraint_column_id), '') as columns
+  from sys_foreign_keys k join o_tables t on t.snapshot_id = k.snapshot_id and t.object_id = k.parent_object_id and t.temporal_type <> 1
+    join sys_tables rt on rt.snapshot_id = k.snapshot_id and rt.object_id = k.referenced_object_id
+    join sys_schemas rs on rs.snapshot_id = k.snapshot_id and rs.schema_id = rt.schema_id
+    left join sys_foreign_key_columns f on f.snapshot_id = k.snapshot_id and f.constraint_object_id = k.object_id
+    left join sys_columns pc on pc.snapshot_id = f.snapshot_id and pc.object_id = f.parent_object_id and pc.column_id = f.parent_column_id
+    left join sys_columns rc on rc.snapshot_id = f.snapshot_id and rc.object_id = f.referenced_object_id and rc.column_id = f.referenced_column_id
+  group by all""", CQ._TABLES))
+def q_roundtrip_foreign_keys(spark, sf):
+    rows = _there_and_back(spark, sf)["foreign_keys"]
+    pairs = F.array_join(F.transform("columns", lambda c: F.concat(c["parent_column"], F.lit(">"), c["referenced_column"])), ",")
+    return rows.withColumn("columns", pairs).drop("ordinal")
+
+
+def _there_and_back(spark, sf) -> dict[str, DataFrame]:
+    """The assembled catalog written as documents and read again."""
+    relations = A.assemble(CQ.catalog(spark, sf))
+    ids = relations["objects"].select("snapshot_id").distinct()
+    relations["snapshots"] = ids.withColumns({
+        "database_name": F.concat(F.lit("db_"), "snapshot_id"), "generated_at": F.lit(None).cast("timestamp")})
+    relations["schemas"] = prerequisites.used_schemas(relations["objects"], relations["alias_types"], "snapshot_id")
+    path = scratch_path(spark, "documents")
+    snapshots.write_snapshots({n: df for n, df in relations.items()}, path)
+    return snapshots.read_snapshots(spark, path, multi_line=False)

@@ -179,10 +179,14 @@ def q_preflight_keys_from_plan(spark, sf):
 def q_evolved_shape(spark, sf):
     """The tables after the plan: all rows are there, and comparing again leaves only what no statement can change.
 
-    That is customer's identity: one warning, one change without a statement.
+    That is customer's identity: one warning, one change without a statement. Values that the preflight says do not fit are
+    emptied first, as whoever runs the plan has to; the columns compared here are others.
     """
     works = _works(spark, sf)
-    before = {t: fleet.cte(spark, sf, t) for t in TABLES}
+    before = {}
+    for t in TABLES:
+        misfits = {c: F.when(~bad, F.col(c)) for (c, check), bad in works[t].checks().items() if check == "does_not_fit"}
+        before[t] = fleet.cte(spark, sf, t).withColumns(misfits)
     after = {t: works[t].evolve(before[t], order=[before[t].columns[0]]) for t in TABLES}
     again = _comparison(spark, sf, {t: df.schema for t, df in after.items()})
     left = again.steps.groupBy("obj_key").agg(F.count(F.lit(1)).alias("n"))
