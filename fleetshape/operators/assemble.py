@@ -41,7 +41,7 @@ def _schema_names(cat: Catalog, alias: str = "schema_name") -> DataFrame:
 
 def captured_tables(tables: DataFrame) -> DataFrame:
     """History tables are left to the server; everything else is captured."""
-    return tables.where(F.col("temporal_type") != 1)
+    return tables.where(~F.col("temporal_type").eqNullSafe(1))
 
 
 def temporal_notices(tables: DataFrame) -> DataFrame:

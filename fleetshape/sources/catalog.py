@@ -15,14 +15,3 @@ CATALOG_VIEWS = [
 def read_catalog(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """Dumps of the catalog views, one Parquet folder each; every row carries its `snapshot_id`."""
     return {name: spark.read.parquet(f"{path.rstrip('/')}/{name}") for name in CATALOG_VIEWS}
-
-
-def read_catalog_jdbc(spark: SparkSession, url: str, snapshot_id: int, **options: str) -> dict[str, DataFrame]:
-    """The same views over JDBC, where a driver is on the class path; one scan per view."""
-    from pyspark.sql import functions as F
-
-    reader = spark.read.format("jdbc").option("url", url).options(**options)
-    return {
-        name: reader.option("dbtable", name.replace("sys_", "sys.", 1)).load().withColumn("snapshot_id", F.lit(snapshot_id))
-        for name in CATALOG_VIEWS
-    }

@@ -6,7 +6,12 @@ from pyspark.sql import functions as F
 
 from fleetshape.functions.modules import object_type
 from fleetshape.operators import assemble as A
+from fleetshape.operators import digests, filters
+from fleetshape.operators import objects as O
+from fleetshape.plans.ordering import stored
 from fleetshape.plans.prerequisites import used_schemas
+from fleetshape.session import scratch_path
+from fleetshape.sources.catalog import CATALOG_VIEWS, read_catalog
 from workload import fleet
 from workload import oracle_sql as Q
 from workload.registry import query
@@ -231,3 +236,41 @@ def q_type_codes(spark, sf):
     f"{_TABLES},{_MODULES}"))
 def q_snapshot_summary(spark, sf):
     return A.snapshot_summary(A.assemble(catalog(spark, sf))["objects"])
+
+
+#: What the live databases of q_catalog_drift are numbered from.
+LIVE = 10_000_000
+HIDDEN = "hr.*"
+
+
+def _both_catalogs(spark, sf) -> dict:
+    """A dump of all views with the golden databases, and live ones that lack some tables and have some longer texts, read back."""
+    path = scratch_path(spark, "views")
+    for name in CATALOG_VIEWS:
+        golden = fleet.catalog_view(spark, sf, name)
+        live = golden.withColumn("snapshot_id", F.col("snapshot_id") + LIVE)
+        if name == "sys_tables":
+            live = live.where("object_id % 17 <> 0")
+        if name == "sys_columns":
+            longer = (F.col("object_id") % 10 == 1) & (F.col("user_type_id") == 3) & (F.col("max_length") > 0)
+            live = live.withColumn("max_length", F.when(longer, F.col("max_length") + 20).otherwise(F.col("max_length")))
+        golden.unionByName(live).write.parquet(f"{path}/{name}")
+    return read_catalog(spark, path)
+
+
+@query("q_catalog_drift", Q.oracle(f"""
+  select p.pair_id, cast(count(t.object_id) filter (where t.object_id % 17 = 0) as bigint) as added, cast(count(t.object_id) filter (where t.changed) as bigint) as changed,
+    0::bigint as removed, 0::bigint as skipped, count(t.object_id) filter (where t.object_id % 17 = 0 or t.changed) > 0 as drifted, 'exclude={HIDDEN}' as filter_notice
+  from pairs p left join (
+    select o.snapshot_id, o.object_id, o.object_id % 17 <> 0 and (
+      exists (select 1 from sys_columns c where c.snapshot_id = o.snapshot_id and c.object_id = o.object_id and o.object_id % 10 = 1 and c.user_type_id = 3 and c.max_length > 0)
+      or exists (select 1 from sys_foreign_keys k where k.snapshot_id = o.snapshot_id and k.parent_object_id = o.object_id and k.referenced_object_id % 17 = 0)) as changed
+    from o_tables o where o.temporal_type <> 1 and lower(o.schema_name) <> 'hr') t on t.snapshot_id = p.pair_id
+  group by p.pair_id""", _TABLES))
+def q_catalog_drift(spark, sf):
+    """From raw views to the report: read, assemble, hide, hash each database once, compare what is unequal, tell what was hidden."""
+    relations = filters.filter_side(A.assemble(_both_catalogs(spark, sf)), exclude=HIDDEN)
+    tree = digests.build_tree({n: stored(df, n) for n, df in relations.items() if n in ("objects", *filters.OF_TABLES)})
+    ids = fleet.pairs(spark, sf).select("pair_id")
+    pairs = O.with_mode_defaults(ids.withColumns({"source_snapshot_id": F.col("pair_id"), "target_snapshot_id": F.col("pair_id") + LIVE}), "drift")
+    return filters.filter_notice(digests.pruned_diff(pairs, tree, tree).drift, exclude=HIDDEN)
