@@ -41,11 +41,6 @@ def same_ci(a: Column, b: Column) -> Column:
     return F.upper(a).eqNullSafe(F.upper(b))
 
 
-def same_text(a: Column, b: Column) -> Column:
-    """Equality of normalised text; null equals blank."""
-    return normalize_text(a) == normalize_text(b)
-
-
 def trim_ws(c: Column) -> Column:
     """Both-side trim of any whitespace, newlines included."""
     return F.regexp_replace(c, r"(?U)^\s++|\s+$", "")
