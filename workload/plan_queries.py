@@ -62,7 +62,7 @@ def q_filter_notice(spark, sf):
 
 
 #: What the patterns of q_filter_per_pair leave, pair by pair.
-_PAIR_KEPT = """(case pair_id % 4 when 0 then lower(schema_name) = 'sales' or obj_type = 'View'
+_PAIR_KEPT = r"""(case pair_id % 4 when 0 then lower(schema_name) = 'sales' or obj_type = 'View'
       when 1 then starts_with(upper(obj_name), 'TBL_' || pair_id) or regexp_matches(obj_name, '_1.$')
       when 2 then ends_with(obj_name, '9') or obj_type = 'StoredProcedure' else true end)
     and not (case pair_id % 3 when 0 then lower(schema_name) = 'app' or obj_type = 'Function' or lower(schema_name) = 'dbo' and obj_name ilike 'tbl\_%5' escape '\'
