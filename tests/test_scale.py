@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import datetime as dt
 
+import pytest
+from pyspark.sql import functions as F
+
+from fleetshape.operators import constraints as K
 from fleetshape.session import FLEET_CONF, configure, configure_fleet
 
 
@@ -14,3 +19,40 @@ def test_fleet_queries_broadcast_by_measured_size(spark):
     finally:
         configure(spark)
     assert {k: spark.conf.get(k, None) for k in FLEET_CONF} == before
+
+
+def test_counted_items_tell_the_same_changes(spark):
+    row = lambda name, definition: (1, "dbo", "T", 1, name, False, definition, False, False)
+    schema = ("pair_id long, schema_name string, table_name string, ordinal int, name string, is_system_named boolean, definition string, "
+              "is_not_trusted boolean, is_disabled boolean")
+    src, tgt = (spark.createDataFrame(x, schema) for x in (
+        [row("a", "x > 1"), row("b", "x > 2"), row("c", None), row("s", "y")], [row("A", "X  > 1"), row("b", "x > 3"), row("c", None), row("t", "y")]))
+    tables = spark.createDataFrame([(1, "TABLE:DBO.T", "[dbo].[T]", False)], "pair_id long, obj_key string, table_ident string, include_drops boolean")
+    key = src.select(K.table_key(F.col("schema_name"), F.col("table_name"))).first()[0]
+    tables = tables.withColumn("obj_key", F.lit(key))
+    lean = K.count_items(K.match_constraints(K.counted_items({"checks": src}), K.counted_items({"checks": tgt}), tables))
+    full = K.count_items(K.match_constraints(K.constraint_items({"checks": src}, False), K.constraint_items({"checks": tgt}, False), tables))
+    assert sorted(map(tuple, lean.collect())) == sorted(map(tuple, full.collect())) == [(1, key, 0, 1), (1, key, 1, 0), (1, key, 1, 0)]
+    assert K.counted_items({"checks": src}).schema["row"].dataType.simpleString() == "struct<facets:array<bigint>>"
+
+
+@pytest.fixture
+def orders(spark, tmp_path):
+    """Two orders under one key, one order without a customer, and lines of each."""
+    day = dt.datetime(2020, 1, 1)
+    spark.createDataFrame([(2, "c")], "c_custkey long, c_name string").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.createDataFrame([(4, 2, day), (4, 2, day), (5, None, day)], "o_orderkey long, o_custkey long, o_orderdate timestamp").write.parquet(
+        str(tmp_path / "orders.parquet"))
+    spark.createDataFrame([(4, 6, 3, 1), (4, 7, 3, 2), (5, 6, 3, 1), (9, 6, 3, 1)], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int").write.parquet(
+        str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    return str(tmp_path)
+
+
+def test_relations_of_lines_take_their_names_along(spark, orders):
+    from workload import fleet
+
+    rows = fleet.columns(spark, orders, "src")
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    # A table that is there twice has its columns twice; a table without a database has none.
+    assert sorted((r["object_id"], r["table_name"], r["name"]) for r in rows.collect()) == [(4, "Tbl_4", n) for n in ("Col_1", "Col_1", "Col_2", "Col_2")]
