@@ -103,13 +103,24 @@ def _split_each(scripts: pd.Series) -> pd.Series:
     return scripts.map(split)
 
 
+# Scripts of one Arrow batch, and its bytes: a worker holds one batch, its text again as Python strings, and what it cuts it into.
+BATCH_ROWS, BATCH_BYTES = 128, 8 << 20
+
+
+def _small_batches(scripts: DataFrame) -> DataFrame:
+    conf = scripts.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return scripts
+
+
 def split_batches(scripts: DataFrame) -> DataFrame:
     """`(script_id, batch_no, text)`: one row per batch to run, a counted separator giving its batch again.
 
     The scanner's state nests, so it is the one text step outside the JVM; scripts are
     spread by row and travel as Arrow batches.
     """
-    pieces = scripts.select("script_id", F.inline(_split_each("text")))
+    pieces = _small_batches(scripts).select("script_id", F.inline(_split_each("text")))
     # A count may be two billion: runs of copies first, so that no array holds them all.
     runs = pieces.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("repeat") - 1) / RUN))).alias("run"))
     repeated = runs.select("*", F.explode(F.sequence(F.col("run") * RUN, F.least(F.col("run") * RUN + RUN, "repeat") - 1)).alias("copy"))
@@ -119,4 +130,4 @@ def split_batches(scripts: DataFrame) -> DataFrame:
 def batch_counts(scripts: DataFrame) -> DataFrame:
     """Batches each script would run (the dry-run count), scripts without any included. No batch is expanded."""
     total = F.aggregate(_split_each("text"), F.lit(0).cast("bigint"), lambda n, b: n + b["repeat"])
-    return scripts.select("script_id", total.alias("batches"))
+    return _small_batches(scripts).select("script_id", total.alias("batches"))

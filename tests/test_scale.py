@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fleetshape.operators import constraints as K
+from fleetshape.operators import corpus
 from fleetshape.session import FLEET_CONF, configure, configure_fleet
 
 
@@ -56,3 +57,10 @@ def test_relations_of_lines_take_their_names_along(spark, orders):
     assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
     # A table that is there twice has its columns twice; a table without a database has none.
     assert sorted((r["object_id"], r["table_name"], r["name"]) for r in rows.collect()) == [(4, "Tbl_4", n) for n in ("Col_1", "Col_1", "Col_2", "Col_2")]
+
+
+def test_scripts_travel_in_small_batches(spark):
+    scripts = spark.createDataFrame([(1, "a\nGO\nb")], "script_id long, text string")
+    assert [r["text"] for r in corpus.split_batches(scripts).orderBy("batch_no").collect()] == ["a", "b"]
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == str(corpus.BATCH_ROWS)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b") == str(corpus.BATCH_BYTES)
