@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fleetshape.operators import constraints as K
 from fleetshape.operators import corpus
 from fleetshape.session import FLEET_CONF, configure, configure_fleet
+from fleetshape.sources import snapshots
 
 
 def test_fleet_queries_broadcast_by_measured_size(spark):
@@ -64,3 +65,19 @@ def test_scripts_travel_in_small_batches(spark):
     assert [r["text"] for r in corpus.split_batches(scripts).orderBy("batch_no").collect()] == ["a", "b"]
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == str(corpus.BATCH_ROWS)
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b") == str(corpus.BATCH_BYTES)
+
+
+def test_documents_are_compressed():
+    class Writer:
+        write = property(lambda self: self)
+
+        def json(self, path, compression=None):
+            self.said = (path, compression)
+
+    told = Writer()
+    nest, snapshots.nest_documents = snapshots.nest_documents, lambda relations: told
+    try:
+        snapshots.write_snapshots({}, "there")
+    finally:
+        snapshots.nest_documents = nest
+    assert told.said == ("there", "gzip")
