@@ -7,6 +7,10 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from fleetshape.compare import FleetDiff
+from fleetshape.model import COLUMN_FIELDS
+from fleetshape.operators import assemble
+from fleetshape.operators import columns as C
 from fleetshape.operators import constraints as K
 from fleetshape.operators import corpus
 from fleetshape.session import FLEET_CONF, configure, configure_fleet
@@ -81,3 +85,82 @@ def test_documents_are_compressed():
     finally:
         snapshots.nest_documents = nest
     assert told.said == ("there", "gzip")
+
+
+def test_foreign_keys_and_objects_are_not_written_or_moved_again(spark, orders):
+    from workload import fleet
+
+    for name in ("foreign_keys", "columns", "checks", "indexes", "objects"):
+        assert "Exchange" not in fleet.relation(spark, orders, "src", name)._jdf.queryExecution().executedPlan().toString()
+    assert all(f.startswith(f"file:{orders}") or f.startswith(f"file://{orders}") for f in fleet.relation(spark, orders, "src", "objects").inputFiles())
+    # Order 4 is there twice: one edge, and each of its tables with each of those it refers to.
+    found = fleet.relation(spark, orders, "src", "foreign_keys").select("schema_name", "table_name", "referenced_schema", "referenced_table").collect()
+    assert [tuple(r) for r in found] == [("dbo", "Tbl_4", "dbo", "Tbl_4")] * 4
+
+
+#: Columns of both sides of a table, and whether the table has a change or a warning.
+_CASES = [
+    ([{}], [{}], False), ([{"name": "A"}], [{"name": "a", "ordinal": 3}], False), ([{}], [{"type_name": "INT"}], False),
+    ([{}], [{"type_name": "bigint"}], True), ([{"type_name": None}], [{}], False), ([{"is_nullable": None}], [{"is_nullable": True}], False),
+    ([{"is_nullable": False}], [{"is_nullable": True}], True), ([{"is_row_guid": True}], [{}], True),
+    ([{"is_nullable": None, "is_row_guid": True}], [{"is_nullable": True}], True),
+    ([{"collation_name": None}], [{"collation_name": "x"}], True), ([{"collation_name": "X"}], [{"collation_name": "x"}], False),
+    ([{"collation_name": "x", "identity_seed": None}], [{"collation_name": None, "identity_seed": "x"}], True),
+    ([{"default_definition": None}], [{"default_definition": " "}], False), ([{"default_definition": "(0)"}], [{"default_definition": "(1)"}], True),
+    ([{"computed_definition": "a  b"}], [{"computed_definition": "A b"}], False), ([{"default_name": "p"}], [{"default_name": "q"}], False),
+    ([{}, {"name": "b"}], [{}], True), ([{}], [{}, {"name": "b"}], True),
+    ([{}], [{"ordinal": 1, "type_name": "bigint"}, {"ordinal": 2}], False), ([{}, {"type_name": "bigint"}], [{}], True),
+]
+
+
+def test_touched_tables_are_those_with_counts(spark):
+    given = {"ordinal": 1, "name": "a", "type_schema": "sys", "type_name": "int", "max_length": 4, "precision": 0, "scale": 0}
+    fields = ", ".join(f"{n} {t.simpleString()}" for n, t in COLUMN_FIELDS.items())
+
+    def side(place):
+        rows = [(i % 2, "dbo", f"T{i}", *[{**given, **row}.get(f, False if t.simpleString() == "boolean" else None) for f, t in COLUMN_FIELDS.items()])
+                for i, case in enumerate(_CASES) for row in case[place]]
+        objects = [(i % 2, "Table", "dbo", f"T{i}", "x", True) for i in range(len(_CASES))]
+        return {"columns": spark.createDataFrame(rows, f"pair_id long, schema_name string, table_name string, {fields}"),
+                "objects": spark.createDataFrame(objects, "pair_id long, obj_type string, schema_name string, obj_name string, definition string, has_model boolean")}
+
+    pairs = spark.createDataFrame([(0, False, False, False, False), (1, True, True, False, False)],
+                                  "pair_id long, include_drops boolean, include_table_drops boolean, allow_rebuild boolean, add_only boolean")
+    diff = FleetDiff(pairs, side(0), side(1))
+    want = sorted((i % 2, f"TABLE:DBO.T{i}") for i, case in enumerate(_CASES) if case[2])
+    assert sorted(map(tuple, diff.touched.collect())) == want
+    assert sorted((r["pair_id"], r["obj_key"]) for r in diff.table_counts.collect()) == want
+    assert sorted((r["pair_id"], r["obj_key"]) for r in diff.actions.where("action = 'alter'").collect()) == want
+    # No text of a column but its table's key travels.
+    assert C.compared_columns(diff.src["columns"]).schema["row"].dataType.simpleString() == "struct<a:bigint,b:bigint,known:int,value:int>"
+
+
+def test_item_changes_read_no_columns(spark):
+    row = lambda name, definition: (1, "dbo", "T", 1, name, False, definition, False, False)
+    schema = ("pair_id long, schema_name string, table_name string, ordinal int, name string, is_system_named boolean, definition string, "
+              "is_not_trusted boolean, is_disabled boolean")
+    objects = spark.createDataFrame([(1, "Table", "dbo", "T", "x", True)],
+                                    "pair_id long, obj_type string, schema_name string, obj_name string, definition string, has_model boolean")
+    src, tgt = ({"objects": objects, "checks": spark.createDataFrame(x, schema)} for x in ([row("a", "x"), row("b", "y")], [row("A", "X"), row("b", "z")]))
+    pairs = spark.createDataFrame([(1, False, False, False, False)],
+                                  "pair_id long, include_drops boolean, include_table_drops boolean, allow_rebuild boolean, add_only boolean")
+    assert [(r["name"], r["outcome"]) for r in FleetDiff(pairs, src, tgt).item_changes.collect()] == [("b", "changed")]
+
+
+def test_objects_are_assembled_from_their_own_views(spark):
+    cat = {
+        "sys_tables": spark.createDataFrame([(1, 7, 1, "T", False, 0)], "snapshot_id long, object_id long, schema_id int, name string, is_ms_shipped boolean, temporal_type int"),
+        "sys_schemas": spark.createDataFrame([(1, 1, "dbo")], "snapshot_id long, schema_id int, name string"),
+        "sys_objects": spark.createDataFrame([(1, 8, 1, "v", "V ", False)], "snapshot_id long, object_id long, schema_id int, name string, type string, is_ms_shipped boolean"),
+        "sys_sql_modules": spark.createDataFrame([(1, 8, " x ")], "snapshot_id long, object_id long, definition string")}
+    rows = assemble.snapshot_summary(assemble.assemble_objects(cat)).collect()
+    assert [r.asDict() for r in rows] == [{"snapshot_id": 1, "tables": 1, "views": 1, "procs": 0, "funcs": 0}]
+
+
+def test_text_of_a_catalog_drift_is_written_once_per_database(spark, orders, monkeypatch):
+    from workload import catalog_queries as CQ
+
+    written = []
+    monkeypatch.setattr(CQ, "stored", lambda df, label: written.append(label) or df)
+    CQ.q_catalog_drift(spark, orders)
+    assert written and "objects" not in written
