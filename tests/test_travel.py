@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from catalogs import Case, column, fleet, index, key, reference, table
+from pyspark.sql import functions as F
 
 from fleetshape.operators import columns as C
 from fleetshape.operators import constraints as K
+from fleetshape.plans import script
 
 
 def _restored(spark):
@@ -35,3 +37,12 @@ def test_steps_of_one_relation_alone_are_written(spark):
     diff = _restored(spark)
     diff.src, diff.tgt = ({n: side[n] for n in ("objects", "columns", "checks", "indexes")} for side in (diff.src, diff.tgt))
     assert {r["name"] for r in K.constraint_steps(diff.constraint_diff).collect()} == {"i", "j"}
+
+
+def test_lines_of_a_table_are_numbered_where_they_are(spark):
+    diff = _restored(spark)
+    placed = script.table_lines(diff.steps)
+    assert "rangepartitioning" not in placed._jdf.queryExecution().executedPlan().toString()
+    rows = placed.orderBy("line_no").collect()
+    order = [(r["phase"], r["kind_rank"], r["side"], r["ordinal"], r["sub"]) for r in rows]
+    assert order == sorted(order) and [r["line_no"] for r in rows] == list(range(diff.steps.where(F.col("stmt").isNotNull()).count()))
