@@ -46,3 +46,19 @@ def test_lines_of_a_table_are_numbered_where_they_are(spark):
     rows = placed.orderBy("line_no").collect()
     order = [(r["phase"], r["kind_rank"], r["side"], r["ordinal"], r["sub"]) for r in rows]
     assert order == sorted(order) and [r["line_no"] for r in rows] == list(range(diff.steps.where(F.col("stmt").isNotNull()).count()))
+
+
+def test_a_plan_tells_touched_tables_from_what_it_wrote(spark, monkeypatch):
+    """As the hashes do: a change, an item of one side alone, an item that only steps aside, an item with unknown facets, nothing at all."""
+    from fleetshape import compare
+
+    def case(source, target):
+        return Case([table("T", column("a"), *source)], [table("T", column("a"), *target)])
+
+    cases = [case([], []), case([column("b")], [column("b", "bigint")]), case([index("i", "a")], []), case([], [index("i", "a")]),
+             case([index("i", "a", filter_definition="x")], [index("I", "a", filter_definition="X")]), case([index("i", "a")], [index("i", "a", is_unique=True)]),
+             case([column("b"), index("i", "b")], [column("b", "bigint"), index("i", "b")]), case([index("i", "a", columns=None)], [index("i", "a", columns=None)])]
+    want = sorted(map(tuple, fleet(spark, cases).touched.collect()))
+    assert [i for i, _ in want] == [1, 2, 3, 5, 6]
+    monkeypatch.setattr(compare, "touched", None)  # no hashes are compared
+    assert sorted(map(tuple, fleet(spark, cases).share().touched.collect())) == want
