@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 from catalogs import Case, column, fleet, index, key, reference, table
 from pyspark.sql import functions as F
 
 from fleetshape.operators import columns as C
 from fleetshape.operators import constraints as K
+from fleetshape.operators import matching
+from fleetshape.operators import objects as O
 from fleetshape.plans import script
+from fleetshape.session import FLEET_CONF, configure, configure_fleet
 
 
 def _restored(spark):
@@ -62,3 +67,49 @@ def test_a_plan_tells_touched_tables_from_what_it_wrote(spark, monkeypatch):
     assert [i for i, _ in want] == [1, 2, 3, 5, 6]
     monkeypatch.setattr(compare, "touched", None)  # no hashes are compared
     assert sorted(map(tuple, fleet(spark, cases).share().touched.collect())) == want
+
+
+def test_fleets_start_from_many_partitions_whatever_the_session_has(spark):
+    """A window or an aggregate reads whole partitions: by the session's own number they grow with the fleet."""
+    try:
+        configure_fleet(spark)
+        plan = _restored(spark).touched._jdf.queryExecution().executedPlan().toString()
+        parts = {int(n) for n in re.findall(r"hashpartitioning\(pair_id#\d+L, obj_key#\d+, (\d+)\)", plan)}
+        assert parts == {int(FLEET_CONF["spark.sql.adaptive.coalescePartitions.initialPartitionNum"])}
+    finally:
+        configure(spark)
+
+
+def _compared(spark, rows):
+    return spark.createDataFrame([(p, "T", k, o, r) for p, k, o, r in rows], "pair_id long, obj_key string, key long, ordinal int, row struct<a:long,b:long,known:int,value:int>")
+
+
+def test_touched_tables_are_told_from_flat_rows(spark):
+    same = (5, 6, 3, 1)
+    src = [(1, 1, 1, same), (2, 1, 1, same), (4, 1, 1, (None, 6, 3, 1)), (5, 1, 1, same), (6, 1, 1, same), (7, 1, 1, same), (7, 1, 2, (4, 6, 3, 1)),
+           (8, 1, 1, same), (9, 1, 1, (5, 6, 2, 0)), (10, 1, 1, same), (11, 1, 1, same), (11, 1, 2, (5, 6, 3, 3))]
+    tgt = [(1, 1, 1, same), (3, 1, 1, same), (4, 1, 1, (9, 6, 3, 1)), (5, 1, 1, (5, 7, 3, 1)), (6, 1, 1, (5, 6, 3, 3)), (7, 1, 1, same),
+           (8, 1, 1, (9, 6, 3, 1)), (8, 1, 2, same), (9, 1, 1, (5, 6, 1, 1)), (10, 1, None, same), (11, 1, 1, same)]
+    found = matching.touched(_compared(spark, src), _compared(spark, tgt))
+    # Alone on a side, b or a bit unlike, one of two source rows unlike, no target row with an ordinal.
+    assert sorted(r["pair_id"] for r in found.collect()) == [2, 3, 5, 6, 7, 10, 11]
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_half_a_digest_travels_with_an_object(spark):
+    objects = _restored(spark).src["objects"]
+    assert O.match_objects(objects, objects).select(F.length("s.digest")).first()[0] == 16
+
+
+def test_facets_of_index_columns_are_hashed_without_a_lambda(spark):
+    def side(names, **given):
+        return fleet(spark, [Case([table("T", column("a"), index("i", names, **given), key("k", names))], [])]).src
+
+    def hashes(s):
+        return [r["a"] for r in K.compared_items(s).select("key", "row.a").orderBy("key").collect()]
+
+    one = side("a b")
+    assert "lambda" not in K.compared_items({"indexes": one["indexes"]})._jdf.queryExecution().optimizedPlan().toString()
+    assert hashes(one) == hashes(side("A B")) and all(x != y for x, y in zip(hashes(one), hashes(side("a B2"))))
+    assert hashes(side("a b", descending=("a",))) != hashes(side("a b", descending=("b",))) != hashes(side("a b", included=("b",)))
+    assert [hashes(side("a", columns=None))[i] is None for i in (0, 1)].count(True) == 1
