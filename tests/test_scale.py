@@ -164,3 +164,37 @@ def test_text_of_a_catalog_drift_is_written_once_per_database(spark, orders, mon
     monkeypatch.setattr(CQ, "stored", lambda df, label: written.append(label) or df)
     CQ.q_catalog_drift(spark, orders)
     assert written and "objects" not in written
+
+
+def _documents(spark, path, monkeypatch, **given):
+    """What the round trip of these tables writes, and the plans it writes by."""
+    from fleetshape.sources import snapshots
+    from workload import catalog_queries as CQ
+
+    for name, value in given.items():
+        monkeypatch.setattr(assemble, name, value)
+    with assemble.by_database(CQ.catalog(spark, path)) as cat:
+        relations = assemble.assemble(cat)
+        relations["snapshots"] = relations["objects"].select("snapshot_id").distinct().selectExpr(
+            "snapshot_id", "'x' as database_name", "cast(null as timestamp) as generated_at")
+        relations["schemas"] = relations["objects"].select("snapshot_id", "schema_name").distinct()
+        nested = snapshots.nest_documents(relations)
+        plan = nested._jdf.queryExecution().executedPlan().toString()
+        return sorted(r[0] for r in nested.select(F.to_json(F.struct("*"))).collect()), plan
+
+
+def test_a_catalog_is_nested_where_its_views_were_brought(spark, orders, monkeypatch):
+    configure_fleet(spark)
+    key = "spark.sql.requireAllClusterKeysForCoPartition"
+    try:
+        before = spark.conf.get(key, None)
+        moved, plan = _documents(spark, orders, monkeypatch, LEAST_PARTITIONS=2)
+        assert spark.conf.get(key, None) == before
+        # Order 4 is there twice, with two columns; its parts are gathered where they were brought.
+        assert any('"Columns":[{"Name":"Col_1"' in x for x in moved)
+        at = plan.index("collect_list(Columns")
+        assert "Exchange" not in plan[at:plan.index("partial_collect_list(Columns", at)]
+        # A database that is too large for a task is joined on the views' own keys, with the same documents.
+        assert _documents(spark, orders, monkeypatch, TOGETHER=0)[0] == moved
+    finally:
+        configure(spark)
