@@ -6,7 +6,8 @@ sums of its rows' hashes, a database the sums over its objects. Pairs then join
 compare, and of the others only tables whose digests differ are copied to the pair and matched.
 
 A digest covers all that the comparison of a table looks at and nothing else, so equal digests mean no change and no warning,
-but for a chance of two 64-bit collisions at once. A table in which a key repeats is always compared, as there the order of rows counts.
+but for a chance of two 64-bit collisions at once. A table in which a key repeats is always compared, as there the order of rows counts;
+keys are told by 32 bits, so that one table in many millions is compared for nothing.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from fleetshape.plans.ordering import stored
 
 SCOPE = "snapshot_id"
 _SUM = "decimal(38,0)"
+#: Bits that tell which tables may be wanted, and of one word of them.
+_MARKS, _WORD_BITS = 1 << 26, 6
 
 
 def _hashes(*parts: Column) -> list[Column]:
@@ -45,14 +48,14 @@ def column_digests(columns: DataFrame) -> DataFrame:
               *[F.col(f) for f in ("is_nullable", "is_identity", "is_computed", "is_persisted", "is_row_guid")]]
     # A null does not enter a hash: null and absent facets must not read like their neighbours.
     known = [x for f in facets for x in (f.isNull(), f)]
-    return columns.select(SCOPE, _of_table(), F.xxhash64(F.lit(0), F.upper("name")).alias("key"), *_hashes(F.lit(0), *known))
+    return columns.select(SCOPE, _of_table(), F.hash(F.lit(0), F.upper("name")).alias("key"), *_hashes(F.lit(0), *known))
 
 
 def item_digests(relation: str, rows: DataFrame) -> DataFrame:
     """The same for the rows of one constraint relation."""
     items = K.items(relation, rows.withColumnRenamed(SCOPE, "pair_id"), False)
     return items.select(
-        F.col("pair_id").alias(SCOPE), "obj_key", F.xxhash64("kind_rank", "match_key").alias("key"),
+        F.col("pair_id").alias(SCOPE), "obj_key", F.hash("kind_rank", "match_key").alias("key"),
         *_hashes("kind_rank", "match_key", F.size("row.facets"), F.array_join("row.facets", "\0", "\1")))
 
 
@@ -113,6 +116,22 @@ def unequal_tables(pairs: DataFrame, src: Tree, tgt: Tree) -> DataFrame:
     return met.where(apart | F.coalesce("source_r", F.lit(False)) | F.coalesce("target_r", F.lit(False))).select("pair_id", "obj_key")
 
 
+def _mark() -> Column:
+    return F.pmod(F.xxhash64(SCOPE, "obj_key"), F.lit(_MARKS))
+
+
+def marks(wanted: DataFrame) -> DataFrame:
+    """word, bits: a bit for each table of `wanted` (snapshot_id, obj_key). At most 1,048,576 words, whatever the fleet."""
+    bit = F.expr(f"shiftleft(1L, cast(mark & {(1 << _WORD_BITS) - 1} as int))")
+    return wanted.withColumn("mark", _mark()).groupBy(F.shiftright("mark", _WORD_BITS).alias("word")).agg(F.bit_or(bit).alias("bits"))
+
+
+def marked(rows: DataFrame, words: DataFrame) -> DataFrame:
+    """Rows (with snapshot_id, obj_key) whose table has its bit set, told where they are read: all that are wanted, and of the others those that share a bit."""
+    told = rows.withColumns({"mark": _mark(), "word": F.shiftright(_mark(), _WORD_BITS)}).join(F.broadcast(words), "word")
+    return told.where(F.expr(f"shiftright(bits, cast(mark & {(1 << _WORD_BITS) - 1} as int)) & 1 = 1")).drop("mark", "word", "bits")
+
+
 def pruned_diff(pairs: DataFrame, src: Tree, tgt: Tree) -> FleetDiff:
     """The comparison of `pairs`, which holds the rows of unequal databases and tables alone. Its counts, actions and drift are those of the whole."""
     open_pairs = stored(unequal_pairs(pairs, src, tgt), "unequal-pairs")
@@ -121,10 +140,11 @@ def pruned_diff(pairs: DataFrame, src: Tree, tgt: Tree) -> FleetDiff:
     def side(name: str, tree: Tree) -> dict[str, DataFrame]:
         scope = open_pairs.select("pair_id", F.col(f"{name}_snapshot_id").alias(SCOPE))
         wanted = open_tables.join(scope, "pair_id")
+        words = stored(marks(wanted), "marks")
         out = {"objects": tree.objects.join(scope, SCOPE).drop(SCOPE)}
         for relation in set(OF_TABLES) & set(tree.relations):
             rows = tree.relations[relation].withColumn("obj_key", _of_table())
-            out[relation] = rows.join(wanted, [SCOPE, "obj_key"]).drop(SCOPE, "obj_key")
+            out[relation] = marked(rows, words).join(wanted, [SCOPE, "obj_key"]).drop(SCOPE, "obj_key")
         return out
 
     return FleetDiff(pairs, side("source", src), side("target", tgt))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -167,7 +168,7 @@ def test_text_of_a_catalog_drift_is_written_once_per_database(spark, orders, mon
 
 
 def _documents(spark, path, monkeypatch, **given):
-    """What the round trip of these tables writes, and the plans it writes by."""
+    """What the round trip of these tables writes, and the (first two) keys by which its columns and checks are moved."""
     from fleetshape.sources import snapshots
     from workload import catalog_queries as CQ
 
@@ -178,23 +179,49 @@ def _documents(spark, path, monkeypatch, **given):
         relations["snapshots"] = relations["objects"].select("snapshot_id").distinct().selectExpr(
             "snapshot_id", "'x' as database_name", "cast(null as timestamp) as generated_at")
         relations["schemas"] = relations["objects"].select("snapshot_id", "schema_name").distinct()
-        nested = snapshots.nest_documents(relations)
-        plan = nested._jdf.queryExecution().executedPlan().toString()
-        return sorted(r[0] for r in nested.select(F.to_json(F.struct("*"))).collect()), plan
+        plan = "".join(relations[n]._jdf.queryExecution().executedPlan().toString() for n in ("columns", "checks"))
+        keys = set(re.findall(r"Exchange hashpartitioning\((\w+)#\d+L?, (?:(\w+)#)?", plan))
+        return sorted(r[0] for r in snapshots.nest_documents(relations).select(F.to_json(F.struct("*"))).collect()), keys
 
 
 def test_a_catalog_is_nested_where_its_views_were_brought(spark, orders, monkeypatch):
-    configure_fleet(spark)
+    configure_fleet(spark).conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where databases are many
     key = "spark.sql.requireAllClusterKeysForCoPartition"
     try:
         before = spark.conf.get(key, None)
-        moved, plan = _documents(spark, orders, monkeypatch, LEAST_PARTITIONS=2)
+        moved, keys = _documents(spark, orders, monkeypatch, LEAST_PARTITIONS=2)
         assert spark.conf.get(key, None) == before
-        # Order 4 is there twice, with two columns; its parts are gathered where they were brought.
-        assert any('"Columns":[{"Name":"Col_1"' in x for x in moved)
-        at = plan.index("collect_list(Columns")
-        assert "Exchange" not in plan[at:plan.index("partial_collect_list(Columns", at)]
+        # Order 4 is there twice, with two columns.
+        assert keys == {("snapshot_id", "")} and any('"Columns":[{"Name":"Col_1"' in x for x in moved)
         # A database that is too large for a task is joined on the views' own keys, with the same documents.
-        assert _documents(spark, orders, monkeypatch, TOGETHER=0)[0] == moved
+        documents, keys = _documents(spark, orders, monkeypatch, TOGETHER=0)
+        assert documents == moved and ("snapshot_id", "object_id") in keys
     finally:
         configure(spark)
+
+
+def test_rows_of_unwanted_tables_stay_where_they_are(spark):
+    from fleetshape.operators import digests
+
+    rows = spark.range(400).selectExpr("id % 7 as snapshot_id", "concat('TABLE:DBO.T', id) as obj_key", "id as n")
+    wanted = rows.where("n % 40 = 3").select("snapshot_id", "obj_key")
+    words = digests.marks(wanted)
+    kept = digests.marked(rows, words)
+    assert kept.columns == rows.columns and sorted(r["n"] for r in kept.collect()) == list(range(3, 400, 40))
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert digests.marked(rows, digests.marks(wanted.where("false"))).count() == 0
+
+
+def test_a_pruned_comparison_moves_marked_rows_alone(spark, monkeypatch):
+    from catalogs import column, side, table
+    from fleetshape.operators import digests, objects
+
+    own = {0: [table("a", column("x")), table("b", column("y"))], 1: [table("a", column("x")), table("b", column("y", "bigint"))]}
+    tree = digests.build_tree(side(spark, list(own.items()), "snapshot_id"))
+    pairs = objects.with_mode_defaults(spark.createDataFrame([(5, 0, 1)], "pair_id long, source_snapshot_id long, target_snapshot_id long"), "drift")
+    left, keep = [], digests.marked
+    monkeypatch.setattr(digests, "marked", lambda rows, words: left.append(keep(rows, words)) or left[-1])
+    diff = digests.pruned_diff(pairs, tree, tree)
+    assert sum(df.count() for df in left) == 2
+    assert [tuple(r)[1:4] for r in diff.drift.select("pair_id", "added", "changed", "removed").collect()] == [(0, 1, 0)]
